@@ -1,0 +1,15 @@
+"""Every registered query with its oracle SQL, grouped by subject."""
+
+from . import clinical, cohort, metrics
+
+GROUPS = (cohort, clinical, metrics)
+
+
+def all_queries() -> dict:
+    merged: dict = {}
+    for group in GROUPS:
+        clash = merged.keys() & group.QUERIES.keys()
+        if clash:
+            raise ValueError(f"query names used twice: {sorted(clash)}")
+        merged.update(group.QUERIES)
+    return merged

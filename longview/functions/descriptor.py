@@ -25,14 +25,28 @@ TEXT_FIELDS = {"manufacturer": 2, "model": 3, "kernel": 4}
 NUMBER_FIELDS = {"fov_mm": 5, "slice_mm": 6, "kvp": 7, "ma": 8}
 
 
-def description_field(description: Column, index: int) -> Column:
-    """One trimmed field of a description; null when absent or a missing marker."""
-    value = strip(F.get(F.split(F.coalesce(description, F.lit("")), ","), F.lit(index)))
-    return F.when(~F.lower(value).isin(MISSING_TEXT), value)
+def description_fields(description: Column) -> Column:
+    """The trimmed fields of a description; null where a missing marker stands.
 
+    Put this in a column of its own, so that it is computed once.
+    """
+    def clean(part: Column) -> Column:
+        value = strip(part)
+        return F.when(~F.lower(value).isin(MISSING_TEXT), value)
 
-def study_year(description: Column) -> Column:
-    year = number(description_field(description, 0))
+    return F.transform(F.split(F.coalesce(description, F.lit("")), ","), clean)
+
+
+def text_field(fields: Column, name: str) -> Column:
+    return F.get(fields, F.lit(TEXT_FIELDS[name]))
+
+
+def number_field(fields: Column, name: str) -> Column:
+    return number(F.get(fields, F.lit(NUMBER_FIELDS[name])))
+
+
+def study_year(fields: Column) -> Column:
+    year = number(F.get(fields, F.lit(0)))
     return F.when(year.isin(0.0, 1.0, 2.0), year.cast("int"))
 
 
@@ -40,8 +54,8 @@ def round_label(year: Column) -> Column:
     return F.when(year.isin(0, 1, 2), F.concat(F.lit("T"), year.cast("string")))
 
 
-def series_kind(description: Column) -> Column:
-    return F.upper(description_field(description, 1))
+def series_kind(fields: Column) -> Column:
+    return F.upper(F.get(fields, F.lit(1)))
 
 
 def is_axial(kind: Column) -> Column:
@@ -57,13 +71,13 @@ def kernel_rank(style: Column) -> Column:
     return F.when(style == "smooth", 0).when(style == "other", 1).when(style == "sharp", 2).otherwise(3)
 
 
-def parse_description(description: Column) -> Column:
+def parse_description(description: Column, fields: Column) -> Column:
     """Every field of a description as one struct."""
-    fields = [strip(F.coalesce(description, F.lit(""))).alias("raw"), study_year(description).alias("study_year"),
-              series_kind(description).alias("kind")]
-    fields += [description_field(description, i).alias(n) for n, i in TEXT_FIELDS.items()]
-    fields += [number(description_field(description, i)).alias(n) for n, i in NUMBER_FIELDS.items()]
-    return F.struct(*fields)
+    parsed = [strip(F.coalesce(description, F.lit(""))).alias("raw"), study_year(fields).alias("study_year"),
+              series_kind(fields).alias("kind")]
+    parsed += [text_field(fields, n).alias(n) for n in TEXT_FIELDS]
+    parsed += [number_field(fields, n).alias(n) for n in NUMBER_FIELDS]
+    return F.struct(*parsed)
 
 
 def round_key(label: Column, study_date: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import half_even
+from .text import fixed1, half_even
 
 # Report wording.
 DISCLAIMER = "Research prototype on NLST data. Not a medical device; not for clinical use."
@@ -21,22 +21,6 @@ FAILED_NOTE = ("Registration failed: no stage aligned these rounds better than l
 ONE_ROUND_NOTE = "Only one screening round is available, so there is nothing to compare."
 
 
-def fixed1(c: Column) -> Column:
-    """One decimal of a value in [0, 100], rounded on its exact binary value.
-
-    Halves go to even only where the binary value is an exact half, which the
-    shortest decimal form of a double cannot tell.
-    """
-    scaled = F.floor(c * F.lit(2.0 ** 56)).cast("decimal(20,0)") * F.lit(10).cast("decimal(2,0)")
-    unit = F.lit(2 ** 56).cast("decimal(20,0)")
-    rest = scaled % unit
-    whole = ((scaled - rest) / unit).cast("bigint")
-    half = F.lit(2 ** 55).cast("decimal(20,0)")
-    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
-    tenths = whole + F.when(up, 1).otherwise(0)
-    return F.concat((tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
-
-
 def percent(c: Column) -> Column:
     return F.concat(fixed1(c * 100.0), F.lit("%"))
 
@@ -74,7 +58,7 @@ def risk_sentence(available: Column, year_1: Column, percentile: Column, calibra
 
 def horizon_sentence(available: Column, curve: Column) -> Column:
     ok = F.coalesce(available, F.lit(False)) & (F.size(curve) >= 6)
-    return F.when(ok, F.concat(F.lit("Cumulative risk rises to "), percent(F.element_at(curve, -1)), F.lit(" by year 6."))).otherwise("")
+    return F.when(ok, F.concat(F.lit("Cumulative risk rises to "), percent(F.try_element_at(curve, F.lit(-1))), F.lit(" by year 6."))).otherwise("")
 
 
 def attention_sentence(top_slices: Column) -> Column:

@@ -130,8 +130,8 @@ def is_missing(value: Column) -> Column:
 
 def as_int(value: Column) -> Column:
     """Coded number to a whole number, truncated; null when missing or not finite."""
-    n = number(value.cast("string"))
-    return F.when(~is_missing(value) & (F.abs(n) < float("inf")), n.cast("bigint"))
+    n = number(strip(value.cast("string")))
+    return F.when(~is_missing(value) & (F.abs(n) < float("inf")), n.try_cast("bigint"))
 
 
 def histology(code: Column) -> Column:

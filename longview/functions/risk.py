@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import half_even
+
 # Fixed values.
 HORIZONS = (1, 2, 3, 4, 5, 6)
 SCORE_COLUMNS = [f"year_{h}" for h in HORIZONS]
@@ -40,13 +42,13 @@ def monotone(curve: Column) -> Column:
         curve,
         F.array().cast("array<double>"),
         lambda acc, v: F.array_append(acc, F.greatest(F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0)),
-                                                      F.coalesce(F.element_at(acc, -1), F.lit(0.0)))),
+                                                      F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)))),
     )
     return F.when(F.size(curve) > 0, seen).otherwise(curve)
 
 
 def risk_struct(curve: Column, calibrated: Column) -> Column:
     """year_h fields, the curve (six digits) and the calibrated flag."""
-    rounded = F.transform(curve, lambda v: F.bround(v, 6))
+    rounded = F.transform(curve, lambda v: half_even(v, 6))
     fields = [F.get(rounded, F.lit(i)).alias(f"year_{h}") for i, h in enumerate(HORIZONS)]
     return F.struct(*fields, rounded.alias("curve"), calibrated.alias("calibrated"))

@@ -15,20 +15,42 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
-def number(c: Column) -> Column:
-    """Parse text as a double; null unless it is a plain decimal literal.
+def number(t: Column) -> Column:
+    """Parse stripped text as a double; null unless it is a plain decimal literal.
 
     A bare cast would also accept Java suffixes and hexadecimal floats.
     """
-    t = strip(c)
     plain = F.regexp_replace(t, "_", "").try_cast("double")
     sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
     return F.when(t.rlike(NUMBER), plain).when(t.rlike(INFINITY), sign * F.lit(float("inf")))
 
 
 def half_even(c: Column, digits: int = 0) -> Column:
-    """Round halves to even, as report fields are rounded."""
-    return F.bround(c, digits)
+    """Round to digits as report fields are: by the exact binary value, true halves to even.
+
+    The built-in rounds the shortest decimal text of a double instead, which
+    turns 0.0235 (a little below the half) the other way.
+    """
+    a = F.abs(c.cast("double"))
+    ten = 10 ** digits
+    whole = F.floor(a)
+    # The fraction as 100 binary digits, taken in two exact steps.
+    frac = (a - whole) * F.lit(2.0 ** 40)
+    tail = F.floor((frac - F.floor(frac)) * F.lit(2.0 ** 60)).cast("decimal(19,0)")
+    digits100 = F.floor(frac).cast("decimal(13,0)") * F.lit(2 ** 60).cast("decimal(19,0)") + tail
+    bits = digits100 * F.lit(ten).cast("decimal(7,0)")
+    unit, half = F.lit(str(2 ** 100)).cast("decimal(31,0)"), F.lit(str(2 ** 99)).cast("decimal(31,0)")
+    rest = bits % unit
+    low = whole * F.lit(ten) + ((bits - rest) / unit).cast("bigint")
+    up = (rest > half) | ((rest == half) & (low % 2 == 1))
+    out = (low + F.when(up, 1).otherwise(0)) / F.lit(float(ten))
+    return F.when(a < 2.0 ** 40, F.when(c < 0, -out).otherwise(out)).otherwise(c)
+
+
+def fixed1(c: Column) -> Column:
+    """A value of at least zero with one decimal."""
+    tenths = F.bround(half_even(c, 1) * 10).cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
 
 
 def finite(c: Column) -> Column:

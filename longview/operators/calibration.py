@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longview.functions.risk import HORIZONS, SCORE_COLUMNS, monotone
 from longview.functions.text import half_even
+from longview.session import cut
 
 from .metrics import by_horizon, horizon_metrics, reliability, with_labels
 from .splits import assert_train_only
 
 METHODS = ("isotonic", "platt")
+MAX_STEPS = 100
 
 
 class Calibrator:
-    """One fitted model per horizon; an unfitted one passes scores through."""
+    """One fitted curve per horizon; an unfitted one passes scores through.
+
+    ``models`` maps a horizon to an isotonic model, or to (slope, intercept).
+    """
 
     def __init__(self, method: str = "isotonic", models: dict[int, object] | None = None, n_train: int = 0):
         if method not in METHODS:
@@ -36,22 +39,11 @@ class Calibrator:
             raise ValueError("no labelled patients to calibrate on")
         if positives in (0, n):
             raise ValueError("calibration needs both positive and negative labels")
-        self.models, self.n_train = {}, n
-        for horizon, column in zip(HORIZONS, SCORE_COLUMNS):
-            # Equal scores are one weighted point, so a hot score shrinks before any shuffle.
-            score = F.col(column).cast("double").alias("score")
-            if self.method == "isotonic":
-                points = training.groupBy(score).agg(F.avg(F.col("label").cast("double")).alias("label"),
-                                                     F.count(F.lit(1)).cast("double").alias("weight"))
-                self.models[horizon] = IsotonicRegression(
-                    featuresCol="score", labelCol="label", weightCol="weight", isotonic=True).fit(points)
-            else:
-                points = training.groupBy(score, F.col("label").cast("double").alias("label")).agg(
-                    F.count(F.lit(1)).cast("double").alias("weight"))
-                vectors = VectorAssembler(inputCols=["score"], outputCol="features").transform(points)
-                self.models[horizon] = LogisticRegression(
-                    regParam=1.0 / n, elasticNetParam=0.0, standardization=False, weightCol="weight",
-                    maxIter=200, tol=1e-12).fit(vectors)
+        # Equal scores are one weighted point, so a hot score shrinks before any shuffle.
+        points = cut(by_horizon(training).groupBy("horizon", "score").agg(
+            F.count(F.lit(1)).cast("double").alias("weight"), F.sum("label").cast("double").alias("positives")))
+        self.models = fit_platt(points) if self.method == "platt" else fit_isotonic(points)
+        self.n_train = n
         return self
 
     def apply(self, scores: DataFrame) -> DataFrame:
@@ -71,26 +63,76 @@ class Calibrator:
         if self.method == "isotonic":
             typed = df.withColumn(column, F.col(column).cast("double"))
             return model.copy({model.featuresCol: column, model.predictionCol: name}).transform(typed)
-        return df.withColumn(name, sigmoid(float(model.coefficients[0]) * F.col(column) + float(model.intercept)))
+        slope, intercept = model
+        return df.withColumn(name, sigmoid(F.col(column) * slope + intercept))
 
     def knots(self, spark: SparkSession) -> DataFrame:
-        """The fitted step points (isotonic) or coefficients (Platt) as a table."""
+        """The fitted points (isotonic) or slope and intercept (Platt) as a table."""
         rows = []
         for h, m in self.models.items():
-            if self.method == "isotonic":
-                rows += [(h, float(b), float(p)) for b, p in zip(m.boundaries, m.predictions)]
-            else:
-                rows.append((h, float(m.coefficients[0]), float(m.intercept)))
+            pairs = zip(m.boundaries, m.predictions) if self.method == "isotonic" else [m]
+            rows += [(h, float(b), float(p)) for b, p in pairs]
         return spark.createDataFrame(rows, "horizon int, boundary double, prediction double")
 
-    def save(self, path: str) -> None:
+    def save(self, spark: SparkSession, path: str) -> None:
+        if self.method == "platt":
+            self.knots(spark).withColumn("n_train", F.lit(self.n_train)).write.mode("overwrite").parquet(path)
+            return
         for h, m in self.models.items():
-            m.write().overwrite().save(f"{path}/method={self.method}/n={self.n_train}/horizon={h}")
+            m.write().overwrite().save(f"{path}/n={self.n_train}/horizon={h}")
 
     @classmethod
-    def load(cls, path: str, method: str, n_train: int) -> Calibrator:
-        kind = IsotonicRegressionModel if method == "isotonic" else LogisticRegressionModel
-        return cls(method, {h: kind.load(f"{path}/method={method}/n={n_train}/horizon={h}") for h in HORIZONS}, n_train)
+    def load(cls, spark: SparkSession, path: str, method: str, n_train: int) -> Calibrator:
+        if method == "platt":
+            rows = spark.read.parquet(path).collect()  # one row per horizon
+            return cls(method, {r["horizon"]: (r["boundary"], r["prediction"]) for r in rows}, rows[0]["n_train"])
+        return cls(method, {h: IsotonicRegressionModel.load(f"{path}/n={n_train}/horizon={h}") for h in HORIZONS}, n_train)
+
+
+def fit_isotonic(points: DataFrame) -> dict[int, IsotonicRegressionModel]:
+    """Isotonic regression per horizon over weighted points."""
+    model = IsotonicRegression(featuresCol="score", labelCol="rate", weightCol="weight", isotonic=True)
+    rated = points.withColumn("rate", F.col("positives") / F.col("weight"))
+    return {h: model.fit(rated.filter(F.col("horizon") == c)) for h, c in zip(HORIZONS, SCORE_COLUMNS)}
+
+
+def fit_platt(points: DataFrame) -> dict[int, tuple[float, float]]:
+    """Logistic curve per horizon with a unit penalty on the slope, by Newton steps.
+
+    All horizons advance together: a step is one small aggregate over the
+    points. A step that raises the loss is halved.
+    """
+    names = dict(zip(SCORE_COLUMNS, HORIZONS))
+    at = {c: (0.0, 0.0) for c in names}
+    last: dict[str, tuple[float, tuple[float, float]]] = {}
+    settled: set[str] = set()
+    x, w, pos = F.col("score"), F.col("weight"), F.col("positives")
+    for _ in range(MAX_STEPS):
+        pick = lambda i: F.element_at(F.create_map(*[F.lit(v) for c, ab in at.items() for v in (c, ab[i])]), F.col("horizon"))
+        z = x * F.col("_a") + F.col("_b")
+        p, r = F.col("_p"), F.col("_p") * w - pos
+        h = w * p * (1 - p)
+        loss = w * (F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z)))) - pos * z
+        sums = points.withColumns({"_a": pick(0), "_b": pick(1)}).withColumns({"_p": sigmoid(z), "_l": loss}).groupBy("horizon").agg(
+            F.sum("_l").alias("l"), F.sum(r * x).alias("ga"), F.sum(r).alias("gb"), F.sum(h * x * x).alias("haa"),
+            F.sum(h * x).alias("hab"), F.sum(h).alias("hbb")).collect()  # one row per horizon
+        for s in sums:
+            c, (a, b) = s["horizon"], at[s["horizon"]]
+            total = s["l"] + a * a / 2
+            if c in last and total > last[c][0] + 1e-9 * abs(last[c][0]):
+                a0, b0 = last[c][1]
+                at[c] = ((a + a0) / 2, (b + b0) / 2)
+                continue
+            last[c] = (total, (a, b))
+            ga, haa, hab, hbb = s["ga"] + a, s["haa"] + 1.0, s["hab"], s["hbb"]
+            det = haa * hbb - hab * hab
+            da, db = (hbb * ga - hab * s["gb"]) / det, (haa * s["gb"] - hab * ga) / det
+            at[c] = (a - da, b - db)
+            if max(abs(da), abs(db)) < 1e-10 * (1 + abs(a) + abs(b)):
+                settled.add(c)
+        if len(settled) == len(at):
+            return {names[c]: ab for c, ab in at.items()}
+    raise RuntimeError(f"the logistic fit did not settle in {MAX_STEPS} steps")
 
 
 def sigmoid(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from longview.functions import outcome as O
-from longview.functions.text import half_even, strip
+from longview.functions.text import fixed1, half_even, strip
 
 from .labels import keep_first
 
@@ -157,7 +157,7 @@ def format_record(record: DataFrame) -> DataFrame:
     headline = F.regexp_replace(F.concat(F.lit("  OUTCOME     lung cancer diagnosed — "), when, F.lit(", "), years), r"[, ]+$", "")
     screen = F.when(F.length(o["screen_result_at_diagnosis"]) > 0,
                     F.concat(F.lit("              screen at diagnosis: "), o["screen_result_at_diagnosis"]))
-    span = F.when(o["cancer_free_days"] != 0, F.concat(F.lit(" over "), F.format_number(half_even(o["cancer_free_days"] / 365.25, 1), "0.0"),
+    span = F.when(o["cancer_free_days"] != 0, F.concat(F.lit(" over "), fixed1(o["cancer_free_days"] / 365.25),
                                                        F.lit(" years of follow-up"))).otherwise("")
     clean = F.concat(F.lit("  OUTCOME     no lung-cancer diagnosis on record"), span)
 

@@ -18,20 +18,17 @@ UNKNOWN_SLICE_MM = 1e9
 
 def annotate(series: DataFrame) -> DataFrame:
     """Decode ``series_description`` into the columns later stages use."""
-    d = F.col("series_description")
-    year = D.study_year(d)
-    kernel = D.description_field(d, D.TEXT_FIELDS["kernel"])
-    label = D.round_label(year)
-    return series.withColumns({
+    fields = F.col("_fields")
+    decoded = series.withColumn("_fields", D.description_fields(F.col("series_description"))).withColumns({
         "patient_id": F.col("patient_id").cast("string"),
-        "study_year": year,
-        "round": label,
-        "kernel": kernel,
-        "kernel_style": D.kernel_style(kernel),
-        "slice_mm": D.number(D.description_field(d, D.NUMBER_FIELDS["slice_mm"])),
-        "is_axial": D.is_axial(D.series_kind(d)),
-        "round_key": D.round_key(label, F.col("study_date")),
-    })
+        "study_year": D.study_year(fields),
+        "kernel": D.text_field(fields, "kernel"),
+        "slice_mm": D.number_field(fields, "slice_mm"),
+        "is_axial": D.is_axial(D.series_kind(fields)),
+    }).drop("_fields")
+    label = D.round_label(F.col("study_year"))
+    return decoded.withColumns({
+        "round": label, "kernel_style": D.kernel_style(F.col("kernel")), "round_key": D.round_key(label, F.col("study_date"))})
 
 
 def usable(series: DataFrame, modality: str = "CT", min_slices: int = 10) -> DataFrame:
