@@ -1,8 +1,8 @@
 """Every registered query with its oracle SQL, grouped by subject."""
 
-from . import clinical, cohort, metrics
+from . import change, clinical, cohort, metrics, volumes
 
-GROUPS = (cohort, clinical, metrics)
+GROUPS = (cohort, clinical, metrics, volumes, change)
 
 
 def all_queries() -> dict:

@@ -7,11 +7,11 @@ Plain CASE and arithmetic text is shared by both engines.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from longview.functions.hashing import BUCKETS, DEFAULT_SEED, assign_split
 from longview.functions.outcome import MISSING_CODES
-from longview.operators.slices import order_slices
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -225,10 +225,12 @@ def slices(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(F.col("vec_id") / 4).alias("slice_uid"), (F.col("vec_id") % 4).alias("q"), hu.alias("px"))
     whole = parts.groupBy("slice_uid").agg(*[F.max(F.when(F.col("q") == q, F.col("px"))).alias(f"p{q}") for q in range(4)])
     made = whole.select("slice_uid", F.floor(F.col("slice_uid") / DEPTH).alias("volume_id"),
-                        ((F.col("slice_uid") % DEPTH) * 2.5).alias("position_z"), F.col("slice_uid").cast("int").alias("instance"),
                         F.lit(SIDE).alias("rows"), F.lit(SIDE).alias("cols"),
                         F.concat(*[F.coalesce(f"p{q}", air) for q in range(4)]).alias("px"))
-    return order_slices(made).select("volume_id", "z", "depth", "rows", "cols", "px", "slice_uid")
+    # At most DEPTH slices per volume, so a plain window numbers them.
+    w = W.partitionBy("volume_id")
+    return made.withColumns({"z": F.row_number().over(w.orderBy("slice_uid")) - 1, "depth": F.count(F.lit(1)).over(w).cast("int")}).select(
+        "volume_id", "z", "depth", "rows", "cols", "px", "slice_uid")
 
 
 SLICES_SQL = """vox0 AS (SELECT s, q * 4 + i // 16 AS y, i % 16 AS x, coalesce(CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 2000 - 500) AS INT), -1024) AS hu

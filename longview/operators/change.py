@@ -38,6 +38,17 @@ def difference(baseline: DataFrame, warped: DataFrame) -> DataFrame:
         "px", "baseline").withColumnRenamed("_w", "followup")
 
 
+def onto_grid(later: DataFrame, baseline: DataFrame) -> DataFrame:
+    """The later round on the baseline's voxel grid; what it does not cover is air."""
+    grid = baseline.select("volume_id", "z", "depth", "rows", "cols")
+    own = later.select("volume_id", "z", F.col("rows").alias("_r"), F.col("cols").alias("_c"), F.col("px").alias("_px"))
+    rows, cols, r, c = F.col("rows"), F.col("cols"), F.col("_r"), F.col("_c")
+    fitted = F.transform(F.sequence(F.lit(0), rows * cols - 1), lambda i: F.when(
+        ((i / cols).cast("int") < r) & (i % cols < c), F.get("_px", (i / cols).cast("int") * c + i % cols)).otherwise(FILL_HU))
+    px = F.when((r == rows) & (c == cols), F.col("_px")).when(r.isNotNull(), fitted).otherwise(F.array_repeat(F.lit(FILL_HU), rows * cols))
+    return grid.join(own, ["volume_id", "z"], "left").withColumn("px", px).drop("_r", "_c", "_px")
+
+
 def masked(px: Column, mask: Column) -> Column:
     """Values under a 0/1 mask of the same slice."""
     pairs = F.filter(F.zip_with(px, mask, lambda v, m: F.when(m != 0, v)), lambda v: v.isNotNull())
@@ -233,6 +244,7 @@ def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = N
         later = resample_isotropic(later, spacing, target_mm)
     masks = cut(lung_mask(baseline, threshold, block))
     later_masks = lung_mask(later, threshold, block)
+    later = onto_grid(later, baseline)
     stages, errors = translation_search(baseline, later, masks, shifts or [])
     best = cut(best_stage(errors))
     warped = stages.join(best.select("volume_id", F.col("selected_stage").alias("stage")), ["volume_id", "stage"], "left_semi")

@@ -11,6 +11,7 @@ from longview.functions import outcome as O
 from longview.functions.text import fixed1, half_even, strip
 
 from .labels import keep_first
+from .scan import exact_median
 
 # Participant columns shown in a record.
 PARTICIPANTS = "nlst_prsn"
@@ -70,10 +71,10 @@ def outcomes(participants: DataFrame, order: list[str]) -> DataFrame:
 def outcome_summary(outcome: DataFrame) -> DataFrame:
     """Outcome counts and the median follow-up in one row (A5)."""
     n, pos = F.count(F.lit(1)), F.count_if(F.col("label") == 1)
+    median = exact_median(outcome, [], "cancer_free_days", "m").select(F.col("m").cast("bigint")).scalar()
     return outcome.agg(
         n.alias("patients"), pos.alias("positive"), F.count_if(F.col("label") == 0).alias("negative"),
-        half_even(F.try_divide(pos, n), 4).alias("positive_rate"),
-        F.median("cancer_free_days").cast("bigint").alias("median_follow_up_days"))
+        half_even(F.try_divide(pos, n), 4).alias("positive_rate")).withColumn("median_follow_up_days", median)
 
 
 def diagnosis_years(outcome: DataFrame) -> DataFrame:

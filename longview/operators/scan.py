@@ -77,3 +77,23 @@ class OrderedScan:
         new = object.__new__(type(self))
         new.keys, new.order, new.df = self.keys, self.order, df
         return new
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median per group (mean of the middle two), nulls ignored, for groups of any size.
+
+    Equal values are counted first; the middle is then found by an ordered scan.
+    """
+    keys = list(keys)
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ran = OrderedScan(counts, keys, ["_v"]).running(_to=F.col("_c")).result()
+    total = counts.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    if keys:
+        sized = ran.join(total, keys)
+    else:
+        sized = ran.withColumn("_n", total.scalar())
+    low, high = F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)
+    covers = lambda at: (F.col("_to") - F.col("_c") <= at) & (at < F.col("_to"))
+    mid = sized.filter(covers(low) | covers(high))
+    pair = F.max(F.when(covers(low), F.col("_v").cast("double"))) + F.max(F.when(covers(high), F.col("_v").cast("double")))
+    return mid.groupBy(*keys).agg((pair / 2).alias(name))

@@ -8,39 +8,42 @@ from pyspark.sql import functions as F
 
 from longview.functions import voxel as V
 
+from .scan import OrderedScan, exact_median
+
 # Fixed values.
 TOP_K_SLICES, MIN_SEPARATION = 5, 5
 UNCHANGED_FACTOR = 1e-3
 
 
+def _stack_key(slices: DataFrame) -> DataFrame:
+    """Slim rows with the volume's sort key: physical position when every slice has one, else the instance number."""
+    slim = slices.select("volume_id", "slice_uid", "position_z", "instance")
+    placed = slim.groupBy("volume_id").agg(F.min(F.col("position_z").isNotNull()).alias("placed"), F.count(F.lit(1)).cast("int").alias("depth"))
+    key = F.when(F.col("placed"), F.col("position_z")).otherwise(F.coalesce(F.col("instance"), F.lit(0)).cast("double"))
+    return slim.join(placed, "volume_id").withColumn("stack_key", key)
+
+
 def order_slices(slices: DataFrame) -> DataFrame:
-    """Number slices feet to head: z, depth.
+    """Number slices feet to head: adds z (from 0) and depth.
 
-    Physical position when every slice of the volume has one, else the instance
-    number (0 when absent). Ranked on slim rows, without pixels; a volume has
-    as many rows here as the scanner took slices.
+    Ranked on slim rows, without pixels, by an ordered scan; slice_uid is
+    unique within its volume.
     """
-    slim = slices.select("volume_id", "slice_uid", "position_z", "instance")
-    whole = W.partitionBy("volume_id")
-    placed = F.min(F.col("position_z").isNotNull()).over(whole)
-    key = F.when(placed, F.col("position_z")).otherwise(F.coalesce(F.col("instance"), F.lit(0)).cast("double"))
-    ranked = slim.withColumn("_key", key).withColumn("depth", F.count(F.lit(1)).over(whole)).withColumn(
-        "z", F.row_number().over(whole.orderBy("_key", "slice_uid")) - 1)
-    return slices.join(ranked.select("slice_uid", "z", F.col("depth").cast("int").alias("depth")), "slice_uid")
+    ranked = OrderedScan(_stack_key(slices), ["volume_id"], ["stack_key", "slice_uid"]).row_number("_n").result()
+    place = ranked.select("volume_id", "slice_uid", (F.col("_n") - 1).cast("int").alias("z"), "depth")
+    return slices.join(place, ["volume_id", "slice_uid"])
 
 
 def slice_spacing(slices: DataFrame) -> DataFrame:
-    """Median gap of neighbouring positions, else the slice thickness, else 1."""
-    whole = W.partitionBy("volume_id")
-    w = whole.orderBy("position_z", "slice_uid")
-    slim = slices.select("volume_id", "slice_uid", "position_z", "instance", "thickness")
-    placed = F.min(F.col("position_z").isNotNull()).over(whole)
-    gaps = slim.withColumns({"_gap": F.when(placed, F.abs(F.col("position_z") - F.lag("position_z").over(w))), "_placed": placed})
-    first = F.min_by(F.coalesce("thickness", F.lit(0.0)), F.struct(
-        F.when(F.col("_placed"), F.col("position_z")).otherwise(F.coalesce("instance", F.lit(0)).cast("double")), "slice_uid"))
-    out = gaps.groupBy("volume_id").agg(F.median("_gap").alias("_m"), first.alias("_t"))
+    """Median gap of neighbouring positions, else the first slice's thickness, else 1."""
+    keyed = _stack_key(slices)
+    steps = OrderedScan(keyed.filter("placed"), ["volume_id"], ["stack_key", "slice_uid"]).lag(_before=F.col("stack_key")).result()
+    gaps = exact_median(steps.withColumn("_gap", F.abs(F.col("stack_key") - F.col("_before"))), ["volume_id"], "_gap", "_m")
+    first = keyed.join(slices.select("volume_id", "slice_uid", "thickness"), ["volume_id", "slice_uid"]).groupBy("volume_id").agg(
+        F.min_by(F.coalesce("thickness", F.lit(0.0)), F.struct("stack_key", "slice_uid")).alias("_t"))
     fallback = F.when(F.col("_t") != 0, F.col("_t")).otherwise(1.0)
-    return out.select("volume_id", F.when(F.col("_m") > 0, F.col("_m")).otherwise(fallback).alias("spacing_z"))
+    return first.join(gaps, "volume_id", "left").select(
+        "volume_id", F.when(F.col("_m") > 0, F.col("_m")).otherwise(fallback).alias("spacing_z"))
 
 
 def stored_head_first(slices: DataFrame) -> DataFrame:
