@@ -1,8 +1,8 @@
 """Every registered query with its oracle SQL, grouped by subject."""
 
-from . import change, clinical, cohort, metrics, volumes
+from . import change, clinical, cohort, metrics, reports, volumes
 
-GROUPS = (cohort, clinical, metrics, volumes, change)
+GROUPS = (cohort, clinical, metrics, volumes, change, reports)
 
 
 def all_queries() -> dict:
