@@ -20,16 +20,16 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 # ---------------------------------------------------------------- series index
 
-DESCRIPTION = """CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE concat(
-  CASE o_orderkey % 11 WHEN 0 THEN 'na' WHEN 1 THEN '3' WHEN 2 THEN ' 1 ' WHEN 3 THEN '0.0' WHEN 4 THEN '' WHEN 5 THEN '2e0'
-    ELSE CAST(o_orderkey % 3 AS VARCHAR(5)) END, ',',
-  CASE WHEN o_orderkey % 17 = 0 THEN 'OPL' WHEN o_orderkey % 19 = 0 THEN ' opa ' ELSE 'OPA' END, ',',
-  CASE o_orderkey % 4 WHEN 0 THEN 'GE' WHEN 1 THEN 'SIEMENS' WHEN 2 THEN 'TOSHIBA' ELSE 'PHILIPS' END, ',',
-  CASE WHEN o_orderkey % 13 = 0 THEN 'null' ELSE concat('M', CAST(o_orderkey % 7 AS VARCHAR(5))) END, ',',
-  CASE o_orderkey % 8 WHEN 0 THEN 'STANDARD' WHEN 1 THEN 'LUNG' WHEN 2 THEN 'b30f' WHEN 3 THEN 'B50f' WHEN 4 THEN 'FC01'
-    WHEN 5 THEN 'FC51' WHEN 6 THEN 'XYZ' ELSE 'na' END, ',360,',
-  CASE o_orderkey % 9 WHEN 0 THEN 'null' WHEN 1 THEN '1.5d' WHEN 2 THEN '0x1p3' WHEN 3 THEN '.5' WHEN 4 THEN '1.25'
-    WHEN 5 THEN '2' WHEN 6 THEN '2.5' WHEN 7 THEN '3.' ELSE '1_0' END, ',120,80') END"""
+def one_of(key: str, *texts: str) -> str:
+    """SQL text that picks one of several texts by a key's remainder."""
+    return f"split_part('{';'.join(texts)}', ';', CAST({key} % {len(texts)} AS INT) + 1)"
+
+
+DESCRIPTION = f"""CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE concat(
+  {one_of('o_orderkey', 'na', '3', ' 1 ', '0.0', '', '2e0', '0', '1', '2', '0', '1')}, ',', {one_of('o_orderkey', 'OPL', ' opa ', *['OPA'] * 15)}, ',',
+  {one_of('o_orderkey', 'GE', 'SIEMENS', 'TOSHIBA', 'PHILIPS')}, ',', {one_of('o_orderkey', 'null', 'M1', 'M2', 'M3', 'M4')}, ',',
+  {one_of('o_orderkey', 'STANDARD', 'LUNG', 'b30f', 'B50f', 'FC01', 'FC51', 'XYZ', 'na')}, ',360,',
+  {one_of('o_orderkey', 'null', '1.5d', '0x1p3', '.5', '1.25', '2', '2.5', '3.', '1_0')}, ',120,80') END"""
 MODALITY = "CASE WHEN o_orderkey % 29 = 0 THEN 'MR' ELSE 'CT' END"
 UUID = """concat(substr(md5({k}), 1, 8), '-', substr(md5({k}), 9, 4), '-', substr(md5({k}), 13, 4), '-', substr(md5({k}), 17, 4), '-', substr(md5({k}), 21, 12))"""
 MIN_SLICES = 2

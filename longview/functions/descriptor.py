@@ -26,27 +26,31 @@ NUMBER_FIELDS = {"fov_mm": 5, "slice_mm": 6, "kvp": 7, "ma": 8}
 
 
 def description_fields(description: Column) -> Column:
-    """The trimmed fields of a description; null where a missing marker stands.
+    """The trimmed fields of a description, missing markers still in place.
 
-    Put this in a column of its own, so that it is computed once.
+    White space around the commas is removed in one pass over the text. Put
+    this in a column of its own, so that it is computed once.
     """
-    def clean(part: Column) -> Column:
-        value = strip(part)
-        return F.when(~F.lower(value).isin(MISSING_TEXT), value)
+    tight = F.regexp_replace(strip(F.coalesce(description, F.lit(""))), r"(?U)[\s\x1c-\x1f]*,[\s\x1c-\x1f]*", ",")
+    return F.split(tight, ",")
 
-    return F.transform(F.split(F.coalesce(description, F.lit("")), ","), clean)
+
+def field(fields: Column, index: int) -> Column:
+    """One field; null when absent or a missing marker."""
+    value = F.get(fields, F.lit(index))
+    return F.when(~F.lower(value).isin(MISSING_TEXT), value)
 
 
 def text_field(fields: Column, name: str) -> Column:
-    return F.get(fields, F.lit(TEXT_FIELDS[name]))
+    return field(fields, TEXT_FIELDS[name])
 
 
 def number_field(fields: Column, name: str) -> Column:
-    return number(F.get(fields, F.lit(NUMBER_FIELDS[name])))
+    return number(field(fields, NUMBER_FIELDS[name]))
 
 
 def study_year(fields: Column) -> Column:
-    year = number(F.get(fields, F.lit(0)))
+    year = number(field(fields, 0))
     return F.when(year.isin(0.0, 1.0, 2.0), year.cast("int"))
 
 
@@ -55,7 +59,13 @@ def round_label(year: Column) -> Column:
 
 
 def series_kind(fields: Column) -> Column:
-    return F.upper(F.get(fields, F.lit(1)))
+    return F.upper(field(fields, 1))
+
+
+def describes_axial(description: Column) -> Column:
+    """The axial test on the raw description, cheap enough to run before parsing."""
+    kind = F.upper(strip(F.get(F.split(description, ",", 3), F.lit(1))))
+    return is_axial(kind)
 
 
 def is_axial(kind: Column) -> Column:

@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what counts as a decimal literal (underscores group digits).
-NUMBER = r"^[+-]?(\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?$"
-INFINITY = r"(?i)^[+-]?inf(inity)?$"
+# Fixed value: what counts as a number (underscores group digits).
+NUMBER = r"(?i)^[+-]?((\d+(_\d+)*(\.(\d+(_\d+)*)?)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity)$"
+
+
+# Fixed value: every character that counts as white space.
+WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space of every kind, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def number(t: Column) -> Column:
@@ -20,9 +23,7 @@ def number(t: Column) -> Column:
 
     A bare cast would also accept Java suffixes and hexadecimal floats.
     """
-    plain = F.regexp_replace(t, "_", "").try_cast("double")
-    sign = F.when(t.startswith("-"), F.lit(-1.0)).otherwise(F.lit(1.0))
-    return F.when(t.rlike(NUMBER), plain).when(t.rlike(INFINITY), sign * F.lit(float("inf")))
+    return F.translate(F.regexp_extract(t, NUMBER, 0), "_", "").try_cast("double")
 
 
 def half_even(c: Column, digits: int = 0) -> Column:

@@ -51,8 +51,9 @@ def select_primary(series: DataFrame) -> DataFrame:
         split_value(F.col("series_uid"), TIEBREAK_SEED).alias("tiebreak"),
         F.col("series_uid"),
     )
+    keyed = series.select("patient_id", "round_key", "series_uid", "is_axial", "kernel_style", "slice_mm", "instance_count")
     winners = (
-        series.groupBy("patient_id", "round_key").agg(F.min(preference).alias("best"))
+        keyed.groupBy("patient_id", "round_key").agg(F.min(preference).alias("best"))
         .select(F.col("best.series_uid").alias("series_uid"), F.lit(True).alias("_won"))
     )
     flagged = series.join(winners, "series_uid", "left")

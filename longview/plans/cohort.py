@@ -17,7 +17,8 @@ from longview.operators.splits import hash_split, stratified_split
 
 def build_cohort(index: DataFrame, min_slices: int = 10, max_patients: int | None = None) -> DataFrame:
     """Index to series table: usable, annotated, axial, one primary per round (R-A)."""
-    series = C.annotate(C.usable(index, "CT", min_slices)).filter("is_axial")
+    # The axial filter runs on the raw text: filtering on the parsed column would parse twice.
+    series = C.annotate(C.usable(index, "CT", min_slices).filter(D.describes_axial(F.col("series_description"))))
     return C.select_primary(series if max_patients is None else C.first_patients(series, max_patients))
 
 
