@@ -83,8 +83,11 @@ def _summary(spark, sf) -> DataFrame:
 
 def _raw_lines(spark, sf) -> DataFrame:
     """Order lines as manifest lines, with headers, noise and unreadable copies among them."""
-    return load(spark, sf, "lineitem").select(
-        F.col("l_orderkey").alias("k"), F.expr(MANIFEST_LINE).alias("line"))
+    k = F.col("l_orderkey")
+    line = F.when(k % 50 == 0, F.concat(F.lit("# s5cmd header "), k.cast("string"))).when(k % 31 == 0, "mkdir out").when(
+        k % 41 == 0, "cp s3://bucket/short/* .").otherwise(F.concat(F.lit("cp s3://idc-open-data/"), B.uuid_of(k), F.lit("/* .")))
+    # Made once, as a line of a file would be, not again in every test on it.
+    return load(spark, sf, "lineitem").select(k.alias("k"), F.explode(F.array(line)).alias("line"))
 
 
 MANIFEST_LINE = f"""CASE WHEN l_orderkey % 50 = 0 THEN concat('# s5cmd header ', CAST(l_orderkey AS VARCHAR(20))) WHEN l_orderkey % 31 = 0 THEN 'mkdir out'

@@ -30,12 +30,21 @@ def half_even(c: Column, digits: int = 0) -> Column:
     """Round to digits as report fields are: by the exact binary value, true halves to even.
 
     The built-in rounds the shortest decimal text of a double instead, which
-    turns 0.0235 (a little below the half) the other way.
+    turns 0.0235 (a little below the half) the other way. Only values next to
+    a half take the exact path.
     """
     a = F.abs(c.cast("double"))
+    ten = F.lit(float(10 ** digits))
+    scaled = a * ten
+    clear = (scaled < 2.0 ** 40) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
+    out = F.when(clear, F.floor(scaled + 0.5) / ten).otherwise(_near_half(a, digits) / ten)
+    return F.when(a < 2.0 ** 40, F.when(c < 0, -out).otherwise(out)).otherwise(c)
+
+
+def _near_half(a: Column, digits: int) -> Column:
+    """``a`` times ten to the digits, rounded with 100 binary digits of the fraction."""
     ten = 10 ** digits
     whole = F.floor(a)
-    # The fraction as 100 binary digits, taken in two exact steps.
     frac = (a - whole) * F.lit(2.0 ** 40)
     tail = F.floor((frac - F.floor(frac)) * F.lit(2.0 ** 60)).cast("decimal(19,0)")
     digits100 = F.floor(frac).cast("decimal(13,0)") * F.lit(2 ** 60).cast("decimal(19,0)") + tail
@@ -44,8 +53,7 @@ def half_even(c: Column, digits: int = 0) -> Column:
     rest = bits % unit
     low = whole * F.lit(ten) + ((bits - rest) / unit).cast("bigint")
     up = (rest > half) | ((rest == half) & (low % 2 == 1))
-    out = (low + F.when(up, 1).otherwise(0)) / F.lit(float(ten))
-    return F.when(a < 2.0 ** 40, F.when(c < 0, -out).otherwise(out)).otherwise(c)
+    return low + F.when(up, 1).otherwise(0)
 
 
 def fixed1(c: Column) -> Column:

@@ -34,14 +34,14 @@ class Calibrator:
 
     def fit(self, training: DataFrame) -> Calibrator:
         """Fit on rows of year_1..year_6 and label; both classes are required."""
-        n, positives = fit_counts(training)
+        # Equal scores are one weighted point, so a hot score shrinks before any shuffle.
+        points = cut(by_horizon(training).groupBy("horizon", "score").agg(
+            F.count(F.lit(1)).cast("double").alias("weight"), F.sum("label").cast("double").alias("positives")))
+        n, positives = fit_counts(points)
         if n == 0:
             raise ValueError("no labelled patients to calibrate on")
         if positives in (0, n):
             raise ValueError("calibration needs both positive and negative labels")
-        # Equal scores are one weighted point, so a hot score shrinks before any shuffle.
-        points = cut(by_horizon(training).groupBy("horizon", "score").agg(
-            F.count(F.lit(1)).cast("double").alias("weight"), F.sum("label").cast("double").alias("positives")))
         self.models = fit_platt(points) if self.method == "platt" else fit_isotonic(points)
         self.n_train = n
         return self
@@ -139,8 +139,10 @@ def sigmoid(c: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-c))
 
 
-def fit_counts(training: DataFrame) -> tuple[int, int]:
-    row = training.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+def fit_counts(points: DataFrame) -> tuple[int, int]:
+    """Rows and positives behind the weighted points."""
+    one = points.filter(F.col("horizon") == SCORE_COLUMNS[0])
+    row = one.agg(F.coalesce(F.sum("weight"), F.lit(0.0)), F.coalesce(F.sum("positives"), F.lit(0.0))).first()
     return int(row[0]), int(row[1])
 
 
@@ -159,7 +161,7 @@ def fit_info(training: DataFrame, method: str) -> DataFrame:
 
 def held_out_report(calibrator: Calibrator, scores: DataFrame, splits: DataFrame, split: str) -> tuple[DataFrame, DataFrame]:
     """ROC-AUC, Brier before and after, and reliability after, per horizon."""
-    held = with_labels(scores, splits, split)
+    held = cut(with_labels(scores, splits, split))  # read three times below
     raw, cal = by_horizon(held), by_horizon(calibrator.apply(held))
     before, after = horizon_metrics(raw, digits=True), horizon_metrics(cal, digits=True)
     table = before.select("horizon", "n", "roc_auc", F.col("brier").alias("brier_before")).join(

@@ -156,8 +156,9 @@ def download_progress(series: DataFrame) -> DataFrame:
     A patient may hold any share of the series, hence the ordered scan.
     """
     rows = series.select("patient_id", "round_key", "series_uid", "series_size_mb")
-    totals = rows.groupBy("patient_id").agg(F.sum("series_size_mb").alias("total_mb"))
-    ran = OrderedScan(rows, ["patient_id"], ["round_key", "series_uid"]).running(done_mb=F.col("series_size_mb")).result()
+    scan = OrderedScan(rows, ["patient_id"], ["round_key", "series_uid"])
+    totals = scan.df.groupBy("patient_id").agg(F.sum("series_size_mb").alias("total_mb"))
+    ran = scan.running(done_mb=F.col("series_size_mb")).result()
     return ran.join(totals, "patient_id").withColumn("progress", F.col("done_mb") / F.greatest("total_mb", F.lit(1.0)))
 
 

@@ -24,8 +24,9 @@ def eviction_plan(entries: DataFrame, incoming_bytes: int, cap_bytes: int) -> Da
     slim = entries.select("cache_root", "last_used", "series_uid", "bytes")
     if incoming_bytes > cap_bytes:
         return slim
-    need = slim.groupBy("cache_root").agg((F.sum("bytes") + F.lit(incoming_bytes) - F.lit(cap_bytes)).alias("needed")).filter("needed > 0")
-    ran = OrderedScan(slim, ["cache_root"], ["last_used", "series_uid"]).running(freed=F.col("bytes")).result()
+    scan = OrderedScan(slim, ["cache_root"], ["last_used", "series_uid"])
+    need = scan.df.groupBy("cache_root").agg((F.sum("bytes") + F.lit(incoming_bytes) - F.lit(cap_bytes)).alias("needed")).filter("needed > 0")
+    ran = scan.running(freed=F.col("bytes")).result()
     return ran.join(need, "cache_root").filter(F.col("freed") - F.col("bytes") < F.col("needed")).select(*slim.columns)
 
 

@@ -39,47 +39,47 @@ def by_horizon(scored: DataFrame, columns: list[str] = SCORE_COLUMNS) -> DataFra
     return scored.select("label", F.explode(pairs).alias("_p")).select("_p.horizon", "_p.score", "label")
 
 
-def rank_counts(long: DataFrame) -> DataFrame:
-    """Per (horizon, score): positives, negatives and both counts strictly below."""
+def rank_scan(long: DataFrame) -> OrderedScan:
+    """Per (horizon, score): positives, negatives and both counts up to it."""
     counted = long.groupBy("horizon", "score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg"))
-    ran = OrderedScan(counted, ["horizon"], ["score"]).running(pos_to=F.col("pos"), neg_to=F.col("neg")).result()
-    return ran.withColumns({"pos_below": F.col("pos_to") - F.col("pos"), "neg_below": F.col("neg_to") - F.col("neg")})
+    return OrderedScan(counted, ["horizon"], ["score"])
 
 
 def horizon_metrics(long: DataFrame, digits: bool = False) -> DataFrame:
     """n, positives, base rate, ROC-AUC, average precision, lift, Brier, C-index.
 
-    Ranking metrics are null where a horizon has one class only.
+    Labels are 0 or 1. Ranking metrics are null where a horizon has one class
+    only. Everything is read off the counted scores, so the rows are passed once.
     """
-    base = long.groupBy("horizon").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_positive"), F.avg("label").alias("base_rate"),
-        F.avg(F.pow(F.col("score") - F.col("label"), 2.0)).alias("brier"))
-    # At most one row per horizon, six in all.
-    ranks = rank_counts(long).join(F.broadcast(base), "horizon")
+    scan = rank_scan(long)
+    ranks = scan.running(pos_to=F.col("pos"), neg_to=F.col("neg")).result()
+    s, pos, neg = F.col("score"), F.col("pos"), F.col("neg")
+    base = scan.df.groupBy("horizon").agg(
+        F.sum(pos + neg).alias("n"), F.sum("pos").alias("n_positive"),
+        F.sum(pos * F.pow(s - 1.0, 2.0) + neg * F.pow(s, 2.0)).alias("_squares"))
     p, n = F.col("n_positive"), F.col("n")
-    at_or_above = n - F.col("pos_below") - F.col("neg_below")
-    precision = (p - F.col("pos_below")) / F.nullif(at_or_above, F.lit(0))
-    wins = F.sum(F.col("pos").cast("double") * (F.col("neg_below") + 0.5 * F.col("neg")))
-    ap = F.sum(F.col("pos") * precision)
-    ranked = ranks.groupBy("horizon").agg(wins.alias("_wins"), ap.alias("_ap"))
+    pos_below, neg_below = F.col("pos_to") - pos, F.col("neg_to") - neg
+    precision = (p - pos_below) / F.nullif(n - pos_below - neg_below, F.lit(0))
+    # At most one row per horizon, six in all.
+    ranked = ranks.join(F.broadcast(base), "horizon").groupBy("horizon", "n", "n_positive", "_squares").agg(
+        F.sum(pos.cast("double") * (neg_below + 0.5 * neg)).alias("_wins"), F.sum(pos * precision).alias("_ap"))
     both = (p > 0) & (p < n)
     auc = F.when(both, F.try_divide(F.col("_wins"), p.cast("double") * (n - p)))
-    out = base.join(ranked, "horizon", "left").select(
-        "horizon", "n", "n_positive", "base_rate", auc.alias("roc_auc"),
-        F.when(both, F.try_divide(F.col("_ap"), p)).alias("auprc"),
-        F.when(both, F.try_divide(F.try_divide(F.col("_ap"), p), F.col("base_rate"))).alias("auprc_lift"),
-        F.when(both, F.col("brier")).alias("brier"), auc.alias("c_index"),
+    auprc, rate = F.when(both, F.try_divide(F.col("_ap"), p)), p / n
+    out = ranked.select(
+        "horizon", "n", "n_positive", rate.alias("base_rate"), auc.alias("roc_auc"), auprc.alias("auprc"),
+        F.when(both, F.try_divide(auprc, rate)).alias("auprc_lift"), F.when(both, F.col("_squares") / n).alias("brier"), auc.alias("c_index"),
         F.when(~both, ONE_CLASS_NOTE).alias("note"))
     return rounded(out) if digits else out
 
 
 def rounded(metrics: DataFrame) -> DataFrame:
     """Report digits, the lift taken from the rounded average precision."""
-    lift = half_even(F.try_divide(half_even(F.col("auprc"), 4), F.col("base_rate")), 2)
-    return metrics.withColumns({
-        "auprc_lift": lift, "base_rate": half_even(F.col("base_rate"), 4), "roc_auc": half_even(F.col("roc_auc"), 4),
-        "auprc": half_even(F.col("auprc"), 4), "brier": half_even(F.col("brier"), 5), "c_index": half_even(F.col("c_index"), 4)})
+    digits = {"roc_auc": 4, "auprc": 4, "brier": 5, "c_index": 4}
+    out = metrics.withColumns({c: half_even(F.col(c), n) for c, n in digits.items()}).withColumn(
+        "auprc_lift", F.try_divide("auprc", "base_rate"))
+    return out.withColumns({"auprc_lift": half_even(F.col("auprc_lift"), 2), "base_rate": half_even(F.col("base_rate"), 4)})
 
 
 def bin_edges(bins: int = 10) -> list[float]:
