@@ -13,7 +13,7 @@ from longview.operators import saliency as A
 
 from . import base as B
 from .base import CHEST_SQL, duck_joined, joined
-from .volumes import OWN, TOP_SQL, components_sql, gaussian_sql, lung_sql, neighbourhood_sql
+from .volumes import OWN, TOP_SQL, components_sql, gaussian_sql, lung_sql, neighbourhood_sql, zoom_sql
 
 SHIFTS = [(1, 0, 0), (-1, 0, 0), (0, 0, 1), (0, 1, 0)]
 LIMITS = {"min_diameter_mm": 1.8, "baseline_air_hu": 0.0}  # the stand-in volumes are noise on a small grid
@@ -194,7 +194,7 @@ def _attention(spark, sf) -> DataFrame:
 def _attention_levels(spark, sf) -> DataFrame:
     field = _attention(spark, sf)
     levels, _, _ = A.attention_overlay(field, _shapes(field))
-    return levels.select(*OWN, "depth", "rows", "cols", F.round("value_hi", 3).alias("value_hi"), F.size("level").alias("n"), F.array_max("level").alias("top"))
+    return levels.select(*OWN, F.round("value_lo", 3).alias("value_lo"), F.round("value_hi", 3).alias("value_hi"), joined("level").alias("level"))
 
 
 def _attention_top(spark, sf) -> DataFrame:
@@ -266,7 +266,12 @@ QUERIES = {
     "change_overlay_top": (_overlay_top, f"WITH RECURSIVE {OVERLAY_SQL}, {TOP_SQL.format(p='prof')} SELECT * FROM best"),
     "overlay_on_grid": (_overlay_grid, OVERLAY_GRID_SQL),
     "overlay_grid_profile": (_overlay_grid_profile, OVERLAY_PROFILE_SQL),
-    "attention_overlay": (_attention_levels, None),
+    "attention_overlay": (_attention_levels, f"""WITH {B.SLICES_SQL}, field AS (SELECT *, greatest(hu + 500, 0)::DOUBLE AS a FROM vox),
+        {zoom_sql('field', 'a', 'SELECT DISTINCT volume_id, depth AS nz, 17 AS oz, 23 AS oy, 9 AS ox FROM vox')},
+        r AS (SELECT volume_id, min(v)::FLOAT::DOUBLE AS lo, max(v)::FLOAT::DOUBLE AS hi FROM along_z GROUP BY 1)
+        SELECT volume_id, k AS z, round(any_value(lo), 3) AS value_lo, round(any_value(hi), 3) AS value_hi,
+        {duck_joined('CAST(round_even((((v::FLOAT - lo::FLOAT) / (hi - lo)::FLOAT) * 255::FLOAT)::DOUBLE, 0) AS INT)', 'j, i')} AS level
+        FROM along_z JOIN r USING (volume_id) GROUP BY volume_id, k"""),
     "attention_top": (_attention_top, f"WITH RECURSIVE {ATTENTION_SQL}, {TOP_SQL.format(p='prof')} SELECT * FROM best"),
     "attention_enrichment": (_enrichment, ENRICHMENT_SQL),
     "overlay_match": (_overlay_match, OVERLAY_MATCH_SQL),

@@ -145,6 +145,13 @@ SELECT id, patient_id AS patient, CASE WHEN study_date IS NULL THEN '' ELSE subs
   round_even(instance_count * 4096 * (coalesce(slice_mm, 1.0::DOUBLE) * 0.75::DOUBLE * 0.5::DOUBLE / 1000.0::DOUBLE), 1) AS lung_volume_ml FROM m"""
 
 
+def _lookup_patient(spark, sf) -> DataFrame:
+    """The primary series of the patient with the most rounds."""
+    s = _series(spark, sf)
+    most = C.rounds_per_patient(s).orderBy(F.desc("n_rounds"), "patient_id").first()["patient_id"]
+    return C.patient_series(s, most).select("patient_id", "round_key", "series_uid", "kernel", "instance_count")
+
+
 def _overview(spark, sf) -> DataFrame:
     s = _series(spark, sf)
     cached = load(spark, sf, "lineitem").filter("l_shipdate < timestamp'1997-01-01'").select(F.col("l_orderkey").cast("string").alias("series_uid"))
@@ -218,6 +225,8 @@ QUERIES = {
         f"""WITH {B.PRIMARY_SQL}, r AS (SELECT patient_id, round_key, series_uid, sum(series_size_mb) OVER (PARTITION BY patient_id ORDER BY round_key, series_uid) AS d,
             sum(series_size_mb) OVER (PARTITION BY patient_id) AS t FROM series)
             SELECT patient_id, round_key, series_uid, round(d, 4) AS done_mb, round(t, 4) AS total_mb, round(d / greatest(t, 1), 9) AS progress FROM r"""),
+    "patient_series": (_lookup_patient, f"""WITH {ROUNDS_SQL} SELECT patient_id, round_key, series_uid, kernel, instance_count FROM series WHERE is_primary
+        AND patient_id = (SELECT patient_id FROM patients ORDER BY n_rounds DESC, patient_id LIMIT 1)"""),
     "patient_overview": (_overview, f"""WITH {B.PRIMARY_SQL}, have AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS series_uid, true AS c FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01')
         SELECT patient_id, {B.duck_split('patient_id')} AS split, count(*) FILTER (is_primary) AS n_rounds, count(*) AS n_series, round(sum(series_size_mb), 4) AS total_mb,
         round(coalesce(sum(series_size_mb) FILTER (is_primary), 0), 4) AS primary_mb, round(coalesce(sum(series_size_mb) FILTER (is_primary AND c), 0), 4) AS cached_mb

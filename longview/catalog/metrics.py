@@ -135,12 +135,20 @@ def _platt(spark, sf) -> DataFrame:
 
 
 # Newton steps on the penalised log-loss, both parameters at once per horizon.
-PLATT_SQL = f"""WITH RECURSIVE {LONG_SQL}, data AS (SELECT CAST(right(horizon, 1) AS INT) AS horizon, score AS x, label AS y FROM long WHERE split = 'train'),
+NEWTON_SQL = f"""WITH RECURSIVE {LONG_SQL}, data AS (SELECT CAST(right(horizon, 1) AS INT) AS horizon, score AS x, label AS y FROM long WHERE split = 'train'),
 newton(horizon, k, a, b) AS (SELECT DISTINCT horizon, 0, 0.0::DOUBLE, 0.0::DOUBLE FROM data UNION ALL
   SELECT horizon, k + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
     SELECT horizon, k, a, b, sum((p - y) * x) + a AS ga, sum(p - y) AS gb, sum(p * (1 - p) * x * x) + 1 AS haa, sum(p * (1 - p) * x) AS hab, sum(p * (1 - p)) AS hbb
-    FROM (SELECT n.*, x, y, 1 / (1 + exp(-(a * x + b))) AS p FROM newton n JOIN data USING (horizon)) GROUP BY horizon, k, a, b) WHERE k < 25)
-SELECT horizon, round(a, 4) AS slope, round(b, 4) AS intercept FROM newton WHERE k = 25"""
+    FROM (SELECT n.*, x, y, 1 / (1 + exp(-(a * x + b))) AS p FROM newton n JOIN data USING (horizon)) GROUP BY horizon, k, a, b) WHERE k < 25)"""
+PLATT_SQL = f"{NEWTON_SQL} SELECT horizon, round(a, 4) AS slope, round(b, 4) AS intercept FROM newton WHERE k = 25"
+# The same fit applied to val, made monotone over the horizons, and scored beside the raw scores.
+PLATT_REPORT_SQL = f"""{NEWTON_SQL}, held AS (SELECT patient_id, label, CAST(right(h, 1) AS INT) AS horizon, score FROM (SELECT * FROM merged WHERE split = 'val')
+    UNPIVOT (score FOR h IN (year_1, year_2, year_3, year_4, year_5, year_6))),
+fitted AS (SELECT patient_id, label, horizon, 1 / (1 + exp(-(a * score + b))) AS p FROM held JOIN newton USING (horizon) WHERE k = 25),
+after AS (SELECT 'year_' || horizon AS horizon, avg((m - label) * (m - label)) AS brier_after FROM
+    (SELECT *, max(p) OVER (PARTITION BY patient_id ORDER BY horizon) AS m FROM fitted) GROUP BY ALL),
+{metrics_sql("split = 'val'")}
+SELECT horizon, n, {py('roc_auc', 4)} AS roc_auc, {py('brier', 5)} AS brier_before, {py('brier_after', 5)} AS brier_after FROM metrics JOIN after USING (horizon)"""
 
 
 def _held_out(spark, sf) -> DataFrame:
@@ -179,6 +187,6 @@ QUERIES = {
     "platt_calibration": (_platt, PLATT_SQL),
     "calibration_fit_info": (lambda s, d: K.fit_info(_labelled(s, d, "train"), "isotonic"),
                              f"WITH {MERGED_SQL} SELECT count(*) AS n_train, sum(label) AS n_train_positive, {py('avg(label)', 4)} AS train_positive_rate, 'isotonic' AS method FROM merged WHERE split = 'train'"),
-    "calibration_report_platt": (_held_out, None),
+    "calibration_report_platt": (_held_out, PLATT_REPORT_SQL),
     "calibration_report_isotonic": (_held_out_isotonic, None),
 }

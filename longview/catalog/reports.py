@@ -14,6 +14,7 @@ from longview.operators.change import report_region
 from longview.operators.slices import top_slices
 from longview.plans import results as R
 from longview.plans.cohort import build_cohort
+from longview.session import cut
 from longview.sources.sinks import json_document
 
 from . import base as B
@@ -85,12 +86,13 @@ SELECT c_custkey, concat_ws(' ',
 # -------------------------------------------------------------- results objects
 
 def _series(spark, sf) -> DataFrame:
-    return build_cohort(B.index(spark, sf), B.MIN_SLICES)
+    """The series table, stored as the cohort stage leaves it: results read it several times."""
+    return cut(build_cohort(B.index(spark, sf), B.MIN_SLICES))
 
 
-def _risk(spark, sf) -> DataFrame:
+def _risk(spark, sf, series: DataFrame | None = None) -> DataFrame:
     scores = B.scores(spark, sf)
-    return R.risk_block(_series(spark, sf), scores, K.Calibrator(), scores.select(F.col("year_1").alias("score")), "stand-in")
+    return R.risk_block(_series(spark, sf) if series is None else series, scores, K.Calibrator(), scores.select(F.col("year_1").alias("score")), "stand-in")
 
 
 def _risk_view(spark, sf) -> DataFrame:
@@ -119,7 +121,8 @@ def _results(spark, sf) -> DataFrame:
     field = _attention(spark, sf)
     tops = top_slices(A.profile(field, "px", A.ATTENTION_FLOOR)).withColumn("patient_id", F.floor(F.col("volume_id") / 3).cast("string"))
     latest = tops.groupBy("patient_id").agg(F.max_by("top_slices", "volume_id").alias("top_slices"))
-    return R.results_objects(_series(spark, sf), _risk(spark, sf), _change_block(spark, sf), latest, REV, AT)
+    series = _series(spark, sf)
+    return R.results_objects(series, _risk(spark, sf, series), _change_block(spark, sf), latest, REV, AT)
 
 
 def _results_view(spark, sf) -> DataFrame:
@@ -128,9 +131,11 @@ def _results_view(spark, sf) -> DataFrame:
 
 def _results_heads(spark, sf) -> DataFrame:
     """What every results object states before any change is compared."""
-    none = _risk(spark, sf).select("patient_id").limit(0).withColumn("pairs", F.lit(None).cast(
+    series = _series(spark, sf)
+    risk = _risk(spark, sf, series)
+    none = risk.select("patient_id").limit(0).withColumn("pairs", F.lit(None).cast(
         "array<struct<from_round:string,to_round:string,n_regions:int,registration_failed:boolean,deformable:boolean,top:struct<kind:string,side:string,delta_mm:double,baseline_hu:double,followup_hu:double,slice:int>>>"))
-    r = R.results_objects(_series(spark, sf), _risk(spark, sf), none, None, REV, AT, tasks=("risk", "change"))
+    r = R.results_objects(series, risk, none, None, REV, AT, tasks=("risk", "change"))
     return r.select("patient_id", "split", F.array_join("rounds", ",").alias("rounds"), F.array_join("tasks", ",").alias("tasks"), F.col("change.note").alias("note"),
                     "provenance.model", "provenance.research_only", "provenance.disclaimer", "provenance.code_rev", "summary")
 

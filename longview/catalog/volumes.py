@@ -114,19 +114,24 @@ def _resampled(spark, sf) -> DataFrame:
     return S.resample_isotropic(s, _spacing(s), 1.5)
 
 
-RESAMPLED_SQL = f"""{SLICES_SQL}, dims AS (SELECT DISTINCT volume_id, depth AS nz, CASE WHEN volume_id % 4 = 3 THEN depth ELSE CAST(round_even(depth * 2.0::DOUBLE / 1.5::DOUBLE, 0) AS INT) END AS oz,
-  CASE WHEN volume_id % 4 = 3 THEN 16 ELSE 19 END AS oy, CASE WHEN volume_id % 4 = 3 THEN 16 ELSE 13 END AS ox FROM vox),
-along_x AS (SELECT d.volume_id, d.oz, d.oy, d.ox, v0.z, v0.y, i, v0.hu * (1 - (c - lo)) + v1.hu * (c - lo) AS v FROM
-  (SELECT *, i * 15 / greatest(ox - 1, 1)::DOUBLE AS c, CAST(floor(i * 15 / greatest(ox - 1, 1)::DOUBLE) AS INT) AS lo FROM (SELECT *, unnest(range(ox)) AS i FROM dims)) d
-  JOIN vox v0 ON v0.volume_id = d.volume_id AND v0.x = lo JOIN vox v1 ON v1.volume_id = d.volume_id AND v1.z = v0.z AND v1.y = v0.y AND v1.x = least(lo + 1, 15)),
-along_y AS (SELECT a.volume_id, a.oz, a.oy, a.ox, a.z, j, a.i, a.v * (1 - (c - lo)) + b.v * (c - lo) AS v FROM
-  (SELECT *, j * 15 / greatest(oy - 1, 1)::DOUBLE AS c, CAST(floor(j * 15 / greatest(oy - 1, 1)::DOUBLE) AS INT) AS lo FROM (SELECT *, unnest(range(oy)) AS j FROM dims)) d
+def zoom_sql(source: str, value: str, dims: str) -> str:
+    """Trilinear zoom of ``source`` onto ``dims`` (volume_id, nz, oz, oy, ox): along_z(volume_id, k, j, i, ox, v)."""
+    at = lambda i, n, o: f"{i} * ({n} - 1) / greatest({o} - 1, 1)::DOUBLE"
+    step = lambda i, n, o: f"(SELECT *, {at(i, n, o)} AS c, CAST(floor({at(i, n, o)}) AS INT) AS lo FROM (SELECT *, unnest(range({o})) AS {i} FROM dims)) d"
+    return f"""dims AS ({dims}),
+along_x AS (SELECT d.volume_id, d.oz, d.oy, d.ox, v0.z, v0.y, i, v0.{value} * (1 - (c - lo)) + v1.{value} * (c - lo) AS v FROM {step('i', '16', 'ox')}
+  JOIN {source} v0 ON v0.volume_id = d.volume_id AND v0.x = lo JOIN {source} v1 ON v1.volume_id = d.volume_id AND v1.z = v0.z AND v1.y = v0.y AND v1.x = least(lo + 1, 15)),
+along_y AS (SELECT a.volume_id, a.oz, a.oy, a.ox, a.z, j, a.i, a.v * (1 - (c - lo)) + b.v * (c - lo) AS v FROM {step('j', '16', 'oy')}
   JOIN along_x a ON a.volume_id = d.volume_id AND a.y = lo JOIN along_x b ON b.volume_id = d.volume_id AND b.z = a.z AND b.i = a.i AND b.y = least(lo + 1, 15)),
-along_z AS (SELECT a.volume_id, k, a.j, a.i, a.ox, a.v * (1 - (c - lo)) + b.v * (c - lo) AS v FROM
-  (SELECT *, k * (nz - 1) / greatest(oz - 1, 1)::DOUBLE AS c, CAST(floor(k * (nz - 1) / greatest(oz - 1, 1)::DOUBLE) AS INT) AS lo FROM (SELECT *, unnest(range(oz)) AS k FROM dims)) d
+along_z AS (SELECT a.volume_id, k, a.j, a.i, a.ox, a.v * (1 - (c - lo)) + b.v * (c - lo) AS v FROM {step('k', 'nz', 'oz')}
   JOIN along_y a ON a.volume_id = d.volume_id AND a.z = lo JOIN along_y b ON b.volume_id = d.volume_id AND b.j = a.j AND b.i = a.i AND b.z = least(lo + 1, nz - 1))"""
 
 
+_DIMS = """SELECT DISTINCT volume_id, depth AS nz, CASE WHEN volume_id % 4 = 3 THEN depth ELSE CAST(round_even(depth * 2.0::DOUBLE / 1.5::DOUBLE, 0) AS INT) END AS oz,
+  CASE WHEN volume_id % 4 = 3 THEN 16 ELSE 19 END AS oy, CASE WHEN volume_id % 4 = 3 THEN 16 ELSE 13 END AS ox FROM vox"""
+RESAMPLED_SQL = f"{SLICES_SQL}, {zoom_sql('vox', 'hu', _DIMS)}"
+
+
 def _with_target(df: DataFrame, depth: int, rows: int, cols: int) -> DataFrame:
     return df.withColumns({"out_depth": F.lit(depth), "out_rows": F.lit(rows), "out_cols": F.lit(cols)})
 
