@@ -231,6 +231,17 @@ def report_region(regions: DataFrame) -> DataFrame:
     return regions.withColumns({**one, "delta_mm": half_even(F.col("diameter_mm"), 1), "fill_fraction": half_even(F.col("fill_fraction"), 2)})
 
 
+def _masks_of_both(baseline: DataFrame, later: DataFrame, threshold: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Lung masks of both rounds from one pass over the two tables together."""
+    id_type = baseline.schema["volume_id"].dataType
+    core = ["z", "depth", "rows", "cols", "px"]
+    tagged = [df.select(F.concat(F.lit(tag), F.col("volume_id").cast("string")).alias("volume_id"), *core)
+              for tag, df in (("0", baseline), ("1", later))]
+    masks = cut(lung_mask(tagged[0].unionByName(tagged[1]), threshold, block))
+    own = [masks.filter(F.col("volume_id").startswith(tag)).withColumn("volume_id", F.substr("volume_id", F.lit(2)).cast(id_type)) for tag in "01"]
+    return own[0], own[1]
+
+
 def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = None, target_mm: float = REGISTRATION_MM,
             shifts: list[tuple[int, int, int]] | None = None, threshold: int = V.LUNG_THRESHOLD_HU,
             min_hu_delta: float = MIN_HU_DELTA, block: int = BLOCK, **limits: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -242,8 +253,7 @@ def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = N
     if spacing is not None:
         baseline = resample_isotropic(baseline, spacing, target_mm)
         later = resample_isotropic(later, spacing, target_mm)
-    masks = cut(lung_mask(baseline, threshold, block))
-    later_masks = lung_mask(later, threshold, block)
+    masks, later_masks = _masks_of_both(baseline, later, threshold, block)
     later = onto_grid(later, baseline)
     stages, errors = translation_search(baseline, later, masks, shifts or [])
     best = cut(best_stage(errors))

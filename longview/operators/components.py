@@ -71,6 +71,8 @@ def merge_labels(edges: DataFrame) -> DataFrame:
     """Smallest node reachable from every node of (volume_id, a, b) edges."""
     both = cut(edges.unionByName(edges.select("volume_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select("volume_id", F.col("a").alias("comp")).distinct().withColumn("label", F.col("comp"))
+    if both.isEmpty():
+        return labels
     for _ in range(MAX_ROUNDS):
         near = both.join(labels.select("volume_id", F.col("comp").alias("b"), "label"), ["volume_id", "b"]).groupBy(
             "volume_id", F.col("a").alias("comp")).agg(F.min("label").alias("_near"))
