@@ -1,8 +1,8 @@
 """The registered queries of this package with their oracle SQL (None where SQL cannot express them)."""
 
-from longview.llm import decontam, lines, packing, quality, shards, simhash
+from longview.llm import decontam, lines, ngrams, packing, quality, shards, simhash
 
-GROUPS = (simhash, quality, packing, lines, shards, decontam)
+GROUPS = (ngrams, simhash, quality, packing, lines, shards, decontam)
 
 
 def all_queries() -> dict:

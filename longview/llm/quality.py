@@ -191,8 +191,8 @@ def judge(stats: DataFrame) -> DataFrame:
     est = robust_estimates(rows)
     size = sound.groupBy("__g0", "__g1", "__g2").agg(F.count(F.lit(1)).alias("n0"))
     by_lang = size.groupBy("__g1").agg(F.sum("n0").alias("n1"))
-    every = size.groupBy("__g2").agg(F.sum("n0").alias("n2"))
-    pick = (size.join(by_lang, "__g1").join(every, "__g2")
+    every = size.agg(F.sum("n0")).first()[0] or 0
+    pick = (size.join(by_lang, "__g1").withColumn("n2", F.lit(every))
             .select("__g0", F.when(F.col("n0") >= MIN_GROUP, F.col("__g0")).when(F.col("n1") >= MIN_GROUP, F.col("__g1"))
                     .when(F.col("n2") >= MIN_GROUP, F.col("__g2")).alias("grp")))
     params = cut(pick.join(est.drop("n", "start", "logdet"), "grp", "left").drop("grp"))
