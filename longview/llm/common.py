@@ -23,12 +23,20 @@ def byte_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batches to ``rows``: whole texts are long, and a task holds a batch in the JVM and in Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def map_text(df: DataFrame, keep: Sequence[str], text: str, make: Callable[[list[bytes]], list[pa.Array]],
              fields: Sequence[tuple[str, T.DataType]]) -> DataFrame:
     """The columns ``keep`` of every row, and what ``make`` computes from the row's text.
 
     ``make`` gets the texts of one Arrow batch as UTF-8 bytes (null: empty) and returns one array for each field.
     """
+    small_batches(df.sparkSession)
     src = df.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
     schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields)])
     names = schema.names

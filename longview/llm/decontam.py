@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from longview.llm.common import table
+from longview.llm.common import small_batches, table
 from longview.session import cut
 
 SHINGLE, RADIUS, MIN_SIMILARITY = 5, 12, 0.8
@@ -147,6 +147,7 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, least: floa
     items are reported each; repeated documents too. The benchmark goes to the tasks in slices of ``slice_bytes`` of text, so
     what a task holds has a bound for a benchmark of any size.
     """
+    small_batches(docs.sparkSession)
     sized = items.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, math.ceil(total / slice_bytes))

@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from longview.llm.common import byte_words, table
+from longview.llm.common import byte_words, small_batches, table
 from longview.session import cut
 
 ORDER, PROBES, BASE = 2, 6, 1.5
@@ -20,10 +21,10 @@ ORDER, PROBES, BASE = 2, 6, 1.5
 BITS_PER_ENTRY = PROBES / math.log(2)
 #: A model up to this size is sent to every task; a larger one is joined.
 MAX_BROADCAST_BYTES = 192 << 20
-#: Text of one step of a task, and of one segment of the model.
-STEP_BYTES, SEGMENT_BYTES = 4 << 20, 1 << 20
+#: Text of one step of counting, of one step of probing (which holds the model besides), and of one segment of the model.
+STEP_BYTES, PROBE_BYTES, SEGMENT_BYTES = 2 << 20, 1 << 20, 1 << 20
 SCORES = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
-FACTOR = np.uint64(0x9E3779B97F4A7C15)
+FACTOR, MASK = np.uint64(0x9E3779B97F4A7C15), (1 << 64) - 1
 
 
 def level_of(counts: np.ndarray) -> np.ndarray:
@@ -57,12 +58,12 @@ class Tokens:
             own.append(b"")  # the end; no word is empty
             words += own
             lengths.append(len(own))
-        codes, distinct = pd.factorize(np.array(words, dtype=object))
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        self.codes, self.words = pd.factorize(hashes)
         self.n = np.array(lengths, np.int64)
         self.doc = np.repeat(np.arange(len(lengths)), self.n)
         self.pos = np.arange(len(words)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
-        self.codes, self.words = codes, np.array([xxhash.xxh64_intdigest(w, 42) for w in distinct], np.uint64)
-        self.grams = [self.words[codes]]
+        self.grams = [hashes]
 
     def of(self, order: int) -> np.ndarray:
         while len(self.grams) < order:
@@ -73,13 +74,14 @@ class Tokens:
         return self.grams[order - 1]
 
 
-def _steps(texts: list[bytes]):
-    """Runs of texts of about STEP_BYTES."""
+def _steps(texts: pa.Array | list[bytes], most: int):
+    """Runs of texts of about ``most`` bytes; of an Arrow column only one run at a time becomes Python values."""
     some, size = [], 0
     for t in texts:
+        t = t if isinstance(t, bytes) else t.as_py()
         some.append(t)
         size += len(t)
-        if size >= STEP_BYTES:
+        if size >= most:
             yield some
             some, size = [], 0
     if some:
@@ -95,13 +97,23 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
+def _spread(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The high half of a hash, scaled to 0 .. bits - 1 (a segment has under 2**32 bits)."""
+    return (x >> np.uint64(32)) * bits >> np.uint64(32)
+
+
 def _where(gram: np.ndarray, level: int, bits: np.ndarray):
     """The PROBES bit positions of (gram, level) in segments of ``bits`` bits."""
-    a = _mix(gram + np.uint64(level * int(FACTOR) & 0xFFFFFFFFFFFFFFFF))
+    a = _mix(gram + np.uint64(level * int(FACTOR) & MASK))
     b = _mix(a ^ FACTOR) | np.uint64(1)
     with np.errstate(over="ignore"):
         for j in range(PROBES):
-            yield (a + np.uint64(j) * b) % bits
+            yield _spread(a + np.uint64(j) * b, bits)
+
+
+def _small(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits, or in 64 where one needs them."""
+    return counts.astype(np.uint32 if counts.max(initial=0) < 1 << 32 else np.uint64)
 
 
 def _segment(rows: pa.Table) -> pa.Table:
@@ -116,7 +128,7 @@ def _segment(rows: pa.Table) -> pa.Table:
         for at in _where(long[level >= q], q, np.uint64(size)):
             bits[at] = 1
     return pa.table({"seg": rows.column("seg")[:1], "size": pa.array([size], pa.int64()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-                     "words": pa.array([gram[one][by].tobytes()], pa.binary()), "counts": pa.array([n[one][by].tobytes()], pa.binary()),
+                     "words": pa.array([gram[one][by].tobytes()], pa.binary()), "counts": pa.array([_small(n[one][by]).tobytes()], pa.binary()),
                      "tokens": pa.array([int(n[one].sum())], pa.int64()), "distinct": pa.array([int(one.sum())], pa.int64())})
 
 
@@ -130,24 +142,26 @@ class Held:
         if not len(self.words):
             return np.zeros(len(words), np.int64)
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return np.where(self.words[at] == words, self.n[at], 0)
+        return np.where(self.words[at] == words, self.n[at], 0).astype(np.int64)
 
     def levels(self, gram: np.ndarray) -> np.ndarray:
-        """Levels are probed from one on until a probe fails."""
+        """Levels are probed from one on until a probe fails; each probe looks at what the one before has left."""
         out = np.zeros(len(gram), np.int64)
         seg = (gram >> np.uint64(self.shift)).astype(np.int64)
-        alive, level = np.flatnonzero(self.size[seg] > 0), 0
+        size, start = self.size[seg], self.start[seg]
+        alive, level = np.flatnonzero(size > 0), 0
         while len(alive):
             level += 1
-            size, start = self.size[seg[alive]], self.start[seg[alive]]
-            g, inside = gram[alive], np.arange(len(alive))
-            for at in _where(g, level, size):
-                at = at[inside]
-                byte = self.bits[start[inside] + (at >> np.uint64(3)).astype(np.int64)]
-                inside = inside[(byte >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
-                if not len(inside):
-                    break
-            alive = alive[inside]
+            a = _mix(gram[alive] + np.uint64(level * int(FACTOR) & MASK))
+            step, bits, byte = _mix(a ^ FACTOR) | np.uint64(1), size[alive], start[alive]
+            for j in range(PROBES):
+                with np.errstate(over="ignore"):
+                    at = _spread(a + np.uint64(j) * step, bits)
+                is_set = (self.bits[byte + (at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).view(bool)
+                if j == PROBES - 1:
+                    alive = alive[is_set]
+                else:
+                    alive, a, step, bits, byte = alive[is_set], a[is_set], step[is_set], bits[is_set], byte[is_set]
             out[alive] = level
         return out
 
@@ -159,10 +173,10 @@ def _hold(rows: list, segments: int) -> dict:
         size[r["seg"]], start[r["seg"]] = r["size"], at
         at += len(r["bits"])
     words = np.frombuffer(b"".join(r["words"] for r in rows), np.uint64)
-    n = np.frombuffer(b"".join(r["counts"] for r in rows), np.int64)
+    n = _small(np.concatenate([np.frombuffer(r["counts"], f"u{8 * len(r['counts']) // max(1, len(r['words']))}") for r in rows if r["words"]] or [np.empty(0, np.uint32)]))
     order = np.argsort(words, kind="stable")
     return {"size": size, "start": start, "bits": np.frombuffer(b"".join(r["bits"] for r in rows), np.uint8), "words": words[order],
-            "n": n[order].astype(np.int64), "shift": 64 - int(math.log2(segments))}
+            "n": n[order], "shift": 64 - int(math.log2(segments))}
 
 
 class Values:
@@ -199,14 +213,14 @@ class Model:
     def _sent(self, docs, keep, make, fields, text):
         src = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("__text"))
         schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(n, t) for n, t in fields)])
-        names, shared = schema.names, self.shared
+        names, shared, kinds = schema.names, self.shared, [to_arrow_type(t) for _, t in fields]
 
         def run(batches):
             held = Held(shared.value)
             for batch in batches:
-                parts = [make(some, held) for some in _steps(batch.column(batch.num_columns - 1).to_pylist())]
+                parts = [make(some, held) for some in _steps(batch.column(batch.num_columns - 1), PROBE_BYTES)]
                 if parts:
-                    cols = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(fields))]
+                    cols = [pa.array(np.concatenate([p[k] for p in parts]), kinds[k]) for k in range(len(fields))]
                     yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), *cols], names=names)
 
         return src.mapInArrow(run, schema)
@@ -241,14 +255,14 @@ class Model:
         own = held.join(values, ["o", "g"]).groupBy("__mark").agg(F.collect_list(F.struct("g", "v")).alias("__values"))
         both = known.join(own, "__mark", "left").select(*keep, F.col("__text").cast("binary"), F.col("__values.g").alias("__g"), F.col("__values.v").alias("__v"))
         schema = T.StructType([*both.schema.fields[:-3], *(T.StructField(n, t) for n, t in fields)])
-        names = schema.names
+        names, kinds = schema.names, [to_arrow_type(t) for _, t in fields]
 
         def run(batches):
             for batch in batches:
                 n = batch.num_columns - 3
                 parts = [make([t], Values(g, v)) for t, g, v in zip(*(batch.column(n + k).to_pylist() for k in range(3)))]
                 if parts:
-                    cols = [pa.array(np.concatenate([p[k] for p in parts])) for k in range(len(fields))]
+                    cols = [pa.array(np.concatenate([p[k] for p in parts]), kinds[k]) for k in range(len(fields))]
                     yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(n)), *cols], names=names)
 
         return both.mapInArrow(run, schema)
@@ -260,7 +274,8 @@ def _histories(tokens: Tokens, answers, order: int, counts: np.ndarray):
     for k in range(2, order + 1):
         at = np.flatnonzero((tokens.pos >= k - 1) & (np.concatenate([[0], before[:-1]]) > 0))
         history = before[at - 1]
-        level = answers.levels(tokens.of(k)[at])
+        codes, distinct = pd.factorize(tokens.of(k)[at])
+        level = answers.levels(distinct)[codes]
         level = np.minimum(level, level_of(history))  # an n-gram is no more frequent than its history
         yield k, at, history, level
         before = np.zeros(len(before))
@@ -277,13 +292,14 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", max_broadcast
     Weights: for each order and level of the history, the share of training tokens whose n-gram was seen more than once (one
     less the Good-Turing estimate of what is unseen), measured by probing the finished filter with all training texts.
     """
+    small_batches(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     segments = 1 << max(1, math.ceil(math.log2(max(1, size / SEGMENT_BYTES))))
     shift = 64 - int(math.log2(segments))
 
     def count(batches):
         for batch in batches:
-            for some in _steps(batch.column(0).to_pylist()):
+            for some in _steps(batch.column(0), STEP_BYTES):
                 tokens = Tokens(some)
                 for k in range(1, order + 1):
                     grams, n = np.unique(tokens.of(k)[tokens.pos >= k - 1], return_counts=True)
@@ -298,26 +314,20 @@ def train(docs: DataFrame, order: int = ORDER, text: str = "text", max_broadcast
         def seen(texts, answers):
             tokens = Tokens(texts)
             counts = answers.counts(tokens.words)[tokens.codes] if isinstance(answers, Held) else answers.counts(tokens.of(1))
-            out = np.zeros((len(texts), order + 1, 128, 2), np.int64)
-            for k, at, history, level in _histories(tokens, answers, order, counts):
+            out = np.zeros((order + 1, 128, 2), np.int64)
+            for k, _, history, level in _histories(tokens, answers, order, counts):
                 group = level_of(history)
-                np.add.at(out[0, k], (group, 0), 1)
-                np.add.at(out[0, k], (group[level > 1], 1), 1)
-            flat = [r.tobytes() if r.any() else None for r in out]
-            return [np.array(flat, dtype=object)]
-
-        # Counts of a whole step stand in its first row; the other rows are null.
-        found = model.each(docs, [], seen, [("found", T.BinaryType())], text).where("found is not null")
-
-        def add(batches):
-            total = np.zeros((order + 1, 128, 2), np.int64)
-            for batch in batches:
-                for b in batch.column(0).to_pylist():
-                    total += np.frombuffer(b, np.int64).reshape(total.shape)
-            o, g, _ = np.nonzero(total[:, :, :1])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (o, g, total[o, g, 0], total[o, g, 1])], names=["o", "g", "n", "twice"])
-
-        for o, g, n, twice in found.mapInArrow(add, "o long, g long, n long, twice long").groupBy("o", "g").agg(F.sum("n"), F.sum("twice")).collect():
+                out[k, :, 0] += np.bincount(group, minlength=128)
+                out[k, :, 1] += np.bincount(group[level > 1], minlength=128)
+            o, g = np.nonzero(out[:, :, 0])
+            found = np.empty(len(texts), dtype=object)
+            found[0] = np.stack([o, g, out[o, g, 0], out[o, g, 1]], axis=1).ravel().tolist()
+            return [found]
+
+        # Counts of a whole step stand in its first row, four numbers for each order and level; the other rows are null.
+        found = model.each(docs, [], seen, [("found", T.ArrayType(T.LongType()))], text).where("size(found) > 0")
+        each = F.expr("inline(transform(sequence(0, size(found) div 4 - 1), i -> named_struct('o', found[4 * i], 'g', found[4 * i + 1], 'n', found[4 * i + 2], 'm', found[4 * i + 3])))")
+        for o, g, n, twice in found.select(each).groupBy("o", "g").agg(F.sum("n"), F.sum("m")).collect():
             model.weights[o, g] = twice / n
     return model
 
