@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 import xxhash
 
+from longview.session import cut
 from longview.llm import chat, decontam, licenses, lines, ngrams, packing, pages, quality, shards, simhash
 
 RNG = random.Random(7)
@@ -107,7 +108,7 @@ def test_quality_rejects_outliers_only(spark):
     rng = random.Random(3)
     good = [(i, " ".join("x" * rng.randint(3, 8) for _ in range(200)), "en", "a" if i % 3 else "b") for i in range(600)]
     bad = [(1000 + i, " ".join("#" * 4 for _ in range(60)) + " " + " ".join(str(rng.random()) for _ in range(60)), "en", "a") for i in range(40)]
-    stats = quality.statistics(spark.createDataFrame(good + bad, SCHEMA), ["doc_id", "lang", "source"])
+    stats = cut(quality.statistics(spark.createDataFrame(good + bad, SCHEMA), ["doc_id", "lang", "source"]))
     kept = {r.doc_id for r in quality.judge(stats).where("kept").collect()}
     assert not any(i >= 1000 for i in kept) and len(kept) >= 597
 
