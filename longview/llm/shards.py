@@ -26,19 +26,25 @@ def _prefix(depth):
     return F.shiftright(F.col("h"), BITS - depth)
 
 
-def directory(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
-    """One entry for each used prefix of ``high`` bits: the depth (``low`` or more) of its shard and its bytes.
+def prefix_sums(rows: DataFrame, low: int, high: int) -> DataFrame:
+    """d, q, total: the bytes under every used prefix q of ``low`` to ``high`` bits; summed once over the longest, then upwards."""
+    ends = rows.groupBy(_prefix(high).alias("p")).agg(F.sum("bytes").alias("bytes"))
+    levels = ends.select("p", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("d"))
+    return levels.groupBy("d", F.expr(f"shiftright(p, {high} - d)").alias("q")).agg(F.sum("bytes").alias("total"))
+
 
-    Bytes are summed once over the longest prefixes; shorter ones add these sums up. The shard of an entry is the first depth
-    that fits, as a shard that fits is never split. ``depth`` is null where none does.
+def directory(sums: DataFrame, limit: int, high: int) -> DataFrame:
+    """p, depth and shard_bytes for each prefix of ``high`` bits under a prefix that fits.
+
+    A shard is a prefix that fits while the one a bit shorter does not; every prefix below it fits too. A prefix is compared with
+    its two extensions only, so no key of the comparison holds more than two rows. Entries that no row uses are listed as well,
+    as in any extendible directory.
     """
-    ends = rows.groupBy(_prefix(high).alias("p")).agg(F.sum("bytes").alias("bytes"))
-    levels = ends.select("p", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("d")).withColumn(
-        "q", F.expr(f"shiftright(p, {high} - d)"))
-    sums = levels.groupBy("d", "q").agg(F.sum("bytes").alias("total"))
-    fits = levels.join(sums, ["d", "q"]).where(F.col("total") <= limit)
-    first = fits.groupBy("p").agg(F.min(F.struct("d", "total")).alias("leaf"))
-    return ends.select("p").join(first, "p", "left").select("p", F.col("leaf.d").alias("depth"), F.col("leaf.total").alias("shard_bytes"))
+    fits = sums.where(F.col("total") <= limit)
+    shorter = fits.select((F.col("d") + 1).alias("d"), F.col("q").alias("_up"))
+    leaves = fits.withColumn("_up", F.expr("shiftright(q, 1)")).join(shorter, ["d", "_up"], "left_anti")
+    own = F.expr(f"sequence(shiftleft(q, {high} - d), shiftleft(q + 1, {high} - d) - 1)")
+    return leaves.select(F.explode(own).alias("p"), F.col("d").alias("depth"), F.col("total").alias("shard_bytes"))
 
 
 def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
@@ -52,8 +58,8 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     high = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 4)
     while True:
-        entries = cut(directory(rows, limit, low, high))
-        placed = rows.withColumn("p", _prefix(high)).join(entries, "p")
+        sums = cut(prefix_sums(rows, low, high))
+        placed = rows.withColumn("p", _prefix(high)).join(directory(sums, limit, high), "p", "left")
         if high == BITS:
             own = rows.groupBy("h").agg(F.sum("bytes").alias("own")).withColumnRenamed("h", "p")
             done.append(placed.join(own, "p").select("doc_id", "h", F.coalesce("depth", F.lit(BITS)).alias("depth"),
@@ -61,7 +67,7 @@ def assign(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
             break
         done.append(placed.where("depth is not null").select("doc_id", "h", "depth", "shard_bytes", F.lit(True).alias("fits")))
         open_rows = placed.where("depth is null").select("doc_id", "h", "bytes")
-        if entries.where("depth is null").isEmpty():
+        if sums.where((F.col("d") == high) & (F.col("total") > limit)).isEmpty():
             break
         rows, low, high = cut(open_rows), high + 1, min(BITS, high + 8)
     every = reduce(DataFrame.unionByName, done)
