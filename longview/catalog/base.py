@@ -116,18 +116,15 @@ series AS (SELECT *, row_number() OVER (PARTITION BY patient_id, round_key ORDER
 
 # ------------------------------------------------------------ labels and scores
 
-HORIZON_SCORE = "least(n_chars, 20000) / 40000.0{d} * {h} / 8.0{d}"
-
-
 def scores(spark: SparkSession, sf: str) -> DataFrame:
-    """A rising risk curve per document, a function of its length."""
-    base = F.least(F.col("n_chars"), F.lit(20000)) / F.lit(40000.0)
+    """A rising risk curve per document, a function of its length that no length levels off."""
+    base = F.col("n_chars") / (F.col("n_chars") + F.lit(2000.0))
     return load(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("patient_id"), *[(base * (h + 2) / F.lit(8.0)).alias(f"year_{h}") for h in range(1, 7)])
 
 
 SCORES_SQL = "scores AS (SELECT CAST(doc_id AS VARCHAR) AS patient_id, " + ", ".join(
-    f"least(n_chars, 20000) / 40000.0::DOUBLE * {h + 2} / 8.0::DOUBLE AS year_{h}" for h in range(1, 7)) + " FROM documents)"
+    f"n_chars / (n_chars + 2000.0::DOUBLE) * {h + 2} / 8.0::DOUBLE AS year_{h}" for h in range(1, 7)) + " FROM documents)"
 
 
 def splits(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,9 +91,9 @@ def _difference(spark, sf) -> DataFrame:
     return d.select(*OWN, joined("delta").alias("delta"), joined(V.clip_delta(F.col("delta"))).alias("stored"))
 
 
-def _compare(spark, sf):
+def _compare(spark, sf, block: int = K.BLOCK):
     base, later = _pairs(spark, sf)
-    return G.compare(base, later, shifts=SHIFTS, min_hu_delta=MIN_DELTA, **LIMITS)
+    return G.compare(base, later, shifts=SHIFTS, min_hu_delta=MIN_DELTA, block=block, **LIMITS)
 
 
 def _errors(spark, sf) -> DataFrame:
@@ -112,10 +112,10 @@ PLAIN_SQL = f"""{PAIR_SQL}, {lung_sql('early', -320, 'lung')}, {neighbourhood_sq
 delta AS (SELECT e.*, e.hu AS baseline, l.hu AS followup, l.hu - e.hu AS d, i.v AS inside FROM early e JOIN late l USING (volume_id, z, y, x) JOIN interior i USING (volume_id, z, y, x))"""
 
 
-def _find(spark, sf) -> DataFrame:
+def _find(spark, sf, block: int = K.BLOCK) -> DataFrame:
     base, later = _pairs(spark, sf)
     values = G.difference(base, G.onto_grid(later, base))
-    return _region_view(G.find_regions(values, K.erode(C.lung_mask(base), "mask", 1, "interior"), 1.5, MIN_DELTA, **LIMITS))
+    return _region_view(G.find_regions(values, K.erode(C.lung_mask(base, block=block), "mask", 1, "interior", block), 1.5, MIN_DELTA, block, **LIMITS))
 
 
 def _candidates(spark, sf) -> DataFrame:
@@ -127,14 +127,14 @@ def _candidates(spark, sf) -> DataFrame:
         "v is not null").withColumn("v", F.round("v", 4))
 
 
-def _pair_table(spark, sf) -> DataFrame:
-    pairs, _, _ = _compare(spark, sf)
+def _pair_table(spark, sf, block: int = K.BLOCK) -> DataFrame:
+    pairs, _, _ = _compare(spark, sf, block)
     return pairs.select("volume_id", "selected_stage", "alignment_before_hu", "alignment_after_hu", "registration_failed", "alignment_improved",
                         "inflation_shift_hu", "n_regions", "from_lung_ml", "to_lung_ml", "note")
 
 
-def _region_table(spark, sf) -> DataFrame:
-    return _region_view(_compare(spark, sf)[1])
+def _region_table(spark, sf, block: int = K.BLOCK) -> DataFrame:
+    return _region_view(_compare(spark, sf, block)[1])
 
 
 def _overlay(spark, sf):
@@ -233,12 +233,24 @@ OVERLAY_MATCH_SQL = """SELECT o_orderkey, NOT (o_orderkey % 5 <> 0 AND o_orderke
 
 def _targets(spark, sf) -> DataFrame:
     o = B.load(spark, sf, "orders")
-    overlays = o.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("overlay"), F.col("o_custkey").alias("patient_id"), F.col("o_orderpriority").alias("round"))
-    entries = B.load(spark, sf, "customer").filter("c_custkey % 3 <> 0").select(
+    patient = F.when(F.col("o_orderkey") % 5 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))  # no such patient
+    overlays = o.select(F.col("o_orderkey").alias("overlay"), patient.alias("patient_id"), F.col("o_orderpriority").alias("round"))
+    entries = B.load(spark, sf, "customer").select(
         F.col("c_custkey").alias("patient_id"), F.lit("1-URGENT").alias("round"), F.lit(12).alias("out_depth"), (F.col("c_nationkey") + 1).alias("out_rows"), F.lit(16).alias("out_cols"))
     return A.overlay_targets(overlays, entries).select("overlay", "patient_id", "round", "out_depth", "out_rows", "out_cols")
 
 
+COMPARED_SQL = f"""{SHIFT_SQL}, {lung_sql("(SELECT * FROM chest WHERE volume_id % 3 > 0)", -320, 'lung2')},
+shifted AS (SELECT volume_id, z, depth, y, x, p, baseline, followup, inside, d - shift_hu AS d FROM delta JOIN shift USING (volume_id) JOIN best USING (volume_id) WHERE selected_stage <> 'none'),
+{regions_sql('shifted', MIN_DELTA, 1.8, 0.0)}, ml AS (SELECT volume_id, sum(v) * 3.375::DOUBLE / 1000 AS m FROM lung GROUP BY 1), ml2 AS (SELECT volume_id - 1 AS volume_id, sum(v) * 3.375::DOUBLE / 1000 AS m FROM lung2 GROUP BY 1),
+pair_rows AS (SELECT volume_id, selected_stage, CAST(format('{{:.1f}}', before_hu) AS DOUBLE) AS alignment_before_hu, CAST(format('{{:.1f}}', after_hu) AS DOUBLE) AS alignment_after_hu,
+        selected_stage = 'none' AS registration_failed, CAST(format('{{:.1f}}', after_hu) AS DOUBLE) < CAST(format('{{:.1f}}', before_hu) AS DOUBLE) AS alignment_improved,
+        CAST(format('{{:.1f}}', shift_hu) AS DOUBLE) AS inflation_shift_hu, (SELECT count(*) FROM kept k WHERE k.volume_id = best.volume_id) AS n_regions,
+        CAST(format('{{:.1f}}', ml.m) AS DOUBLE) AS from_lung_ml, CAST(format('{{:.1f}}', ml2.m) AS DOUBLE) AS to_lung_ml,
+        CASE WHEN selected_stage = 'none' THEN 'Registration failed: no stage aligned these rounds better than leaving them unregistered, so no change regions are reported for this pair.' END AS note
+        FROM best JOIN shift USING (volume_id) JOIN ml USING (volume_id) JOIN ml2 USING (volume_id))"""
+
+
 QUERIES = {
     "volume_difference": (_difference, f"""WITH {PAIR_SQL} SELECT volume_id, z, {duck_joined('l.hu - e.hu', 'e.p')} AS delta,
         {duck_joined('greatest(least(l.hu - e.hu, 1024), -1024)', 'e.p')} AS stored FROM early e JOIN late l USING (volume_id, z, y, x) GROUP BY volume_id, z"""),
@@ -250,15 +262,7 @@ QUERIES = {
         {gaussian_sql('diff', 'd', 'smooth')} SELECT s.volume_id, s.z, s.p, round(s.v, 4) AS v FROM smooth s JOIN lung l USING (volume_id, z, y, x) WHERE l.v = 1 AND s.v > {MIN_DELTA}"""),
     "find_regions": (_find, f"""WITH RECURSIVE {PLAIN_SQL.replace("'v', 'min'", "'v', 'min'")}, {regions_sql('delta', MIN_DELTA, 1.8, 0.0)} SELECT {REGION_SELECT} FROM kept"""
                      .replace(neighbourhood_sql('lung', 'v', 'min', 'interior', 2), neighbourhood_sql('lung', 'v', 'min', 'interior', 1))),
-    "compare_pairs": (_pair_table, f"""WITH RECURSIVE {SHIFT_SQL}, {lung_sql("(SELECT * FROM chest WHERE volume_id % 3 > 0)", -320, 'lung2')},
-        shifted AS (SELECT volume_id, z, depth, y, x, p, baseline, followup, inside, d - shift_hu AS d FROM delta JOIN shift USING (volume_id) JOIN best USING (volume_id) WHERE selected_stage <> 'none'),
-        {regions_sql('shifted', MIN_DELTA, 1.8, 0.0)}, ml AS (SELECT volume_id, sum(v) * 3.375::DOUBLE / 1000 AS m FROM lung GROUP BY 1), ml2 AS (SELECT volume_id - 1 AS volume_id, sum(v) * 3.375::DOUBLE / 1000 AS m FROM lung2 GROUP BY 1)
-        SELECT volume_id, selected_stage, CAST(format('{{:.1f}}', before_hu) AS DOUBLE) AS alignment_before_hu, CAST(format('{{:.1f}}', after_hu) AS DOUBLE) AS alignment_after_hu,
-        selected_stage = 'none' AS registration_failed, CAST(format('{{:.1f}}', after_hu) AS DOUBLE) < CAST(format('{{:.1f}}', before_hu) AS DOUBLE) AS alignment_improved,
-        CAST(format('{{:.1f}}', shift_hu) AS DOUBLE) AS inflation_shift_hu, (SELECT count(*) FROM kept k WHERE k.volume_id = best.volume_id) AS n_regions,
-        CAST(format('{{:.1f}}', ml.m) AS DOUBLE) AS from_lung_ml, CAST(format('{{:.1f}}', ml2.m) AS DOUBLE) AS to_lung_ml,
-        CASE WHEN selected_stage = 'none' THEN 'Registration failed: no stage aligned these rounds better than leaving them unregistered, so no change regions are reported for this pair.' END AS note
-        FROM best JOIN shift USING (volume_id) JOIN ml USING (volume_id) JOIN ml2 USING (volume_id)"""),
+    "compare_pairs": (_pair_table, f"WITH RECURSIVE {COMPARED_SQL} SELECT * FROM pair_rows"),
     "compare_regions": (_region_table, f"""WITH RECURSIVE {SHIFT_SQL},
         shifted AS (SELECT volume_id, z, depth, y, x, p, baseline, followup, inside, d - shift_hu AS d FROM delta JOIN shift USING (volume_id) JOIN best USING (volume_id) WHERE selected_stage <> 'none'),
         {regions_sql('shifted', MIN_DELTA, 1.8, 0.0)} SELECT {REGION_SELECT} FROM kept"""),
@@ -275,6 +279,11 @@ QUERIES = {
     "attention_top": (_attention_top, f"WITH RECURSIVE {ATTENTION_SQL}, {TOP_SQL.format(p='prof')} SELECT * FROM best"),
     "attention_enrichment": (_enrichment, ENRICHMENT_SQL),
     "overlay_match": (_overlay_match, OVERLAY_MATCH_SQL),
-    "overlay_targets": (_targets, """SELECT o_orderkey AS overlay, o_custkey AS patient_id, o_orderpriority AS round, CASE WHEN c_custkey IS NOT NULL THEN 12 END AS out_depth, c_nationkey + 1 AS out_rows,
-        CASE WHEN c_custkey IS NOT NULL THEN 16 END AS out_cols FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND c_custkey % 3 <> 0 AND o_orderpriority = '1-URGENT' WHERE o_orderkey % 5 <> 0"""),
+    "overlay_targets": (_targets, """SELECT o_orderkey AS overlay, CASE WHEN o_orderkey % 5 = 0 THEN -1 - o_custkey ELSE o_custkey END AS patient_id, o_orderpriority AS round, CASE WHEN c_custkey IS NOT NULL THEN 12 END AS out_depth, c_nationkey + 1 AS out_rows,
+        CASE WHEN c_custkey IS NOT NULL THEN 16 END AS out_cols FROM orders LEFT JOIN customer ON c_custkey = o_custkey AND o_orderkey % 5 <> 0 AND o_orderpriority = '1-URGENT'"""),
 }
+
+# The same composites in blocks of four slices, so that halos and merges between blocks of one volume are met.
+SMALL_BLOCK = 4
+for _name, _fn in {"find_regions": _find, "compare_pairs": _pair_table, "compare_regions": _region_table}.items():
+    QUERIES[f"{_name}_small_blocks"] = (lambda s, d, fn=_fn: fn(s, d, SMALL_BLOCK), QUERIES[_name][1])

@@ -85,13 +85,13 @@ def _raw_lines(spark, sf) -> DataFrame:
     """Order lines as manifest lines, with headers, noise and unreadable copies among them."""
     k = F.col("l_orderkey")
     line = F.when(k % 50 == 0, F.concat(F.lit("# s5cmd header "), k.cast("string"))).when(k % 31 == 0, "mkdir out").when(
-        k % 41 == 0, "cp s3://bucket/short/* .").otherwise(F.concat(F.lit("cp s3://idc-open-data/"), B.uuid_of(k), F.lit("/* .")))
+        k % 41 == 0, "cp s3://bucket/short/* .").otherwise(F.concat(F.lit("cp s3://open-bucket/"), B.uuid_of(k), F.lit("/* .")))
     # Made once, as a line of a file would be, not again in every test on it.
     return load(spark, sf, "lineitem").select(k.alias("k"), F.explode(F.array(line)).alias("line"))
 
 
 MANIFEST_LINE = f"""CASE WHEN l_orderkey % 50 = 0 THEN concat('# s5cmd header ', CAST(l_orderkey AS VARCHAR(20))) WHEN l_orderkey % 31 = 0 THEN 'mkdir out'
-  WHEN l_orderkey % 41 = 0 THEN 'cp s3://bucket/short/* .' ELSE concat('cp s3://idc-open-data/', {B.uuid_text('l_orderkey')}, '/* .') END"""
+  WHEN l_orderkey % 41 = 0 THEN 'cp s3://bucket/short/* .' ELSE concat('cp s3://open-bucket/', {B.uuid_text('l_orderkey')}, '/* .') END"""
 LINES_SQL = rf"""lines AS (SELECT l_orderkey AS k, {MANIFEST_LINE} AS line FROM lineitem),
 classified AS (SELECT k, line, CASE WHEN starts_with(line, '#') THEN 'header' WHEN contains(line, 's3://') THEN 'copy' END AS kind,
   nullif(regexp_extract(line, 's3://[^/]+/([0-9a-f-]{{36}})/', 1), '') AS crdc_series_uuid FROM lines
@@ -112,12 +112,13 @@ def _lookup_sql(join: str) -> str:
 
 
 CAP_BYTES = 6e9
-SPLIT_LEFT = "o_orderkey % 4 = 0"
+# Every order is on a side by its customer; some customers are on both.
+SIDE_LEFT, SIDE_RIGHT = "o_custkey % 3 > 0 OR o_custkey % 11 = 0", "o_custkey % 3 = 0 OR o_custkey % 13 = 0"
 
 
 def _two_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
     o = load(spark, sf, "orders").withColumn("patient_id", F.col("o_custkey").cast("string"))
-    return o.filter(F.expr(SPLIT_LEFT)), o.filter("o_orderkey % 9 = 1")
+    return o.filter(F.expr(SIDE_LEFT)), o.filter(F.expr(SIDE_RIGHT))
 
 
 def _wrong(spark, sf) -> DataFrame:
@@ -264,7 +265,7 @@ QUERIES = {
     "split_summary": (_summary, f"{SPLIT_TABLE_SQL} {SUMMARY_SQL.format(t='stratified')}"),
     "duplicate_ids": (lambda s, d: S.duplicate_ids(load(s, d, "lineitem"), "l_orderkey").select("l_orderkey", "rows"), "SELECT l_orderkey, count(*) AS rows FROM lineitem GROUP BY 1 HAVING count(*) > 1"),
     "unexpected_splits": (lambda s, d: S.unexpected_splits(load(s, d, "orders").select(F.col("o_orderstatus").alias("split")), ["F", "O"]), "SELECT DISTINCT o_orderstatus AS split FROM orders WHERE o_orderstatus NOT IN ('F', 'O') OR o_orderstatus IS NULL"),
-    "leaked_patients": (lambda s, d: S.shared_ids(*_two_sides(s, d)), f"SELECT CAST(o_custkey AS VARCHAR) AS patient_id FROM orders WHERE {SPLIT_LEFT} INTERSECT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderkey % 9 = 1"),
+    "leaked_patients": (lambda s, d: S.shared_ids(*_two_sides(s, d)), f"SELECT CAST(o_custkey AS VARCHAR) AS patient_id FROM orders WHERE {SIDE_LEFT} INTERSECT SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE {SIDE_RIGHT}"),
     "wrong_split_ids": (_wrong, f"""WITH hashed AS (SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_mktsegment, {B.duck_bucket('CAST(c_custkey AS VARCHAR)')} AS bucket FROM customer),
         {STRATA_SQL.format(s='c_mktsegment')} SELECT patient_id, split FROM stratified WHERE split <> 'test' AND patient_id IN (SELECT CAST(o_custkey AS VARCHAR) FROM orders)"""),
     "merge_labels": (lambda s, d: L.merge_labels(_patients(s, d), *_label_tables(s, d)),

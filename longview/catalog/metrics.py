@@ -86,25 +86,27 @@ TEST_SQL = f"{LONG_SQL}, {metrics_sql(chr(34) + 'split' + chr(34) + chr(61) + ch
 
 
 def _curves(spark, sf) -> DataFrame:
-    """Six neighbouring components of each embedding as a would-be curve."""
+    """All components of each embedding, six to a would-be curve; the last one is short."""
     e = B.load(spark, sf, "embeddings")
-    curve = F.transform(F.slice("embedding", 1, 6), lambda v, i: F.when(F.col("vec_id") % 3 == 0, i * 0.1 + 0.05).when(
-        F.col("vec_id") % 5 == 0, F.abs(v.cast("double")) + i).otherwise(F.abs(v.cast("double"))))
-    short = F.when(F.col("vec_id") % 7 == 0, F.slice(curve, 1, 5)).otherwise(curve)
-    return e.select("vec_id", short.alias("curve"))
+    six = F.transform(F.sequence(F.lit(1), F.size("embedding"), F.lit(6)), lambda k: F.slice("embedding", k, 6))
+    parts = e.select("vec_id", F.posexplode(six).alias("part", "px"))
+    k = F.col("vec_id") + F.col("part")
+    curve = F.transform("px", lambda v, i: F.when(k % 3 == 0, i * 0.1 + 0.05).when(k % 5 == 0, F.abs(v.cast("double")) + i).otherwise(F.abs(v.cast("double"))))
+    return parts.select("vec_id", "part", curve.alias("curve"))
 
 
-CURVES_SQL = """curves AS (SELECT vec_id, list_transform(range(0, CASE WHEN vec_id % 7 = 0 THEN 5 ELSE 6 END), lambda i: CASE WHEN vec_id % 3 = 0 THEN i * 0.1::DOUBLE + 0.05::DOUBLE
-  WHEN vec_id % 5 = 0 THEN abs(CAST(embedding[i + 1] AS DOUBLE)) + i ELSE abs(CAST(embedding[i + 1] AS DOUBLE)) END) AS curve FROM embeddings)"""
+CURVES_SQL = """parts AS (SELECT vec_id, k AS part, embedding[k * 6 + 1 : k * 6 + 6] AS px FROM (SELECT vec_id, embedding, unnest(range(CAST(ceil(len(embedding) / 6) AS BIGINT))) AS k FROM embeddings)),
+curves AS (SELECT vec_id, part, list_transform(range(0, len(px)), lambda i: CASE WHEN (vec_id + part) % 3 = 0 THEN i * 0.1::DOUBLE + 0.05::DOUBLE
+  WHEN (vec_id + part) % 5 = 0 THEN abs(CAST(px[i + 1] AS DOUBLE)) + i ELSE abs(CAST(px[i + 1] AS DOUBLE)) END) AS curve FROM parts)"""
 
 
 def _violations(spark, sf) -> DataFrame:
-    return _curves(spark, sf).select("vec_id", R.curve_violation(F.col("curve")).alias("violation"))
+    return _curves(spark, sf).select("vec_id", "part", R.curve_violation(F.col("curve")).alias("violation"))
 
 
 def _monotone(spark, sf) -> DataFrame:
     c = _curves(spark, sf).withColumn("m", R.monotone(F.col("curve")))
-    return c.select("vec_id", F.posexplode("m").alias("i", "value")).withColumn("value", F.round("value", 9))
+    return c.select("vec_id", "part", F.posexplode("m").alias("i", "value")).withColumn("value", F.round("value", 9))
 
 
 def _risk_struct(spark, sf) -> DataFrame:
@@ -129,6 +131,16 @@ fit AS (SELECT score, max(m) AS v FROM low JOIN pts ON i = b GROUP BY 1)
 SELECT patient_id, round(v, 6) AS year_1, round(v, 6) AS year_6 FROM train JOIN fit ON score = year_1"""
 
 
+# The fit at val scores: between two neighbouring train scores it is linear, beyond them constant. All horizons scale one score.
+ISOTONIC_REPORT_SQL = f"""{ISOTONIC_SQL.split('SELECT patient_id, round(v')[0]}, long AS ({' UNION ALL '.join(f"SELECT 'year_{h}' AS horizon, year_{h} AS score, label, split FROM merged" for h in R.HORIZONS)}),
+held AS (SELECT patient_id, label, year_1 AS x FROM merged WHERE split = 'val'),
+fitted AS (SELECT label, CASE WHEN a.score IS NULL THEN b.v WHEN b.score IS NULL OR b.score = a.score THEN a.v ELSE a.v + (b.v - a.v) * (x - a.score) / (b.score - a.score) END AS p
+  FROM held ASOF LEFT JOIN fit a ON x >= a.score ASOF LEFT JOIN fit b ON x <= b.score),
+after AS (SELECT avg((p - label) * (p - label)) AS brier_after FROM fitted),
+{metrics_sql("split = 'val'")}
+SELECT horizon, n, {py('roc_auc', 4)} AS roc_auc, {py('brier', 5)} AS brier_before, {py('brier_after', 5)} AS brier_after FROM metrics, after"""
+
+
 def _platt(spark, sf) -> DataFrame:
     cal = K.Calibrator("platt").fit(_labelled(spark, sf, "train"))
     return cal.knots(spark).select("horizon", F.round("boundary", 4).alias("slope"), F.round("prediction", 4).alias("intercept"))
@@ -178,15 +190,15 @@ QUERIES = {
     "evaluation_horizons": (lambda s, d: _report("horizons")(s, d).drop("note"),
                             f"""WITH {TEST_SQL} SELECT horizon, n, n_positive, {py('base_rate', 4)} AS base_rate, {py('roc_auc', 4)} AS roc_auc, {py('auprc', 4)} AS auprc,
                             {py(py('auprc', 4) + ' / base_rate', 2)} AS auprc_lift, {py('brier', 5)} AS brier, {py('roc_auc', 4)} AS c_index FROM metrics"""),
-    "curve_violations": (_violations, f"""WITH {CURVES_SQL} SELECT vec_id, CASE WHEN len(curve) <> 6 THEN 'length' WHEN list_max(curve) > 1 OR list_min(curve) < 0 THEN 'range'
+    "curve_violations": (_violations, f"""WITH {CURVES_SQL} SELECT vec_id, part, CASE WHEN len(curve) <> 6 THEN 'length' WHEN list_max(curve) > 1 OR list_min(curve) < 0 THEN 'range'
         WHEN len(list_filter(range(1, 6), lambda i: curve[i + 1] < curve[i] - 1e-6)) > 0 THEN 'decrease' END AS violation FROM curves"""),
-    "monotone_curve": (_monotone, f"""WITH {CURVES_SQL}, c AS (SELECT vec_id, generate_subscripts(curve, 1) - 1 AS i, unnest(curve) AS v FROM curves)
-        SELECT vec_id, i, round(max(greatest(least(v, 1), 0)) OVER (PARTITION BY vec_id ORDER BY i), 9) AS value FROM c"""),
+    "monotone_curve": (_monotone, f"""WITH {CURVES_SQL}, c AS (SELECT vec_id, part, generate_subscripts(curve, 1) - 1 AS i, unnest(curve) AS v FROM curves)
+        SELECT vec_id, part, i, round(max(greatest(least(v, 1), 0)) OVER (PARTITION BY vec_id, part ORDER BY i), 9) AS value FROM c"""),
     "risk_record": (_risk_struct, f"WITH {B.SCORES_SQL} SELECT patient_id, CAST(format('{{:.6f}}', year_1) AS DOUBLE) AS year_1, CAST(format('{{:.6f}}', year_6) AS DOUBLE) AS year_6, false AS calibrated, 6 AS n FROM scores"),
     "isotonic_calibration": (_isotonic, ISOTONIC_SQL),
     "platt_calibration": (_platt, PLATT_SQL),
     "calibration_fit_info": (lambda s, d: K.fit_info(_labelled(s, d, "train"), "isotonic"),
                              f"WITH {MERGED_SQL} SELECT count(*) AS n_train, sum(label) AS n_train_positive, {py('avg(label)', 4)} AS train_positive_rate, 'isotonic' AS method FROM merged WHERE split = 'train'"),
     "calibration_report_platt": (_held_out, PLATT_REPORT_SQL),
-    "calibration_report_isotonic": (_held_out_isotonic, None),
+    "calibration_report_isotonic": (_held_out_isotonic, ISOTONIC_REPORT_SQL),
 }

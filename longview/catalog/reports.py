@@ -11,15 +11,18 @@ from longview.operators import inventory as I
 from longview.operators import jobs as J
 from longview.operators import saliency as A
 from longview.operators.change import report_region
+from longview.operators.cohort import patient_overview
 from longview.operators.slices import top_slices
 from longview.plans import results as R
-from longview.plans.cohort import build_cohort
+from longview.plans.cohort import build_cohort, patient_bundle
 from longview.session import cut
 from longview.sources.sinks import json_document
 
 from . import base as B
 from .base import load
-from .change import _attention, _compare
+from .change import ATTENTION_SQL, COMPARED_SQL, _attention, _compare
+from .metrics import py
+from .volumes import TOP_SQL
 
 REV, AT = "0000000", "2024-01-01T00:00:00+00:00"
 
@@ -109,26 +112,95 @@ FROM latest LEFT JOIN known k USING (patient_id) LEFT JOIN tied t ON t.year_1 =
 
 def _change_block(spark, sf) -> DataFrame:
     pairs, regions, _ = _compare(spark, sf)
-    named = pairs.withColumns({
+    regions = cut(report_region(regions))  # a short table; the record repeats no rounding
+    named = cut(pairs).withColumns({
         "patient_id": F.floor(F.col("volume_id") / 3).cast("string"), "from_round": F.concat(F.lit("T"), (F.col("volume_id") % 3).cast("string")),
         "to_round": F.concat(F.lit("T"), (F.col("volume_id") % 3 + 1).cast("string"))})
 
+    return R.change_block(named, regions)
 
-    return R.change_block(named, report_region(regions))
 
-
-def _results(spark, sf) -> DataFrame:
+def _results(spark, sf, splits: DataFrame | None = None) -> DataFrame:
     field = _attention(spark, sf)
     tops = top_slices(A.profile(field, "px", A.ATTENTION_FLOOR)).withColumn("patient_id", F.floor(F.col("volume_id") / 3).cast("string"))
     latest = tops.groupBy("patient_id").agg(F.max_by("top_slices", "volume_id").alias("top_slices"))
     series = _series(spark, sf)
-    return R.results_objects(series, _risk(spark, sf, series), _change_block(spark, sf), latest, REV, AT)
+    return R.results_objects(series, _risk(spark, sf, series), _change_block(spark, sf), latest, REV, AT, splits=splits)
 
 
 def _results_view(spark, sf) -> DataFrame:
     return json_document(_results(spark, sf), "patient_id")
 
 
+def _results_pairs(spark, sf) -> DataFrame:
+    p = _results(spark, sf).select("patient_id", F.explode("change.pairs").alias("p"))
+    return p.select("patient_id", *[f"p.{c}" for c in R.PAIR_FIELDS if c not in ("alignment_by_stage_hu", "shape")],
+                    F.array_join("p.shape", ",").alias("shape"), F.coalesce(F.size("p.regions"), F.lit(0)).alias("n_listed"),
+                    F.concat_ws(" ", "p.top.kind", "p.top.side", F.col("p.top.slice").cast("string")).alias("top"))
+
+
+def _results_stages(spark, sf) -> DataFrame:
+    p = _results(spark, sf).select("patient_id", F.explode("change.pairs").alias("p"))
+    return p.select("patient_id", "p.from_round", F.explode("p.alignment_by_stage_hu").alias("stage", "error_hu"))
+
+
+def _region_rows(regions: DataFrame) -> DataFrame:
+    return regions.withColumns({"bbox": F.array_join("bbox", ","), **{f"centroid_{a}_mm": F.get("centroid_mm", F.lit(i)) for i, a in enumerate("zyx")}}).drop("centroid_mm")
+
+
+def _results_regions(spark, sf) -> DataFrame:
+    p = _results(spark, sf).select("patient_id", F.explode("change.pairs").alias("p"))
+    return _region_rows(p.select("patient_id", "p.from_round", "p.to_round", F.inline("p.regions")))
+
+
+def _results_attention(spark, sf) -> DataFrame:
+    return _results(spark, sf).select("patient_id", F.array_join("attention.top_slices", ",").alias("top_slices"), "change.note")
+
+
+# What the records say of pairs and regions, for patients of the series table.
+RECORD_SQL = f"""WITH RECURSIVE {COMPARED_SQL}, {B.PRIMARY_SQL}, known AS (SELECT DISTINCT patient_id FROM series WHERE is_primary),
+named AS (SELECT CAST(volume_id // 3 AS VARCHAR) AS patient_id, 'T' || volume_id % 3 AS from_round, 'T' || volume_id % 3 + 1 AS to_round, * FROM pair_rows),
+told AS (SELECT volume_id, rank, slice, concat_ws(',', z0, y0, x0, z1, y1, x1) AS bbox, {', '.join(f"{py(c, 1)} AS {c}" for c in ("volume_mm3", "mean_delta_hu", "peak_delta_hu", "baseline_hu", "followup_hu", "elongation"))},
+  {py('diameter_mm', 1)} AS delta_mm, {py('fill_fraction', 2)} AS fill_fraction, kind, side, {py('cz', 1)} AS centroid_z_mm, {py('cy', 1)} AS centroid_y_mm, {py('cx', 1)} AS centroid_x_mm FROM kept)"""
+RESULTS_PAIRS_SQL = f"""{RECORD_SQL} SELECT patient_id, from_round, to_round, n_regions, registration_failed, false AS deformable, selected_stage, alignment_before_hu, alignment_after_hu,
+  inflation_shift_hu, 1.5::DOUBLE AS spacing_mm, from_lung_ml, to_lung_ml, note, (SELECT max(depth) FROM early e WHERE e.volume_id = n.volume_id) || ',16,16' AS shape, n_regions AS n_listed,
+  coalesce(kind || ' ' || side || ' ' || slice, '') AS top FROM named n LEFT JOIN told t ON t.volume_id = n.volume_id AND rank = 1 WHERE patient_id IN (SELECT patient_id FROM known)"""
+RESULTS_REGIONS_SQL = f"""{RECORD_SQL} SELECT patient_id, from_round, to_round, told.* EXCLUDE (volume_id) FROM named JOIN told USING (volume_id) WHERE patient_id IN (SELECT patient_id FROM known)"""
+RESULTS_STAGES_SQL = f"""{RECORD_SQL} SELECT patient_id, from_round, stage, {py('error_hu', 1)} AS error_hu FROM named JOIN errors USING (volume_id) WHERE patient_id IN (SELECT patient_id FROM known)"""
+RESULTS_ATTENTION_SQL = f"""WITH RECURSIVE {ATTENTION_SQL}, {TOP_SQL.format(p='prof')}, {B.PRIMARY_SQL}, last AS (SELECT CAST(volume_id // 3 AS VARCHAR) AS patient_id, arg_max(top_slices, volume_id) AS top_slices FROM best GROUP BY 1)
+SELECT patient_id, coalesce(any_value(top_slices), '') AS top_slices, CASE WHEN count(DISTINCT round_key) < 2 THEN '{N.ONE_ROUND_NOTE}' END AS note FROM series LEFT JOIN last USING (patient_id) WHERE is_primary GROUP BY 1"""
+
+
+def _declared(spark, sf) -> DataFrame:
+    """A splits table that the hash would not give: by the id's last digit, some patients missing."""
+    k = F.col("c_custkey")
+    return load(spark, sf, "customer").select(k.cast("string").alias("patient_id"), F.when(k % 5 == 0, "test").otherwise("train").alias("split")).filter(k % 7 != 0)
+
+
+def _declared_splits(spark, sf) -> DataFrame:
+    series, table = _series(spark, sf), _declared(spark, sf)
+    overview = patient_overview(series, splits=table).select("patient_id", F.col("split").alias("overview_split"))
+    return patient_bundle(series, splits=table).select("patient_id", "split").join(overview, "patient_id")
+
+
+DECLARED_SQL = f"""WITH {B.PRIMARY_SQL}, s AS (SELECT DISTINCT patient_id, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split
+  FROM series LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = patient_id AND c_custkey % 7 <> 0 WHERE is_primary) SELECT patient_id, split, split AS overview_split FROM s"""
+
+
+def _broken_curves(spark, sf) -> DataFrame:
+    """Scores of which some fall over the years or leave the range: only their own patients lose their risk."""
+    k = F.col("patient_id").cast("long")
+    s = B.scores(spark, sf).withColumn("year_6", F.when(k % 4 == 0, 1.5).when(k % 9 == 0, F.col("year_5") * 0.5).otherwise(F.col("year_6")))
+    risk = R.risk_block(_series(spark, sf), s, K.Calibrator(), None, "stand-in")
+    return risk.select("patient_id", "risk.unavailable", "risk.reason", "risk.model", "risk.year_1")
+
+
+BROKEN_SQL = f"""WITH {B.PRIMARY_SQL}, {B.SCORES_SQL}, s AS (SELECT patient_id, year_1, CASE WHEN CAST(patient_id AS BIGINT) % 4 = 0 THEN 'range' WHEN CAST(patient_id AS BIGINT) % 9 = 0 AND year_5 > 2e-6 THEN 'decrease' END AS bad FROM scores)
+SELECT patient_id, s.year_1 IS NULL OR bad IS NOT NULL AS unavailable, CASE WHEN bad IS NOT NULL THEN '{N.INVALID_CURVE}' || bad WHEN s.year_1 IS NULL THEN '{N.NO_SCORE}' END AS reason,
+  CASE WHEN s.year_1 IS NULL OR bad IS NOT NULL THEN 'none' ELSE 'stand-in' END AS model, CASE WHEN bad IS NULL THEN {py('s.year_1', 6)} END AS year_1
+FROM (SELECT DISTINCT patient_id FROM series WHERE is_primary) LEFT JOIN s USING (patient_id)"""
+
+
 def _results_heads(spark, sf) -> DataFrame:
     """What every results object states before any change is compared."""
     series = _series(spark, sf)
@@ -222,6 +294,13 @@ QUERIES = {
     "risk_block": (_risk_view, RISK_SQL),
     "results_heads": (_results_heads, HEADS_SQL),
     "results_objects": (_results_view, None),
+    "results_pairs": (_results_pairs, RESULTS_PAIRS_SQL),
+    "results_stage_errors": (_results_stages, RESULTS_STAGES_SQL),
+    "results_regions": (_results_regions, RESULTS_REGIONS_SQL),
+    "results_attention": (_results_attention, RESULTS_ATTENTION_SQL),
+    "panel_regions": (lambda s, d: _region_rows(R.panel_regions(_results(s, d))), f"{RESULTS_REGIONS_SQL} AND rank <= {R.PANEL_REGIONS}"),
+    "declared_splits": (_declared_splits, DECLARED_SQL),
+    "broken_curves": (_broken_curves, BROKEN_SQL),
     "json_documents": (_json, JSON_SQL),
     "changes_only": (lambda s, d: J.changes_only(events(s, d)).select("job_id", "seq", "status", "stage", "message", "progress"),
                      f"""WITH {EVENTS_SQL}, l AS (SELECT *, lag((status, stage, message, progress)) OVER w AS before, coalesce(sum((status IN ('done', 'error'))::INT) OVER (PARTITION BY job_id ORDER BY ts, seq

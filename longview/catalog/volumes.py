@@ -299,6 +299,7 @@ QUERIES = {
     "fill_holes": (lambda s, d: _mask_text(_mask(B.slices(s, d), -400).withColumn("px", K.fill_holes(F.col("mask"), F.col("rows"), F.col("cols"))), "px"),
                    f"WITH RECURSIVE {MASK_SQL.replace('-200', '-400')}, {fill_sql('m', 'q')} {vox_text('v', 'q')}"),
     "connected_components": (_component_table, COMPONENT_SQL),
+    "lung_mask_small_blocks": (lambda s, d: _mask_text(C.lung_mask(B.chest(s, d), block=4), "mask"), f"WITH RECURSIVE {CHEST_SQL}, {lung_sql('chest', -320, 'lung')} {vox_text('v', 'lung')}"),
     "lung_mask": (lambda s, d: _mask_text(_lung(s, d), "mask"), f"WITH RECURSIVE {CHEST_SQL}, {lung_sql('chest', -320, 'lung')} {vox_text('v', 'lung')}"),
     "lung_volume": (lambda s, d: S.mask_volume_ml(_lung(s, d), F.lit(3.375)).select("volume_id", "voxels", F.round("volume_ml", 6).alias("volume_ml")),
                     f"WITH RECURSIVE {CHEST_SQL}, {lung_sql('chest', -320, 'lung')} SELECT volume_id, sum(v)::BIGINT AS voxels, round(sum(v) * 3.375::DOUBLE / 1000, 6) AS volume_ml FROM lung GROUP BY 1"),

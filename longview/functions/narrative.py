@@ -18,6 +18,8 @@ DEFORMABLE_CAVEAT = ("Deformable registration did not complete for this pair, so
                      "may not be fully removed.")
 FAILED_NOTE = ("Registration failed: no stage aligned these rounds better than leaving them unregistered, "
                "so no change regions are reported for this pair.")
+INVALID_CURVE = "invalid risk curve: "
+NO_SCORE = "no risk score was given for this patient"
 ONE_ROUND_NOTE = "Only one screening round is available, so there is nothing to compare."
 
 

@@ -7,8 +7,10 @@ array and never multiply rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,23 +134,35 @@ def grid_coordinate(index: Column, n_in: Column, n_out: Column) -> Column:
     return F.when(n_out > 1, index * (n_in - 1) / F.greatest(n_out - 1, F.lit(1))).otherwise(F.lit(0.0))
 
 
-def resize_plane(px: Column, rows: Column, cols: Column, out_rows: Column, out_cols: Column) -> Column:
-    """Bilinear resize of one slice, ends mapped to ends."""
+def _axis(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower and upper neighbour and the weight of the upper one, for every output index of an axis."""
+    at = np.arange(n_out) * (n_in - 1) / max(n_out - 1, 1) if n_out > 1 else np.zeros(n_out)
+    low = np.floor(at).astype(np.int64)
+    return low, np.minimum(low + 1, n_in - 1), at - low
 
-    def pixel(y: Column, x: Column) -> Column:
-        return F.get(px, (y * cols + x).cast("int")).cast("double")
 
-    def value(i: Column) -> Column:
-        cy = grid_coordinate((i / out_cols).cast("int"), rows, out_rows)
-        cx = grid_coordinate(i % out_cols, cols, out_cols)
-        y0, x0 = F.floor(cy), F.floor(cx)
-        y1, x1 = F.least(y0 + 1, rows - 1), F.least(x0 + 1, cols - 1)
-        wy, wx = cy - y0, cx - x0
-        top = pixel(y0, x0) * (1 - wx) + pixel(y0, x1) * wx
-        low = pixel(y1, x0) * (1 - wx) + pixel(y1, x1) * wx
-        return top * (1 - wy) + low * wy
+def resize_plane(px: Column, rows: Column, cols: Column, out_rows: Column, out_cols: Column) -> Column:
+    """Bilinear resize of one slice, ends mapped to ends.
 
-    return F.transform(F.sequence(F.lit(0), (out_rows * out_cols - 1).cast("int")), value)
+    An index vector per axis replaces an expression tree per output pixel, which Spark would interpret.
+    """
+
+    @F.pandas_udf("array<double>")
+    def resized(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for planes, h, w, oh, ow in parts:
+            made = []
+            for plane, shape in zip(planes, zip(h, w, oh, ow)):
+                if plane is None:
+                    made.append(None)
+                    continue
+                y0, y1, wy = _axis(shape[0], shape[2])
+                x0, x1, wx = _axis(shape[1], shape[3])
+                p = np.asarray(plane, np.float64).reshape(shape[0], shape[1])
+                along = p[:, x0] * (1 - wx) + p[:, x1] * wx
+                made.append((along[y0] * (1 - wy)[:, None] + along[y1] * wy[:, None]).ravel())
+            yield pd.Series(made, dtype=object)
+
+    return resized(px, rows, cols, out_rows, out_cols)
 
 
 def nearest_plane(px: Column, rows: Column, cols: Column, out_rows: Column, out_cols: Column) -> Column:

@@ -99,22 +99,48 @@ def box_stack(stack: np.ndarray, zs: np.ndarray, depth: int, radius: int, reduce
     return out
 
 
-def fill_holes_stack(stack: np.ndarray) -> np.ndarray:
-    """Set background that cannot reach a slice's border by 4-neighbour steps."""
-    free = stack == 0
-    seen = np.zeros_like(free)
-    seen[:, [0, -1], :] = free[:, [0, -1], :]
-    seen[:, :, [0, -1]] = free[:, :, [0, -1]]
+def slab_runs(mask: np.ndarray, across: bool = True) -> tuple[np.ndarray, ...]:
+    """Row runs of a stack (z, y, first and last x) and the run that names the component each belongs to.
+
+    Components join slices only if ``across``.
+    """
+    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (0, 0), (1, 1))), axis=2)
+    z, y, x0 = np.nonzero(edge == 1)
+    x1 = np.nonzero(edge == -1)[2] - 1
+    run = np.cumsum(edge[:, :, :-1] == 1).reshape(mask.shape) * mask  # run number from 1, 0 outside
+    label = np.arange(len(z) + 1)
+    pairs = []
+    for a, b in ((run[:, :-1], run[:, 1:]), (run[:-1], run[1:]))[:1 + across]:
+        both = (a > 0) & (b > 0)
+        pairs.append(np.unique(np.stack([a[both], b[both]]), axis=1))
+    a, b = np.concatenate(pairs, axis=1)
     while True:
-        grown = seen.copy()
-        grown[:, 1:] |= seen[:, :-1]
-        grown[:, :-1] |= seen[:, 1:]
-        grown[:, :, 1:] |= seen[:, :, :-1]
-        grown[:, :, :-1] |= seen[:, :, 1:]
-        grown &= free
-        if (grown == seen).all():
-            return (~seen).astype(np.int32)
-        seen = grown
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            return z, y, x0, x1, label[1:] - 1
+        label = new
+
+
+def filled_runs(z: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, shape: tuple[int, int, int]) -> np.ndarray:
+    """Disjoint row runs as a 0/1 stack: a mark where a run starts, one after its end, summed along the row."""
+    marks = np.zeros((*shape[:2], shape[2] + 1), np.int32)
+    np.add.at(marks, (z, y, x0), 1)
+    np.add.at(marks, (z, y, x1 + 1), -1)
+    return np.cumsum(marks, axis=2, dtype=np.int32)[:, :, :-1]
+
+
+def fill_holes_stack(stack: np.ndarray) -> np.ndarray:
+    """Set background that cannot reach a slice's border by 4-neighbour steps: components of its runs that no border run names."""
+    z, y, x0, x1, first = slab_runs(stack == 0, across=False)
+    _, rows, cols = stack.shape
+    outside = np.zeros(len(z), bool)
+    outside[first[(y == 0) | (y == rows - 1) | (x0 == 0) | (x1 == cols - 1)]] = True
+    seen = outside[first]
+    return 1 - filled_runs(z[seen], y[seen], x0[seen], x1[seen], stack.shape)
 
 
 def gaussian(slices: DataFrame, pixels: str, out: str = "smoothed", block: int = BLOCK) -> DataFrame:

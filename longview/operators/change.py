@@ -7,6 +7,10 @@ each candidate alignment) and ``masks`` (mask). Every step covers all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,23 +80,67 @@ def best_stage(errors: DataFrame) -> DataFrame:
     return errors.groupBy("volume_id").agg(
         F.min_by("stage", F.struct(F.coalesce("error_hu", F.lit(float("inf"))).alias("e"), F.col("stage_order"))).alias("selected_stage"),
         F.min("error_hu").alias("alignment_after_hu"),
-        F.max(F.when(F.col("stage") == "none", F.col("error_hu"))).alias("alignment_before_hu"))
+        F.max(F.when(F.col("stage") == "none", F.col("error_hu"))).alias("alignment_before_hu"),
+        # One entry per candidate of the search.
+        F.array_sort(F.collect_list(F.struct("stage_order", "stage", "error_hu"))).alias("alignment_by_stage_hu"))
+
+
+def value_counts(px: Column, mask: Column) -> Column:
+    """Distinct values under a slice's mask with how often each occurs."""
+
+    @F.pandas_udf("array<struct<v:double,n:bigint>>")
+    def counted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, masks in parts:
+            yield pd.Series([[{"v": float(v), "n": int(n)} for v, n in zip(*np.unique(np.asarray(a)[np.asarray(m) != 0], return_counts=True))]
+                             for a, m in zip(values, masks)], dtype=object)
+
+    return counted(px, mask)
 
 
 def inflation_shift(delta: DataFrame, masks: DataFrame, mask: str = "interior") -> DataFrame:
     """Median difference under the mask, 0 when it is empty.
 
-    Values are counted before the shuffle; HU differences take a few thousand
+    Values are counted inside the slice row; HU differences take a few thousand
     distinct values, so the exact median reads a small table per pair.
     """
     joined = delta.select("volume_id", "z", "delta").join(masks.select("volume_id", "z", mask), ["volume_id", "z"])
-    values = joined.select("volume_id", F.explode(masked(F.col("delta"), F.col(mask))).alias("v"))
-    counts = values.groupBy("volume_id", "v").agg(F.count(F.lit(1)).alias("n"))
+    values = joined.select("volume_id", F.explode(value_counts(F.col("delta"), F.col(mask))).alias("_v")).select("volume_id", "_v.v", "_v.n")
+    counts = values.groupBy("volume_id", "v").agg(F.sum("n").alias("n"))
     medians = counts.groupBy("volume_id").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("_m"))
     return masks.select("volume_id").distinct().join(medians, "volume_id", "left").select(
         "volume_id", F.coalesce("_m", F.lit(0.0)).alias("shift_hu"))
 
 
+def moved_plane(dy: Column | int, dx: Column | int) -> Column:
+    """``px`` moved inside its slice, outside filled with air."""
+    rows, cols = F.col("rows"), F.col("cols")
+
+    def at(i: Column) -> Column:
+        y, x = (i / cols).cast("int") - dy, i % cols - dx
+        inside = (y >= 0) & (y < rows) & (x >= 0) & (x < cols)
+        return F.when(inside, F.get("px", y * cols + x)).otherwise(FILL_HU)
+
+    return F.transform(F.sequence(F.lit(0), rows * cols - 1), at)
+
+
+def stage_name(shift: tuple[int, int, int]) -> str:
+    return "shift({},{},{})".format(*shift)
+
+
+def chosen_stage(later: DataFrame, best: DataFrame, shifts: list[tuple[int, int, int]]) -> DataFrame:
+    """The later round under the selected stage of its pair; no other candidate is built."""
+    still = F.array(*[F.lit(0)] * 3)
+    move = still
+    for shift in shifts:
+        move = F.when(F.col("selected_stage") == stage_name(shift), F.array(*[F.lit(d) for d in shift])).otherwise(move)
+    dz, dy, dx = (F.get("_move", F.lit(i)) for i in range(3))
+    sent = later.join(best.select("volume_id", "selected_stage"), "volume_id").withColumn("_move", move).select(
+        "volume_id", (F.col("z") + dz).alias("z"), F.when((dy == 0) & (dx == 0), F.col("px")).otherwise(moved_plane(dy, dx)).alias("_px"))
+    grid = later.select("volume_id", "z", "depth", "rows", "cols")
+    air = F.array_repeat(F.lit(FILL_HU), F.col("rows") * F.col("cols"))
+    return grid.join(sent, ["volume_id", "z"], "left").withColumn("px", F.coalesce("_px", air)).drop("_px")
+
+
 def shift_stack(later: DataFrame, shifts: list[tuple[int, int, int]]) -> DataFrame:
     """Candidate stages: the later round moved by whole voxels, outside filled with air.
 
@@ -100,19 +148,12 @@ def shift_stack(later: DataFrame, shifts: list[tuple[int, int, int]]) -> DataFra
     """
     rows, cols = F.col("rows"), F.col("cols")
 
-    def moved(dy: int, dx: int) -> Column:
-        def at(i: Column) -> Column:
-            y, x = (i / cols).cast("int") - dy, i % cols - dx
-            inside = (y >= 0) & (y < rows) & (x >= 0) & (x < cols)
-            return F.when(inside, F.get("px", y * cols + x)).otherwise(FILL_HU)
-        return F.transform(F.sequence(F.lit(0), rows * cols - 1), at)
-
-    options = [F.struct(F.lit(i + 1).alias("stage_order"), F.lit(f"shift({dz},{dy},{dx})").alias("stage"), F.lit(dz).alias("dz"),
-                        (moved(dy, dx) if (dy, dx) != (0, 0) else F.col("px")).alias("px")) for i, (dz, dy, dx) in enumerate(shifts)]
+    options = [F.struct(F.lit(i + 1).alias("stage_order"), F.lit(stage_name((dz, dy, dx))).alias("stage"), F.lit(dz).alias("dz"),
+                        (moved_plane(dy, dx) if (dy, dx) != (0, 0) else F.col("px")).alias("px")) for i, (dz, dy, dx) in enumerate(shifts)]
     sent = later.select("volume_id", "z", "depth", "rows", "cols", F.explode(F.array(*options)).alias("_s"))
     moved_rows = sent.select("volume_id", (F.col("z") + F.col("_s.dz")).alias("z"), "depth", "rows", "cols", "_s.stage", "_s.stage_order", "_s.px")
     # Slices that nothing moved onto are air.
-    top = [F.struct(F.lit(i + 1).alias("stage_order"), F.lit(f"shift({dz},{dy},{dx})").alias("stage"), F.lit(dz).alias("dz"))
+    top = [F.struct(F.lit(i + 1).alias("stage_order"), F.lit(stage_name((dz, dy, dx))).alias("stage"), F.lit(dz).alias("dz"))
            for i, (dz, dy, dx) in enumerate(shifts) if dz != 0]
     out = moved_rows.filter("z between 0 and depth - 1")
     if not top:
@@ -208,7 +249,7 @@ def find_regions(values: DataFrame, masks: DataFrame, spacing_mm: float, min_hu_
 
     ``values`` are slices with delta, baseline and followup; ``masks`` carry interior.
     """
-    smooth = gaussian(values, "delta", "smoothed", block)
+    smooth = cut(gaussian(values, "delta", "smoothed", block))  # read by the labelling and by the features
     bound = smooth.join(masks.select("volume_id", "z", "interior"), ["volume_id", "z"])
     hot = bound.select("volume_id", "z", "depth", "rows", "cols", F.zip_with(
         "smoothed", "interior", lambda s, m: F.when((s > min_hu_delta) & (m != 0), 1).otherwise(0)).alias("mask"))  # X10
@@ -251,22 +292,22 @@ def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = N
     too. When nothing beats it, the pair has a note and no regions.
     """
     if spacing is not None:
-        baseline = resample_isotropic(baseline, spacing, target_mm)
-        later = resample_isotropic(later, spacing, target_mm)
+        # Both are read for the masks, the errors and the difference.
+        baseline = cut(resample_isotropic(baseline, spacing, target_mm))
+        later = cut(resample_isotropic(later, spacing, target_mm))
     masks, later_masks = _masks_of_both(baseline, later, threshold, block)
     later = onto_grid(later, baseline)
-    stages, errors = translation_search(baseline, later, masks, shifts or [])
+    _, errors = translation_search(baseline, later, masks, shifts or [])
     best = cut(best_stage(errors))
-    warped = stages.join(best.select("volume_id", F.col("selected_stage").alias("stage")), ["volume_id", "stage"], "left_semi")
-    delta = cut(difference(baseline, warped))
+    delta = cut(difference(baseline, chosen_stage(later, best, shifts or [])))
     interior = cut(erode(masks, "mask", 2, "interior", block))
     shift = cut(inflation_shift(delta, interior))
     aligned = best.filter("selected_stage <> 'none'")
     shifted = delta.join(aligned.select("volume_id"), "volume_id", "left_semi").join(shift, "volume_id").withColumn(
         "delta", F.transform("delta", lambda v: v - F.col("shift_hu")))
-    regions = find_regions(shifted, interior, target_mm, min_hu_delta, block, **limits)
+    regions = cut(find_regions(shifted, interior, target_mm, min_hu_delta, block, **limits))  # counted below and returned
     voxel = F.lit(target_mm ** 3)
-    volumes = mask_volume_ml(masks, voxel).select("volume_id", F.col("volume_ml").alias("from_lung_ml")).join(
+    volumes = mask_volume_ml(masks, voxel, shape=True).select("volume_id", "shape", F.col("volume_ml").alias("from_lung_ml")).join(
         mask_volume_ml(later_masks, voxel).select("volume_id", F.col("volume_ml").alias("to_lung_ml")), "volume_id")
     counted = regions.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n_regions"))
     failed = F.col("selected_stage") == "none"
@@ -276,5 +317,6 @@ def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = N
         F.lit(False).alias("deformable"), failed.alias("registration_failed"), F.coalesce(after < before, F.lit(False)).alias("alignment_improved"),
         half_even(F.col("shift_hu"), 1).alias("inflation_shift_hu"), F.when(failed, FAILED_NOTE).alias("note"),
         F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.lit(float(target_mm)).alias("spacing_mm"),
-        half_even(F.col("from_lung_ml"), 1).alias("from_lung_ml"), half_even(F.col("to_lung_ml"), 1).alias("to_lung_ml"))
+        F.transform("alignment_by_stage_hu", lambda e: F.struct(e["stage"].alias("stage"), half_even(e["error_hu"], 1).alias("error_hu"))).alias("alignment_by_stage_hu"),
+        "shape", half_even(F.col("from_lung_ml"), 1).alias("from_lung_ml"), half_even(F.col("to_lung_ml"), 1).alias("to_lung_ml"))
     return pairs, regions, delta

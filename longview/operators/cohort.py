@@ -10,6 +10,7 @@ from longview.functions import descriptor as D
 from longview.functions.hashing import DEFAULT_SEED, assign_split, hash_order, split_value
 
 from .scan import OrderedScan
+from .splits import with_split
 
 # How a primary series is picked.
 TIEBREAK_SEED = "series-pick"
@@ -162,7 +163,7 @@ def download_progress(series: DataFrame) -> DataFrame:
     return ran.join(totals, "patient_id").withColumn("progress", F.col("done_mb") / F.greatest("total_mb", F.lit(1.0)))
 
 
-def patient_overview(series: DataFrame, cached: DataFrame | None = None, seed: str = DEFAULT_SEED) -> DataFrame:
+def patient_overview(series: DataFrame, cached: DataFrame | None = None, seed: str = DEFAULT_SEED, splits: DataFrame | None = None) -> DataFrame:
     """Counts and sizes of each patient (A7). ``cached`` lists series_uid on disk."""
     rows = series
     if cached is None:
@@ -172,16 +173,14 @@ def patient_overview(series: DataFrame, cached: DataFrame | None = None, seed: s
         rows = rows.join(have, "series_uid", "left").withColumn("_cached", F.coalesce("_cached", F.lit(False)))
     size = F.col("series_size_mb")
     one = F.col("is_primary")
-    return (
+    return with_split(
         rows.groupBy("patient_id").agg(
             F.count_if(one).alias("n_rounds"),
             F.count(F.lit(1)).alias("n_series"),
             F.sum(size).alias("total_mb"),
             F.coalesce(F.sum(F.when(one, size)), F.lit(0.0)).alias("primary_mb"),
             F.coalesce(F.sum(F.when(one & F.col("_cached"), size)), F.lit(0.0)).alias("cached_mb"),
-        )
-        .withColumn("split", assign_split(F.col("patient_id"), seed))
-    )
+        ), splits, seed)
 
 
 def patient_rounds(series: DataFrame, screening: DataFrame | None = None) -> DataFrame:

@@ -20,35 +20,11 @@ from pyspark.sql import functions as F
 from longview.functions.voxel import LUNG_THRESHOLD_HU
 from longview.session import cut
 
-from .blocks import BLOCK, close_and_fill, with_block
+from .blocks import BLOCK, close_and_fill, filled_runs, slab_runs, with_block
 
-MAX_ROUNDS = 64  # reached only by a defect: every round at least halves what is left to merge
 SECOND_LUNG_SHARE = 0.15  # fixed value
 
 
-def slab_runs(mask: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Row runs of a stack and the number of the slab component each belongs to."""
-    edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (0, 0), (1, 1))), axis=2)
-    z, y, x0 = np.nonzero(edge == 1)
-    x1 = np.nonzero(edge == -1)[2] - 1
-    run = np.cumsum(edge[:, :, :-1] == 1).reshape(mask.shape) * mask  # run number from 1, 0 outside
-    label = np.arange(len(z) + 1)
-    pairs = []
-    for a, b in ((run[:, :-1], run[:, 1:]), (run[:-1], run[1:])):
-        both = (a > 0) & (b > 0)
-        pairs.append(np.unique(np.stack([a[both], b[both]]), axis=1))
-    a, b = np.concatenate(pairs, axis=1)
-    while True:
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], low)
-        np.minimum.at(new, label[b], low)
-        new = new[new]
-        if (new == label).all():
-            return z, y, x0, x1, label[1:] - 1
-        label = new
-
-
 def _slab_table(masks: DataFrame, block: int) -> DataFrame:
     id_type = masks.schema["volume_id"].dataType.simpleString()
 
@@ -68,12 +44,15 @@ def _slab_table(masks: DataFrame, block: int) -> DataFrame:
 
 
 def merge_labels(edges: DataFrame) -> DataFrame:
-    """Smallest node reachable from every node of (volume_id, a, b) edges."""
+    """Smallest node reachable from every node of (volume_id, a, b) edges.
+
+    Labels only fall and are node numbers, so the rounds end; a round that lowers none is the last.
+    """
     both = cut(edges.unionByName(edges.select("volume_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.select("volume_id", F.col("a").alias("comp")).distinct().withColumn("label", F.col("comp"))
     if both.isEmpty():
         return labels
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = both.join(labels.select("volume_id", F.col("comp").alias("b"), "label"), ["volume_id", "b"]).groupBy(
             "volume_id", F.col("a").alias("comp")).agg(F.min("label").alias("_near"))
         lower = labels.join(near, ["volume_id", "comp"], "left").select(
@@ -85,7 +64,6 @@ def merge_labels(edges: DataFrame) -> DataFrame:
         labels = step.select("volume_id", "comp", "label")
         if step.filter("label < _old").isEmpty():
             return labels
-    raise RuntimeError(f"component labels did not settle in {MAX_ROUNDS} rounds")
 
 
 def label_runs(masks: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -120,17 +98,15 @@ def paint(runs: Column, rows: Column, cols: Column) -> Column:
     """Runs of one slice as a 0/1 pixel array; null runs give an empty one."""
 
     @F.pandas_udf("array<int>")
-    def painted(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for r, h, w in parts:
+    def painted(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for y, x0, x1, h, w in parts:
             made = []
-            for runs_, height, width in zip(r, h, w):
-                plane = np.zeros((height, width), np.int32)
-                for one in runs_ if runs_ is not None else ():
-                    plane[one["y"], one["x0"]:one["x1"] + 1] = 1
-                made.append(plane.ravel())
+            for ys, starts, ends, height, width in zip(y, x0, x1, h, w):
+                none = ys is None or not len(ys)
+                made.append(np.zeros(height * width, np.int32) if none else filled_runs(np.zeros(len(ys), np.int64), ys, starts, ends, (1, height, width)).ravel())
             yield pd.Series(made)
 
-    return painted(runs, rows, cols)
+    return painted(runs["y"], runs["x0"], runs["x1"], rows, cols)
 
 
 def paint_slices(slices: DataFrame, runs: DataFrame, out: str = "mask") -> DataFrame:

@@ -61,8 +61,7 @@ def horizon_metrics(long: DataFrame, digits: bool = False) -> DataFrame:
     p, n = F.col("n_positive"), F.col("n")
     pos_below, neg_below = F.col("pos_to") - pos, F.col("neg_to") - neg
     precision = (p - pos_below) / F.nullif(n - pos_below - neg_below, F.lit(0))
-    # At most one row per horizon, six in all.
-    ranked = ranks.join(F.broadcast(base), "horizon").groupBy("horizon", "n", "n_positive", "_squares").agg(
+    ranked = ranks.join(base, "horizon").groupBy("horizon", "n", "n_positive", "_squares").agg(
         F.sum(pos.cast("double") * (neg_below + 0.5 * neg)).alias("_wins"), F.sum(pos * precision).alias("_ap"))
     both = (p > 0) & (p < n)
     auc = F.when(both, F.try_divide(F.col("_wins"), p.cast("double") * (n - p)))
@@ -107,14 +106,14 @@ def cohort_percentile(scores: DataFrame, reference: DataFrame) -> DataFrame:
 
     ``scores`` has patient_id and score, ``reference`` has score. Both run in
     one ordered scan: at a tie the asked row comes first, so it counts none.
-    Null without a reference.
+    Null without a reference or without a score.
     """
     asked = scores.select("patient_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("_ref"))
     known = reference.select(F.lit(None).cast("string").alias("patient_id"), F.col("score").cast("double").alias("score"),
                              F.lit(1).alias("_ref"))
     ran = OrderedScan(asked.unionByName(known), [], ["score", "_ref", "patient_id"]).running(below=F.col("_ref")).result()
     share = F.try_divide(F.col("below"), known.agg(F.count("score")).scalar()) * 100
-    return ran.filter("_ref = 0").select("patient_id", "score", F.bround(share).cast("int").alias("cohort_percentile"))
+    return ran.filter("_ref = 0").select("patient_id", "score", F.when(F.col("score").isNotNull(), F.bround(share).cast("int")).alias("cohort_percentile"))
 
 
 def evaluation_report(predictions: DataFrame, splits: DataFrame, evaluated: str = "test") -> dict[str, DataFrame]:

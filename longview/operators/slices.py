@@ -69,9 +69,10 @@ def volume_headers(slices: DataFrame) -> DataFrame:
         F.min(F.array_min("px")).alias("hu_min"), F.max(F.array_max("px")).alias("hu_max"))
 
 
-def mask_volume_ml(masks: DataFrame, voxel_mm3: Column) -> DataFrame:
-    """Mask voxels and their volume in millilitres."""
-    return masks.groupBy("volume_id").agg(F.sum(sum_px(F.col("mask"))).cast("bigint").alias("voxels")).withColumn(
+def mask_volume_ml(masks: DataFrame, voxel_mm3: Column, shape: bool = False) -> DataFrame:
+    """Mask voxels and their volume in millilitres (A27); the volume's shape too if asked."""
+    size = [F.array(*[F.max(c) for c in ("depth", "rows", "cols")]).alias("shape")] if shape else []
+    return masks.groupBy("volume_id").agg(F.sum(sum_px(F.col("mask"))).cast("bigint").alias("voxels"), *size).withColumn(
         "volume_ml", F.col("voxels") * voxel_mm3 / 1000.0)
 
 

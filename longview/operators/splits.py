@@ -18,6 +18,14 @@ def hash_split(patients: DataFrame, seed: str = DEFAULT_SEED, fractions: Sequenc
                                  "split_seed": F.lit(seed)})
 
 
+def with_split(rows: DataFrame, splits: DataFrame | None, seed: str = DEFAULT_SEED) -> DataFrame:
+    """The declared split of each patient; a patient the table lacks has none. Without a table, the hash decides."""
+    if splits is None:
+        return rows.withColumn("split", assign_split(F.col("patient_id"), seed))
+    declared = splits.select(F.col("patient_id").cast("string").alias("patient_id"), "split")
+    return rows.drop("split").join(declared, "patient_id", "left")
+
+
 def stratified_split(patients: DataFrame, stratum: str, seed: str = DEFAULT_SEED,
                      fractions: Sequence[float] = DEFAULT_FRACTIONS, id_col: str = "patient_id") -> DataFrame:
     """Exact proportions inside each stratum, in (hash, id) order.

@@ -12,7 +12,7 @@ from longview.functions.hashing import DEFAULT_FRACTIONS, DEFAULT_SEED, assign_s
 from longview.functions.text import half_even
 from longview.operators import cohort as C
 from longview.operators.labels import merge_labels
-from longview.operators.splits import hash_split, stratified_split
+from longview.operators.splits import hash_split, stratified_split, with_split
 
 
 def build_cohort(index: DataFrame, min_slices: int = 10, max_patients: int | None = None) -> DataFrame:
@@ -36,12 +36,16 @@ def build_splits(series: DataFrame, *label_tables: DataFrame, seed: str = DEFAUL
     return split.select("patient_id", "split", "label", "label_source", "n_rounds", "n_series", "split_mode", "split_seed")
 
 
-def viewer_meta(volumes: DataFrame, mask_voxels: Column | None = None) -> DataFrame:
+def viewer_meta(volumes: DataFrame, mask_voxels: Column | None = None, splits: DataFrame | None = None) -> DataFrame:
     """Volume headers as viewer entries.
 
     ``volumes`` has patient, study_date, study_year, round, kernel, series_uid,
-    depth, rows, cols, spacing_z/y/x, hu_min, hu_max and head_first.
+    depth, rows, cols, spacing_z/y/x, hu_min, hu_max and head_first. The split
+    comes from ``splits`` where that table is given.
     """
+    if splits is not None:
+        declared = splits.select(F.col("patient_id").cast("string").alias("patient"), F.col("split").alias("_declared"))
+        volumes = volumes.join(declared, "patient", "left")
     slug = D.series_slug(F.col("patient"), F.col("study_date"), F.col("kernel"), F.col("series_uid"))
     fields = {
         "id": slug, "study_date": D.dashed_date(F.col("study_date")), "visit": F.col("study_year"),
@@ -49,7 +53,7 @@ def viewer_meta(volumes: DataFrame, mask_voxels: Column | None = None) -> DataFr
         "spacing": F.transform(F.array("spacing_z", "spacing_y", "spacing_x"), lambda s: half_even(s, 6)),
         "shape": F.array("depth", "rows", "cols"), "hu_range": F.array("hu_min", "hu_max"),
         "file": F.concat(slug, F.lit("/hu")),
-        "split": F.when(F.length("patient") > 0, assign_split(F.col("patient"))),
+        "split": F.when(F.length("patient") > 0, assign_split(F.col("patient")) if splits is None else F.col("_declared")),
     }
     if mask_voxels is not None:
         voxel_ml = F.col("spacing_z") * F.col("spacing_y") * F.col("spacing_x") / 1000.0
@@ -59,11 +63,11 @@ def viewer_meta(volumes: DataFrame, mask_voxels: Column | None = None) -> DataFr
     return volumes.select(*keep, *[c.alias(n) for n, c in fields.items()])
 
 
-def patient_bundle(series: DataFrame, seed: str = DEFAULT_SEED) -> DataFrame:
+def patient_bundle(series: DataFrame, seed: str = DEFAULT_SEED, splits: DataFrame | None = None) -> DataFrame:
     """Per patient what an export writes beside the index (R-D).
 
     Rounds are gathered from primary series, one per round.
     """
-    return C.primary_only(series).groupBy("patient_id").agg(
+    return with_split(C.primary_only(series).groupBy("patient_id").agg(
         F.array_sort(F.collect_set("round")).alias("rounds"), F.count(F.lit(1)).alias("n_series"),
-        F.sum("series_size_mb").alias("mb")).withColumn("split", assign_split(F.col("patient_id"), seed))
+        F.sum("series_size_mb").alias("mb")), splits, seed)

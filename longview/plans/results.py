@@ -6,23 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from longview.functions import narrative as N
-from longview.functions.hashing import DEFAULT_SEED, assign_split
-from longview.functions.risk import curve_of, require_valid, risk_struct
+from longview.functions.hashing import DEFAULT_SEED
+from longview.functions.risk import curve_of, curve_violation, risk_struct
 from longview.operators import calibration as K
 from longview.operators.cohort import latest_round, primary_only
 from longview.operators.metrics import cohort_percentile
+from longview.operators.splits import with_split
 
-TOP_REGIONS = 8  # fixed value: regions listed per pair
+PANEL_REGIONS = 8  # fixed value: regions the results panel draws for a pair
+REGION_FIELDS = ("rank", "slice", "bbox", "centroid_mm", "volume_mm3", "delta_mm", "mean_delta_hu", "peak_delta_hu", "baseline_hu", "followup_hu",
+                 "fill_fraction", "elongation", "kind", "side")
+PAIR_FIELDS = ("from_round", "to_round", "n_regions", "registration_failed", "deformable", "selected_stage", "alignment_before_hu", "alignment_after_hu",
+               "alignment_by_stage_hu", "inflation_shift_hu", "spacing_mm", "shape", "from_lung_ml", "to_lung_ml", "note")
 
 
 def risk_block(series: DataFrame, scores: DataFrame, calibrator: K.Calibrator, reference: DataFrame | None, model: str) -> DataFrame:
     """Calibrated risk of each patient's latest round; absent scores say so (R-C).
 
     ``scores`` has patient_id and raw year_1..year_6; curves are validated
-    before and kept monotone after calibration.
+    before and kept monotone after calibration. A curve that breaks a rule
+    makes its own patient unavailable, with the rule as reason; the others go
+    on. ``invalid_curves`` lists such rows.
     """
-    checked = scores.withColumn("_ok", require_valid(curve_of())).filter("_ok is not null").drop("_ok")
-    done = calibrator.apply(checked)
+    judged = scores.withColumn("_broken", curve_violation(curve_of()))
+    broken = judged.filter("_broken is not null").select("patient_id", F.concat(F.lit(N.INVALID_CURVE), "_broken").alias("_reason"))
+    done = calibrator.apply(judged.filter("_broken is null").drop("_broken"))
     risk = done.select("patient_id", risk_struct(curve_of(), F.col("calibrated")).alias("_risk"), F.col("year_1").alias("score"))
     if reference is not None:
         places = cohort_percentile(risk.select("patient_id", "score"), reference).select("patient_id", "cohort_percentile")
@@ -30,36 +38,50 @@ def risk_block(series: DataFrame, scores: DataFrame, calibrator: K.Calibrator, r
     else:
         risk = risk.withColumn("cohort_percentile", F.lit(None).cast("int"))
     latest = latest_round(series).select("patient_id", F.col("round_key").alias("round"))
-    out = latest.join(risk, "patient_id", "left")
+    out = latest.join(risk, "patient_id", "left").join(broken, "patient_id", "left")
     known = F.col("_risk").isNotNull()
     return out.select("patient_id", F.struct(
-        (~known).alias("unavailable"), F.when(known, F.lit(model)).otherwise("none").alias("model"), "round",
+        (~known).alias("unavailable"), F.when(~known, F.coalesce("_reason", F.lit(N.NO_SCORE))).alias("reason"), F.when(known, F.lit(model)).otherwise("none").alias("model"), "round",
         *[F.col(f"_risk.{c}").alias(c) for c in ("year_1", "year_2", "year_3", "year_4", "year_5", "year_6", "curve", "calibrated")],
         "cohort_percentile").alias("risk"))
 
 
+def invalid_curves(scores: DataFrame) -> DataFrame:
+    """Scores whose raw curve breaks a rule, with the rule."""
+    return scores.withColumn("violation", curve_violation(curve_of())).filter("violation is not null")
+
+
 def change_block(pairs: DataFrame, regions: DataFrame) -> DataFrame:
-    """Compared pairs of each patient with their best regions (R-C, W14).
+    """Compared pairs of each patient with all their regions, by rank (R-C).
 
-    ``pairs`` has patient_id, volume_id, from_round, to_round and the
-    registration fields. At most eight regions per pair are gathered, by rank,
-    so no group grows with the data; n_regions counts them all.
+    ``pairs`` has patient_id, volume_id and the pair fields. The size and
+    spacing of regions bound a pair's list: each takes its smallest volume, and
+    a pair is one volume.
     """
-    listed = regions.filter(F.col("rank") <= TOP_REGIONS).groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct(
-        "rank", "slice", "kind", "side", "delta_mm", "volume_mm3", "mean_delta_hu", "baseline_hu", "followup_hu"))).alias("regions"))
+    boxed = regions.withColumns({"bbox": F.array("z0", "y0", "x0", "z1", "y1", "x1"),
+                                 "centroid_mm": F.array("centroid_z_mm", "centroid_y_mm", "centroid_x_mm")})
+    listed = boxed.groupBy("volume_id").agg(F.sort_array(F.collect_list(F.struct(*REGION_FIELDS))).alias("regions"))
     rows = pairs.join(listed, "volume_id", "left")
-    pair = F.struct("from_round", "to_round", "n_regions", "registration_failed", "deformable", "selected_stage", "alignment_before_hu",
-                    "alignment_after_hu", "inflation_shift_hu", "note", F.get("regions", F.lit(0)).alias("top"), "regions")
+    pair = F.struct(*PAIR_FIELDS, F.get("regions", F.lit(0)).alias("top"), "regions")
     # One row per consecutive pair of rounds.
-    return rows.groupBy("patient_id").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    pairs = F.sort_array(F.collect_list(pair))
+    return rows.groupBy("patient_id").agg(F.transform(pairs, lambda p: p.withField(
+        "alignment_by_stage_hu", F.map_from_entries(p["alignment_by_stage_hu"]))).alias("pairs"))
+
+
+def panel_regions(results: DataFrame, n: int = PANEL_REGIONS) -> DataFrame:
+    """The first regions of each pair as the panel lists them (W14); the record itself keeps all."""
+    pairs = results.select("patient_id", F.explode("change.pairs").alias("p"))
+    return pairs.select("patient_id", "p.from_round", "p.to_round", F.inline(F.slice("p.regions", 1, n)))
 
 
 def results_objects(series: DataFrame, risk: DataFrame, change: DataFrame, attention: DataFrame | None,
                     code_rev: str, generated_at: str, tasks: tuple[str, ...] = ("risk", "change", "saliency"),
-                    seed: str = DEFAULT_SEED) -> DataFrame:
+                    seed: str = DEFAULT_SEED, splits: DataFrame | None = None) -> DataFrame:
     """One nested record per patient, its summary rendered last from the record (R-C).
 
-    ``attention`` has patient_id and top_slices.
+    ``attention`` has patient_id and top_slices. The split comes from ``splits``;
+    only where no such table is given is it the hash.
     """
     patients = primary_only(series).groupBy("patient_id").agg(F.array_sort(F.collect_set("round_key")).alias("rounds"))
     rows = patients.join(risk, "patient_id", "left").join(change, "patient_id", "left")
@@ -73,8 +95,8 @@ def results_objects(series: DataFrame, risk: DataFrame, change: DataFrame, atten
         N.attention_sentence(F.coalesce(top, F.array().cast("array<int>"))), N.change_sentence(F.col("pairs")),
         N.registration_caveat(F.col("pairs")))
     task_list = F.array(*[F.lit(t) for t in tasks])
-    return rows.select(
-        "patient_id", assign_split(F.col("patient_id"), seed).alias("split"), "rounds", task_list.alias("tasks"), "risk",
+    return with_split(rows, splits, seed).select(
+        "patient_id", "split", "rounds", task_list.alias("tasks"), "risk",
         F.struct(F.coalesce(top, F.array().cast("array<int>")).alias("top_slices")).alias("attention"),
         F.struct("pairs", note.alias("note")).alias("change"),
         N.stamp(F.coalesce(r["model"], F.lit("none")), code_rev, generated_at, tasks=task_list).alias("provenance"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,11 @@ def builder(app: str = "longview", master: str | None = None) -> SparkSession.Bu
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Slices are wide rows: a batch is bounded by bytes, not only by rows.
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+        # Intermediate tables leave the shared folder once nothing refers to them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.compress", "true")
     )
     return out.master(master) if master else out
 
@@ -27,7 +33,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     path = spark.conf.get("spark.checkpoint.dir", "")
     if not path:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         path = tempfile.mkdtemp(prefix="longview-checkpoint-")
     sc.setCheckpointDir(path)

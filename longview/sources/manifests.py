@@ -10,8 +10,13 @@ UUID_PATTERN = r"s3://[^/]+/([0-9a-f-]{36})/"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a manifest with their place: line_no (ordered, not dense), line."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """Lines of a manifest with their place: line_no.
+
+    ``line_no`` is (file, block start, row order inside the block) and sorts as
+    the lines stand, whatever order the reader plans the files in.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(place.alias("line_no"), F.col("value").alias("line"))
 
 
 def classify_lines(lines: DataFrame) -> DataFrame:

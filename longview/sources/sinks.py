@@ -25,6 +25,8 @@ def _guard(c: Column, dtype: T.DataType) -> Column:
         return finite(c)
     if isinstance(dtype, T.ArrayType) and _needs(dtype.elementType):
         return F.transform(c, lambda v: _guard(v, dtype.elementType))
+    if isinstance(dtype, T.MapType) and _needs(dtype.valueType):
+        return F.transform_values(c, lambda _, v: _guard(v, dtype.valueType))
     if isinstance(dtype, T.StructType) and _needs(dtype):
         made = F.struct(*[_guard(c[f.name], f.dataType).alias(f.name) for f in dtype.fields])
         return F.when(c.isNotNull(), made)
@@ -36,6 +38,8 @@ def _needs(dtype: T.DataType) -> bool:
         return any(_needs(f.dataType) for f in dtype.fields)
     if isinstance(dtype, T.ArrayType):
         return _needs(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _needs(dtype.valueType)
     return isinstance(dtype, (T.DoubleType, T.FloatType))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -68,6 +68,14 @@ def stream_expiry(events: DataFrame, watermark: str = "10 minutes", ttl_seconds:
     return typed.groupBy("job_id").applyInPandasWithState(step, EXPIRY_SCHEMA, "finished_at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether an output table was written at a path; a missing folder is no error."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(where))
+
+
 def process_new_series(arrivals: DataFrame, done_path: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Run ``work`` once per new series, skipping those already written (ST3).
 
@@ -78,12 +86,9 @@ def process_new_series(arrivals: DataFrame, done_path: str, work: Callable[[Data
     def handle(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         fresh = batch.dropDuplicates(["series_uid"])
-        try:
+        if has_rows(spark, done_path):
             done = spark.read.parquet(done_path).select("series_uid")
             fresh = fresh.join(done, "series_uid", "left_anti")
-        except Exception as e:  # noqa: BLE001 - only a missing output table is expected
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         work(fresh).write.mode("append").parquet(done_path)
 
     return (arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
