@@ -31,13 +31,14 @@ def half_even(c: Column, digits: int = 0) -> Column:
 
     The built-in rounds the shortest decimal text of a double instead, which
     turns 0.0235 (a little below the half) the other way. Only values next to
-    a half take the exact path.
+    a half take the exact path, which is a function of its own over one value:
+    inline, a record of many rounded fields outgrows what Java can compile.
     """
     a = F.abs(c.cast("double"))
     ten = F.lit(float(10 ** digits))
     scaled = a * ten
     clear = (scaled < 2.0 ** 40) & (F.abs(scaled - F.floor(scaled) - 0.5) > 1e-3)
-    out = F.when(clear, F.floor(scaled + 0.5) / ten).otherwise(_near_half(a, digits) / ten)
+    out = F.when(clear, F.floor(scaled + 0.5) / ten).otherwise(F.get(F.transform(F.array(a), lambda x: _near_half(x, digits)), 0) / ten)
     return F.when(a < 2.0 ** 40, F.when(c < 0, -out).otherwise(out)).otherwise(c)
 
 
