@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 from longview.llm.common import small_batches, table
 from longview.session import cut
 
-SHINGLE, RADIUS, MIN_SIMILARITY = 5, 12, 0.8
+SHINGLE, MIN_SIMILARITY = 5, 0.8
+#: Fingerprints of texts at the least similarity differ in 10 bits on average, in 18 or fewer nearly always.
+RADIUS = 18
 #: Text of the benchmark that one pass sends to every task; a larger benchmark takes several passes.
 SLICE_BYTES = 8 << 20
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 FOUND = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
 #: Most positions of one document that are looked at in one step.
 STEP = 1 << 16
+#: Most pairs of windows and items that one Hamming block may compare in one step.
+PAIRS = 1 << 20
 
 
 def _shingles(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +105,7 @@ class Items:
             pairs.append(np.stack([window[close], item[close]], axis=1))
         every = np.unique(np.concatenate(pairs), axis=0)
         distance = np.bitwise_count(fps[every[:, 0]] ^ own[every[:, 1]])
-        return sorted(zip(distance.tolist(), every[:, 0].tolist(), every[:, 1].tolist()))
+        return list(zip(distance.tolist(), every[:, 0].tolist(), every[:, 1].tolist()))
 
     def search(self, text: bytes, least: float) -> list[tuple]:
         """(item, start, words, distance, similarity) for each item found in the text, at its closest window that passes."""
@@ -120,8 +124,10 @@ class Items:
             at = np.flatnonzero(hits[n:] - hits[:-n] >= least * (every[n:] - every[:-n]) - 1e-6)
             if not len(at):
                 continue
+            fps, step = _fingerprints(hashes, weights, at, n), max(1, PAIRS // len(own))
+            close = [(distance, i + window, item) for i in range(0, len(at), step) for distance, window, item in self.near(fps[i : i + step], own, index)]
             done = set()
-            for distance, window, item in self.near(_fingerprints(hashes, weights, at, n), own, index):
+            for distance, window, item in sorted(close):
                 if item in done:
                     continue
                 a = int(at[window])

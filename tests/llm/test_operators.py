@@ -176,6 +176,26 @@ def test_decontamination_against_windows(spark):
     assert {(r.doc_id, r.item_id) for r in sliced.collect()} == set(got)
 
 
+def test_decontamination_finds_changed_items_like_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PAIRS", 64)  # several steps
+    rng, items, rows = random.Random(11), [], []
+    for i in range(60):
+        items.append((i, " ".join(rng.choice(VOCABULARY) for _ in range(60))))
+        own = items[i][1].split()
+        for at in rng.sample(range(60), rng.choice([1, 1, 2])):
+            own[at] = rng.choice(VOCABULARY)
+        rows.append((i, " ".join(own)))
+
+    def similarity(a, b):
+        grams = [Counter(tuple(x.split()[k:k + 5]) for k in range(len(x.split()) - 4)) for x in (a, b)]
+        size = lambda c: sum(n * sum(map(len, g)) for g, n in c.items())
+        return size(grams[0] & grams[1]) / size(grams[0] | grams[1])
+
+    want = {(i, j) for i, t in rows for j, x in items if similarity(t, x) >= 0.8}
+    got = decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and 20 < len(want) < 60
+
+
 def test_scores(spark, sf_dir, docs):
     got = ngrams.op1_lm_scoring(spark, sf_dir).collect()
     import zlib
