@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longview.llm.common import small_batches, table
+from longview.llm.simhash import mix
 from longview.session import cut
 
 SHINGLE, MIN_SIMILARITY = 5, 0.8
@@ -30,18 +31,20 @@ PAIRS = 1 << 20
 
 
 def _shingles(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and weight of every run of ``size`` words; the weight is the run's number of word bytes."""
-    joined, ends, at = b" ".join(words), [], 0
-    for w in words:
-        at += len(w)
-        ends.append(at)
-        at += 1
-    if len(words) < size or not words:
+    """Hash and weight of every run of ``size`` words; the weight is the run's number of word bytes.
+
+    Each word is hashed once; a run's hash is mixed from those of its words in order.
+    """
+    n = len(words) - size + 1
+    if n < 1 or not words:
         return np.empty(0, np.uint64), np.empty(0, np.float64)
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(words) - size + 1)
-    weights = np.array(ends[size - 1 :], np.float64) - np.array(starts[: len(hashes)], np.float64) - (size - 1)
-    return hashes, weights
+    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    hashes = mix(own[:n], 1)
+    with np.errstate(over="ignore"):
+        for k in range(1, size):
+            hashes = mix(hashes + own[k : k + n], 1)
+    return hashes, (total[size:] - total[:-size]).astype(np.float64)
 
 
 def _fingerprints(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
