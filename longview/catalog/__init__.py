@@ -1,8 +1,8 @@
 """Every registered query with its oracle SQL, grouped by subject."""
 
-from . import change, clinical, cohort, metrics, reports, volumes
+from . import change, clinical, cohort, exchange, metrics, reports, volumes
 
-GROUPS = (cohort, clinical, metrics, volumes, change, reports)
+GROUPS = (cohort, clinical, metrics, volumes, change, reports, exchange)
 
 
 def all_queries() -> dict:
