@@ -89,6 +89,41 @@ def test_dedup_stage_keeps_one_of_each_group(spark, sf_dir):
     assert None in ids and 5 not in ids  # a null id sorts first
 
 
+def _near_copies(rng):
+    """Texts with swapped words and with words appended, cut off or inserted, so that pairs lie between similarity 0.6 and 1."""
+    out = []
+    for k in range(60):
+        w = [rng.choice(VOCABULARY) for _ in range(rng.choice([25, 80, 300]))]
+        new = [rng.choice(VOCABULARY) for _ in range(max(1, len(w) * rng.randint(1, 30) // 100))]
+        at = rng.randrange(len(w))
+        swapped = list(w)
+        for i in rng.sample(range(len(w)), max(1, len(w) * rng.randint(0, 6) // 100)):
+            swapped[i] = rng.choice(VOCABULARY)
+        out += [w, w + new, w[: len(w) - len(new)], w[:at] + new + w[at:], swapped]
+    return [" ".join(w) for w in out]
+
+
+def _brute_groups(texts):
+    sets = [{tuple(split(t)[i:i + 5]) for i in range(max(1, len(split(t)) - 4))} if split(t) else set() for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return group
+
+
+@pytest.mark.parametrize("chunk", [2048, 4])
+def test_dedup_finds_the_pairs_of_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(simhash, "CHUNK", chunk)  # 4: hot keys, a second pass, chunks
+    texts = _near_copies(random.Random(5))
+    group = _brute_groups(texts)
+    kept = simhash.dedup_stage(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    want = sorted({g: min(i for i in range(len(texts)) if group[i] == g) for g in group}.values())
+    assert sorted(r.doc_id for r in kept) == want and 60 < len(want) < 250
+
+
 def test_quality_statistics(spark, docs):
     odd = spark.createDataFrame([(1, "a b c d e f g h " * 3 + "#x|\nsame\nsame\n \n"), (2, None), (3, ""), (4, "é ö #*$%&|<>")], "doc_id long, text string")
     for df, rows in ((docs, ROWS), (odd, odd.collect())):
