@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from longview.llm.common import SPACE, table
+from longview.llm.simhash import jaccard_groups
 from longview.session import cut
 
 CAPACITY, SHARD_ROWS = 2048, 4096
@@ -99,13 +100,20 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.xxhash64(text).alias("cluster"), F.size(F.array_remove(F.split(text, SPACE + "+"), "")).cast("long").alias("n"))
 
 
+def clustered(docs: DataFrame) -> DataFrame:
+    """As ``sized``, but texts of one near-duplicate group (see ``jaccard_groups``) share their cluster."""
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = cut(jaccard_groups(docs.select(mark.alias("cluster"), "text"), "cluster"))
+    return sized(docs).join(groups, "cluster").select("doc_id", "source", F.col("group").alias("cluster"), "n")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of 2,048 words over all documents."""
-    return pack(sized(table(spark, sf_dir, "documents")))
+    """Bins of 2,048 words over all documents; near copies are one cluster."""
+    return pack(clustered(table(spark, sf_dir, "documents")))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document that came this far."""
+    """The place of every piece of every document that came this far; near copies are gone, so only equal texts are a cluster."""
     del spark, sf_dir
     return pack(sized(docs))
 

@@ -171,6 +171,15 @@ def test_packing_is_whole_and_without_conflicts(spark, docs):
         assert sorted((r.bin_offset, r.n_tokens) for r in own)[0][0] == 0
 
 
+def test_near_copies_never_share_a_bin(spark, tmp_path):
+    base = words(60)
+    near = [base, base + " ", base.upper(), base.rsplit(" ", 1)[0] + " other", base + " tail"]
+    rows = [(i, t, "en", "s%d" % i) for i, t in enumerate(near)] + [(10, None, "en", "t"), (11, "", "en", "u"), (None, words(40), None, None), (12, words(40), "en", "v")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    placed = packing.op5_best_fit_packing(spark, str(tmp_path)).collect()
+    assert len({r.bin_id for r in placed if r.doc_id in range(5)}) == 5 and len(placed) == len(rows)
+
+
 def test_bins_take_the_tightest_compatible():
     rng = random.Random(1)
     bins, plain = packing.Bins(100, 5, 40), []
