@@ -1,8 +1,8 @@
 """The registered queries of this package with their oracle SQL (None where SQL cannot express them)."""
 
-from longview.llm import chat, decontam, licenses, lines, ngrams, packing, pages, quality, shards, simhash
+from longview.llm import chat, decontam, licenses, lines, ngrams, packing, pages, quality, shards, simhash, urls
 
-GROUPS = (ngrams, simhash, chat, quality, packing, lines, shards, licenses, pages, decontam)
+GROUPS = (ngrams, simhash, chat, quality, packing, lines, shards, licenses, pages, decontam, urls)
 
 
 def all_queries() -> dict:
