@@ -10,6 +10,8 @@ from longview.operators import blocks as K
 from longview.operators import change as G
 from longview.operators import components as C
 from longview.operators import saliency as A
+from longview.operators.align import move_errors, search_moves
+from longview.plans.overlays import change_overlays
 
 from . import base as B
 from .base import CHEST_SQL, duck_joined, joined
@@ -98,8 +100,30 @@ def _compare(spark, sf, block: int = K.BLOCK):
 
 def _errors(spark, sf) -> DataFrame:
     base, later = _pairs(spark, sf)
-    _, errors = G.translation_search(base, G.onto_grid(later, base), C.lung_mask(base), SHIFTS)
-    return errors
+    return move_errors(base, G.onto_grid(later, base), C.lung_mask(base, packed=True), SHIFTS)
+
+
+REACH = 2
+
+
+def _search(spark, sf) -> DataFrame:
+    """The moves that a coarse-to-fine search scores last: block means of two voxels first, then the voxels."""
+    base, later = _pairs(spark, sf)
+    errors = search_moves(base, G.onto_grid(later, base), C.lung_mask(base, packed=True), REACH)
+    return errors.select("volume_id", "stage", "stage_order", "dz", "dy", "dx", F.round("error_hu", 6).alias("error_hu"))
+
+
+_AROUND = "(SELECT z AS mz, y AS my, x AS mx FROM (SELECT unnest([-1, 0, 1]) AS z) a, (SELECT unnest([-1, 0, 1]) AS y) b, (SELECT unnest([-1, 0, 1]) AS x) c)"
+SEARCH_SQL = f"""{PAIR_SQL}, {lung_sql('early', -320, 'lung')},
+coarse AS (SELECT volume_id, z // 2 AS z, y // 2 AS y, x // 2 AS x, avg(e.hu) AS a, avg(l.hu) AS b, sum(v) AS w FROM early e JOIN late l USING (volume_id, z, y, x) JOIN lung USING (volume_id, z, y, x) GROUP BY ALL),
+first AS (SELECT a.volume_id, mz, my, mx, sum(a.w * abs(coalesce(b.b, -1024) - a.a)) / nullif(sum(a.w), 0) AS e FROM coarse a, {_AROUND} m
+  LEFT JOIN coarse b ON b.volume_id = a.volume_id AND b.z = a.z - mz AND b.y = a.y - my AND b.x = a.x - mx GROUP BY ALL),
+near AS (SELECT *, row_number() OVER (PARTITION BY volume_id ORDER BY round(e, 6) NULLS LAST, abs(mz) + abs(my) + abs(mx), mz, my, mx) AS i FROM first),
+moves AS (SELECT DISTINCT volume_id, 0 AS dz, 0 AS dy, 0 AS dx, 0 AS stage_order FROM early UNION ALL SELECT volume_id, 2 * n.mz + m.mz, 2 * n.my + m.my, 2 * n.mx + m.mx,
+  (m.mz + 1) * 9 + (m.my + 1) * 3 + m.mx + 2 FROM near n, {_AROUND} m WHERE i = 1 AND NOT (2 * n.mz + m.mz = 0 AND 2 * n.my + m.my = 0 AND 2 * n.mx + m.mx = 0))
+SELECT m.volume_id, CASE WHEN stage_order = 0 THEN 'none' ELSE format('shift({{}},{{}},{{}})', dz, dy, dx) END AS stage, stage_order, dz, dy, dx,
+  round(avg(abs(coalesce(l.hu, -1024) - e.hu)) FILTER (v = 1), 6) AS error_hu FROM moves m JOIN early e USING (volume_id) JOIN lung USING (volume_id, z, y, x)
+  LEFT JOIN late l ON l.volume_id = m.volume_id AND l.z = e.z - dz AND l.y = e.y - dy AND l.x = e.x - dx GROUP BY m.volume_id, stage_order, dz, dy, dx"""
 
 
 def _shift(spark, sf) -> DataFrame:
@@ -128,33 +152,70 @@ def _candidates(spark, sf) -> DataFrame:
 
 
 def _pair_table(spark, sf, block: int = K.BLOCK) -> DataFrame:
-    pairs, _, _ = _compare(spark, sf, block)
-    return pairs.select("volume_id", "selected_stage", "alignment_before_hu", "alignment_after_hu", "registration_failed", "alignment_improved",
+    return _pair_view(_compare(spark, sf, block))
+
+
+def _pair_view(compared: G.Comparison) -> DataFrame:
+    return compared.pairs.select("volume_id", "selected_stage", "alignment_before_hu", "alignment_after_hu", "registration_failed", "alignment_improved",
                         "inflation_shift_hu", "n_regions", "from_lung_ml", "to_lung_ml", "note")
 
 
 def _region_table(spark, sf, block: int = K.BLOCK) -> DataFrame:
-    return _region_view(_compare(spark, sf, block)[1])
+    return _region_view(_compare(spark, sf, block).regions)
 
 
-def _overlay(spark, sf):
+ISO_MM = 1.5
+
+
+def _compare_iso(spark, sf) -> G.Comparison:
+    """Rounds of unlike slice spacing, put on a cubic grid before they are compared; a later round may end up shallower or deeper."""
     base, later = _pairs(spark, sf)
-    d = G.difference(base, G.onto_grid(later, base))
-    return A.change_overlay(d, C.lung_mask(base), "mask")
 
+    def spacing(df: DataFrame, own) -> DataFrame:
+        return df.select("volume_id").distinct().withColumns({"spacing_z": F.when(own % 2 == 0, 2.0).otherwise(1.2), "spacing_y": F.lit(ISO_MM), "spacing_x": F.lit(ISO_MM)})
 
-def _overlay_levels(spark, sf) -> DataFrame:
-    return _overlay(spark, sf)[0].select(*OWN, joined("level").alias("level"))
+    v = F.col("volume_id")
+    return G.compare(base, later, spacing(base, v), ISO_MM, SHIFTS, min_hu_delta=MIN_DELTA, later_spacing=spacing(later, v + 1), **LIMITS)
 
 
-OVERLAY_SQL = f"""{PAIR_SQL}, {lung_sql('early', -320, 'lung')},
-up AS (SELECT e.volume_id, e.z, e.depth, e.y, e.x, e.p, greatest(l.hu - e.hu, 0) * v AS c FROM early e JOIN late l USING (volume_id, z, y, x) JOIN lung USING (volume_id, z, y, x)),
+_ISO_DEPTH = "CAST(round_even(depth * CASE WHEN volume_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.2::DOUBLE END / 1.5::DOUBLE, 0) AS INT)"
+ISO_SQL = f"""{CHEST_SQL.replace('chest AS', 'stored AS')}, {zoom_sql('stored', 'hu', f'SELECT DISTINCT volume_id, depth AS nz, {_ISO_DEPTH} AS oz, 16 AS oy, 16 AS ox FROM stored')},
+chest AS (SELECT volume_id, k AS z, {_ISO_DEPTH.replace('depth', 'nz')} AS depth, j AS y, i AS x, j * 16 + i AS p, CAST(trunc(v::FLOAT) AS INT) AS hu
+  FROM along_z JOIN dims USING (volume_id))"""
+
+
+def _overlay(spark, sf, subtract_shift: bool = False):
+    """Overlays of the compared pairs on the grids of their entries: a third of the rounds has none, a third the pair's own grid."""
+    c = B.chest(spark, sf)
+    compared = _compare(spark, sf)
+    v, key = F.col("volume_id"), F.floor(F.col("volume_id") / 3)
+    name = F.concat(F.lit("T"), (v % 3).cast("string"))
+    pairs = compared.pairs.select("volume_id", key.alias("patient_id"), name.alias("from_round"))
+    other = v % 4 != 1
+    entries = c.groupBy("volume_id").agg(F.max("depth").alias("depth")).select(
+        F.when(v % 4 == 3, -1 - key).otherwise(key).alias("patient_id"), name.alias("round"), F.when(other, F.col("depth") + 5).otherwise(F.col("depth")).alias("out_depth"),
+        F.when(other, 10 + v % 7).otherwise(16).cast("int").alias("out_rows"), F.when(other, 9).otherwise(16).alias("out_cols"))
+    return change_overlays(compared, pairs, entries, subtract_shift)
+
+
+def _overlay_levels(spark, sf, subtract_shift: bool = False) -> DataFrame:
+    compared = _compare(spark, sf)
+    levels, _, _ = A.pair_overlay(compared.slices, compared.shift if subtract_shift else None)
+    return levels.select(*OWN, joined("level").alias("level"))
+
+
+def overlay_sql(change: str) -> str:
+    return f"""{SHIFT_SQL}, up AS (SELECT volume_id, z, depth, y, x, p, greatest({change}, 0) * inside AS c FROM delta JOIN shift USING (volume_id)),
 levels AS (SELECT *, CAST(round_even((greatest(least((c - 100)::FLOAT / 700::FLOAT, 1), 0) * 255::FLOAT)::DOUBLE, 0) AS INT) AS level FROM up),
 sums AS (SELECT volume_id, z, depth, sum(c)::DOUBLE AS total FROM up GROUP BY ALL), prof AS (SELECT *, total / greatest(max(total) OVER (PARTITION BY volume_id), 1e-6) AS share FROM sums)"""
 
 
+OVERLAY_SQL = overlay_sql("d")
+SHOWN_SQL = TOP_SQL.replace("best AS", "shown AS")
+
+
 def _overlay_top(spark, sf) -> DataFrame:
-    _, prof, top = _overlay(spark, sf)
+    top = A.pair_overlay(_compare(spark, sf).slices)[2]
     return top.select("volume_id", joined("top_slices").alias("top_slices"))
 
 
@@ -162,28 +223,28 @@ def _shapes(df: DataFrame) -> DataFrame:
     return df.select("volume_id").distinct().select("volume_id", F.lit(17).alias("out_depth"), F.lit(23).alias("out_rows"), F.lit(9).alias("out_cols"))
 
 
-def _overlay_grid(spark, sf) -> DataFrame:
-    levels, prof, _ = _overlay(spark, sf)
-    bytes_, _, _ = A.overlay_on_grid(levels, prof, _shapes(levels))
-    return bytes_.select(*OWN, joined("px").alias("level"))
+_STAYS = "CASE WHEN volume_id % 4 IN (1, 3) THEN"
+GRID_SQL = f"""{OVERLAY_SQL}, grid AS (SELECT volume_id, depth AS nz, {_STAYS} depth ELSE depth + 5 END AS oz, {_STAYS} 16 ELSE 10 + volume_id % 7 END AS oy, {_STAYS} 16 ELSE 9 END AS ox
+  FROM (SELECT DISTINCT volume_id, depth FROM levels))"""
+OVERLAY_GRID_SQL = f"""WITH RECURSIVE {GRID_SQL} SELECT volume_id, z, {duck_joined('level')} AS level FROM (SELECT v.volume_id, k AS z, j * ox + i AS p, level
+  FROM (SELECT *, unnest(range(oz)) AS k FROM grid) d, (SELECT unnest(range(16)) AS j) jj, (SELECT unnest(range(16)) AS i) ii
+  JOIN levels v ON v.volume_id = d.volume_id AND j < oy AND i < ox AND v.z = CAST(floor(k * (nz - 1) / greatest(oz - 1, 1)::DOUBLE + 0.5) AS INT)
+  AND v.y = CAST(floor(j * 15 / (oy - 1)::DOUBLE + 0.5) AS INT) AND v.x = CAST(floor(i * 15 / (ox - 1)::DOUBLE + 0.5) AS INT)) GROUP BY volume_id, z"""
+GRID_PROFILE_SQL = f"""{GRID_SQL}, moved AS (SELECT volume_id, k AS z, a.share * (1 - (c - lo)) + b.share * (c - lo) AS total FROM
+  (SELECT *, k * (nz - 1) / greatest(oz - 1, 1)::DOUBLE AS c, CAST(floor(k * (nz - 1) / greatest(oz - 1, 1)::DOUBLE) AS INT) AS lo FROM (SELECT *, unnest(range(oz)) AS k FROM grid)) d
+  JOIN prof a USING (volume_id) JOIN prof b USING (volume_id) WHERE a.z = lo AND b.z = least(lo + 1, nz - 1))"""
 
 
-OVERLAY_GRID_SQL = f"""WITH RECURSIVE {OVERLAY_SQL} SELECT volume_id, z, {duck_joined('level')} AS level FROM (SELECT v.volume_id, k AS z, j * 9 + i AS p, level
-  FROM (SELECT DISTINCT volume_id, depth FROM levels) d, (SELECT unnest(range(17)) AS k) kk, (SELECT unnest(range(23)) AS j) jj, (SELECT unnest(range(9)) AS i) ii
-  JOIN levels v ON v.volume_id = d.volume_id AND v.z = CAST(floor(k * (d.depth - 1) / 16.0::DOUBLE + 0.5) AS INT)
-  AND v.y = CAST(floor(j * 15 / 22.0::DOUBLE + 0.5) AS INT) AND v.x = CAST(floor(i * 15 / 8.0::DOUBLE + 0.5) AS INT)) GROUP BY volume_id, z"""
+def _overlay_grid(spark, sf) -> DataFrame:
+    return _overlay(spark, sf).slices.select(*OWN, joined("level").alias("level"))
 
 
 def _overlay_grid_profile(spark, sf) -> DataFrame:
-    levels, prof, _ = _overlay(spark, sf)
-    _, moved, _ = A.overlay_on_grid(levels, prof, _shapes(levels))
-    return moved.select(*OWN, F.round("share", 7).alias("share"))
+    return _overlay(spark, sf).profile.select(*OWN, F.round("share", 7).alias("share"))
 
 
-OVERLAY_PROFILE_SQL = f"""WITH RECURSIVE {OVERLAY_SQL}, m AS (SELECT volume_id, k AS z, a.share * (1 - (c - lo)) + b.share * (c - lo) AS s FROM
-  (SELECT *, k * (depth - 1) / 16.0::DOUBLE AS c, CAST(floor(k * (depth - 1) / 16.0::DOUBLE) AS INT) AS lo FROM (SELECT DISTINCT volume_id, depth, unnest(range(17)) AS k FROM prof)) d
-  JOIN prof a USING (volume_id) JOIN prof b USING (volume_id) WHERE a.z = lo AND b.z = least(lo + 1, d.depth - 1))
-SELECT volume_id, z, round(s / greatest(max(s) OVER (PARTITION BY volume_id), 1e-6), 7) AS share FROM m"""
+def _overlay_grid_top(spark, sf) -> DataFrame:
+    return _overlay(spark, sf, True).top.select("volume_id", joined("top_slices").alias("top_slices"))
 
 
 def _attention(spark, sf) -> DataFrame:
@@ -254,7 +315,7 @@ pair_rows AS (SELECT volume_id, selected_stage, CAST(format('{{:.1f}}', before_h
 QUERIES = {
     "volume_difference": (_difference, f"""WITH {PAIR_SQL} SELECT volume_id, z, {duck_joined('l.hu - e.hu', 'e.p')} AS delta,
         {duck_joined('greatest(least(l.hu - e.hu, 1024), -1024)', 'e.p')} AS stored FROM early e JOIN late l USING (volume_id, z, y, x) GROUP BY volume_id, z"""),
-    "alignment_error": (lambda s, d: _errors(s, d).withColumn("error_hu", F.round("error_hu", 6)), f"WITH RECURSIVE {ERROR_SQL} SELECT volume_id, stage, stage_order, round(error_hu, 6) AS error_hu FROM errors"),
+    "alignment_error": (lambda s, d: _errors(s, d).select("volume_id", "stage", "stage_order", F.round("error_hu", 6).alias("error_hu")), f"WITH RECURSIVE {ERROR_SQL} SELECT volume_id, stage, stage_order, round(error_hu, 6) AS error_hu FROM errors"),
     "best_stage": (lambda s, d: G.best_stage(_errors(s, d)).select("volume_id", "selected_stage", F.round("alignment_after_hu", 6).alias("after_hu"), F.round("alignment_before_hu", 6).alias("before_hu")),
                    f"WITH RECURSIVE {ERROR_SQL} SELECT volume_id, selected_stage, round(after_hu, 6) AS after_hu, round(before_hu, 6) AS before_hu FROM best"),
     "inflation_shift": (_shift, f"WITH RECURSIVE {PLAIN_SQL} SELECT volume_id, coalesce(median(d) FILTER (inside = 1), 0) AS shift_hu FROM delta GROUP BY 1"),
@@ -267,9 +328,14 @@ QUERIES = {
         shifted AS (SELECT volume_id, z, depth, y, x, p, baseline, followup, inside, d - shift_hu AS d FROM delta JOIN shift USING (volume_id) JOIN best USING (volume_id) WHERE selected_stage <> 'none'),
         {regions_sql('shifted', MIN_DELTA, 1.8, 0.0)} SELECT {REGION_SELECT} FROM kept"""),
     "change_overlay": (_overlay_levels, f"WITH RECURSIVE {OVERLAY_SQL} SELECT volume_id, z, {duck_joined('level')} AS level FROM levels GROUP BY volume_id, z"),
-    "change_overlay_top": (_overlay_top, f"WITH RECURSIVE {OVERLAY_SQL}, {TOP_SQL.format(p='prof')} SELECT * FROM best"),
+    "change_overlay_top": (_overlay_top, f"WITH RECURSIVE {OVERLAY_SQL}, {SHOWN_SQL.format(p='prof')} SELECT * FROM shown"),
+    "change_overlay_less_shift": (lambda s, d: _overlay_levels(s, d, True), f"WITH RECURSIVE {overlay_sql('d - shift_hu')} SELECT volume_id, z, {duck_joined('level')} AS level FROM levels GROUP BY volume_id, z"),
     "overlay_on_grid": (_overlay_grid, OVERLAY_GRID_SQL),
-    "overlay_grid_profile": (_overlay_grid_profile, OVERLAY_PROFILE_SQL),
+    "overlay_grid_profile": (_overlay_grid_profile, f"""WITH RECURSIVE {GRID_PROFILE_SQL} SELECT volume_id, z, round(total / greatest(max(total) OVER (PARTITION BY volume_id), 1e-6), 7) AS share FROM moved"""),
+    "overlay_grid_top_less_shift": (_overlay_grid_top, f"WITH RECURSIVE {GRID_PROFILE_SQL.replace(OVERLAY_SQL, overlay_sql('d - shift_hu'))}, {SHOWN_SQL.format(p='moved')} SELECT * FROM shown"),
+    "translation_search": (_search, f"WITH RECURSIVE {SEARCH_SQL}"),
+    "compare_pairs_spacing": (lambda s, d: _pair_view(_compare_iso(s, d)), f"WITH RECURSIVE {COMPARED_SQL.replace(CHEST_SQL, ISO_SQL)} SELECT * FROM pair_rows"),
+    "compare_regions_spacing": (lambda s, d: _region_view(_compare_iso(s, d).regions), f"WITH RECURSIVE {COMPARED_SQL.replace(CHEST_SQL, ISO_SQL)} SELECT {REGION_SELECT} FROM kept"),
     "attention_overlay": (_attention_levels, f"""WITH {B.SLICES_SQL}, field AS (SELECT *, greatest(hu + 500, 0)::DOUBLE AS a FROM vox),
         {zoom_sql('field', 'a', 'SELECT DISTINCT volume_id, depth AS nz, 17 AS oz, 23 AS oy, 9 AS ox FROM vox')},
         r AS (SELECT volume_id, min(v)::FLOAT::DOUBLE AS lo, max(v)::FLOAT::DOUBLE AS hi FROM along_z GROUP BY 1)

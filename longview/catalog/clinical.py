@@ -160,7 +160,8 @@ def _lines_sql() -> str:
 
 
 def _mismatch(spark, sf) -> DataFrame:
-    cancers = load(spark, sf, "customer").filter("c_acctbal < 500 and c_custkey % 10 <> 0").select(F.col("c_custkey").cast("string").alias("pid"))
+    pid = F.when(F.expr("c_acctbal < 500 and c_custkey % 10 <> 0"), F.col("c_custkey")).otherwise(-1 - F.col("c_custkey"))  # no such participant
+    cancers = load(spark, sf, "customer").select(pid.cast("string").alias("pid"))
     return K.flag_mismatches(B.participants(spark, sf), cancers)
 
 
@@ -209,7 +210,7 @@ QUERIES = {
         round_even(count(*) FILTER (label = 1) / count(*), 4) AS positive_rate, CAST(trunc(median(cancer_free_days)) AS BIGINT) AS median_follow_up_days FROM outcomes"""),
     "diagnosis_years": (lambda s, d: K.diagnosis_years(_outcomes(s, d)), f"WITH {OUTCOMES_SQL} SELECT diagnosis_study_year, count(*) AS patients FROM outcomes WHERE label = 1 AND diagnosis_study_year IS NOT NULL GROUP BY 1"),
     "flag_mismatches": (_mismatch, f"""WITH {B.PARTICIPANTS_SQL}, f AS (SELECT DISTINCT pid FROM participants WHERE {_DX}),
-        c AS (SELECT CAST(c_custkey AS VARCHAR) AS pid FROM customer WHERE c_acctbal < 500 AND c_custkey % 10 <> 0)
+        c AS (SELECT CAST(CASE WHEN c_acctbal < 500 AND c_custkey % 10 <> 0 THEN c_custkey ELSE -1 - c_custkey END AS VARCHAR) AS pid FROM customer)
         SELECT pid, 'cancers' AS missing_from FROM f WHERE pid NOT IN (SELECT pid FROM c) UNION ALL SELECT pid, 'participants' FROM c WHERE pid NOT IN (SELECT pid FROM f)"""),
     "lesion_sites": (lambda s, d: K.lesion_sites(B.participants(s, d)).select("pid", F.array_join("locations", ", ").alias("locations")),
                      f"""WITH {B.PARTICIPANTS_SQL} SELECT pid, concat_ws(', ', CASE WHEN {B.duck_strip('loclup')} = '1' THEN 'left upper lobe' END, CASE WHEN {B.duck_strip('locrmid')} = '1.0' THEN 'right middle lobe' END,

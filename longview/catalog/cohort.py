@@ -31,21 +31,21 @@ def _patients(spark, sf) -> DataFrame:
 
 
 def _label_tables(spark, sf) -> list[DataFrame]:
-    """Three label sources over customers: orders by status, balances, nations."""
+    """Three label sources over customers, by balance and nation; the rows a source would not hold name no known patient."""
     c = load(spark, sf, "customer")
-    pid = F.col("c_custkey").cast("string").alias("patient_id")
-    cdas = c.filter("c_acctbal < 0").select(pid, F.expr("CASE WHEN c_custkey % 3 = 0 THEN -1 WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END").alias("label"), F.lit("cdas").alias("label_source"))
-    manual = c.filter("c_nationkey < 20").select(pid, F.expr("CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END").alias("label"), F.lit("manual").alias("label_source"))
-    other = c.filter("c_nationkey % 2 = 0").select(pid, F.expr("CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE -1 END").alias("label"),
+    pid = lambda test: F.when(F.expr(test), F.col("c_custkey").cast("string")).otherwise(F.concat(F.lit("none-"), F.col("c_custkey").cast("string"))).alias("patient_id")
+    cdas = c.select(pid("c_acctbal < 0"), F.expr("CASE WHEN c_custkey % 3 = 0 THEN -1 WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END").alias("label"), F.lit("cdas").alias("label_source"))
+    manual = c.select(pid("c_nationkey < 20"), F.expr("CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END").alias("label"), F.lit("manual").alias("label_source"))
+    other = c.select(pid("c_nationkey % 2 = 0"), F.expr("CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE -1 END").alias("label"),
                                                    F.expr("CASE WHEN c_custkey % 2 = 0 THEN 'sybil' ELSE 'elsewhere' END").alias("label_source"))
     return [manual, other, cdas]
 
 
 LABEL_TABLES_SQL = """tables AS (
-  SELECT CAST(c_custkey AS VARCHAR) AS patient_id, CASE WHEN c_custkey % 3 = 0 THEN -1 WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END AS label, 'cdas' AS label_source, 0 AS rnk FROM customer WHERE c_acctbal < 0
-  UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END, 'manual', 4 FROM customer WHERE c_nationkey < 20
-  UNION ALL SELECT CAST(c_custkey AS VARCHAR), CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE -1 END, CASE WHEN c_custkey % 2 = 0 THEN 'sybil' ELSE 'elsewhere' END,
-    CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 6 END FROM customer WHERE c_nationkey % 2 = 0),
+  SELECT CASE WHEN c_acctbal < 0 THEN '' ELSE 'none-' END || c_custkey AS patient_id, CASE WHEN c_custkey % 3 = 0 THEN -1 WHEN c_custkey % 3 = 1 THEN 1 ELSE 0 END AS label, 'cdas' AS label_source, 0 AS rnk FROM customer
+  UNION ALL SELECT CASE WHEN c_nationkey < 20 THEN '' ELSE 'none-' END || c_custkey, CASE WHEN c_custkey % 5 = 0 THEN -1 WHEN c_custkey % 13 = 0 THEN 1 ELSE 0 END, 'manual', 4 FROM customer
+  UNION ALL SELECT CASE WHEN c_nationkey % 2 = 0 THEN '' ELSE 'none-' END || c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 1 ELSE -1 END, CASE WHEN c_custkey % 2 = 0 THEN 'sybil' ELSE 'elsewhere' END,
+    CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 6 END FROM customer),
 picked AS (SELECT patient_id, label, label_source, row_number() OVER (PARTITION BY patient_id ORDER BY (label = -1), CASE WHEN label = -1 THEN -rnk ELSE rnk END) AS i FROM tables),
 merged AS (SELECT patient_id, label, label_source FROM picked WHERE i = 1)"""
 

@@ -111,8 +111,8 @@ FROM latest LEFT JOIN known k USING (patient_id) LEFT JOIN tied t ON t.year_1 =
 
 
 def _change_block(spark, sf) -> DataFrame:
-    pairs, regions, _ = _compare(spark, sf)
-    regions = cut(report_region(regions))  # a short table; the record repeats no rounding
+    compared = _compare(spark, sf)
+    pairs, regions = compared.pairs, cut(report_region(compared.regions))  # a short table; the record repeats no rounding
     named = cut(pairs).withColumns({
         "patient_id": F.floor(F.col("volume_id") / 3).cast("string"), "from_round": F.concat(F.lit("T"), (F.col("volume_id") % 3).cast("string")),
         "to_round": F.concat(F.lit("T"), (F.col("volume_id") % 3 + 1).cast("string"))})
@@ -172,9 +172,9 @@ SELECT patient_id, coalesce(any_value(top_slices), '') AS top_slices, CASE WHEN
 
 
 def _declared(spark, sf) -> DataFrame:
-    """A splits table that the hash would not give: by the id's last digit, some patients missing."""
+    """A splits table that the hash would not give: by the id's last digit; some rows name no known patient."""
     k = F.col("c_custkey")
-    return load(spark, sf, "customer").select(k.cast("string").alias("patient_id"), F.when(k % 5 == 0, "test").otherwise("train").alias("split")).filter(k % 7 != 0)
+    return load(spark, sf, "customer").select(F.when(k % 7 == 0, -1 - k).otherwise(k).cast("string").alias("patient_id"), F.when(k % 5 == 0, "test").otherwise("train").alias("split"))
 
 
 def _declared_splits(spark, sf) -> DataFrame:
@@ -184,7 +184,7 @@ def _declared_splits(spark, sf) -> DataFrame:
 
 
 DECLARED_SQL = f"""WITH {B.PRIMARY_SQL}, s AS (SELECT DISTINCT patient_id, CASE WHEN c_custkey IS NULL THEN NULL WHEN c_custkey % 5 = 0 THEN 'test' ELSE 'train' END AS split
-  FROM series LEFT JOIN customer ON CAST(c_custkey AS VARCHAR) = patient_id AND c_custkey % 7 <> 0 WHERE is_primary) SELECT patient_id, split, split AS overview_split FROM s"""
+  FROM series LEFT JOIN customer ON CAST(CASE WHEN c_custkey % 7 = 0 THEN -1 - c_custkey ELSE c_custkey END AS VARCHAR) = patient_id WHERE is_primary) SELECT patient_id, split, split AS overview_split FROM s"""
 
 
 def _broken_curves(spark, sf) -> DataFrame:

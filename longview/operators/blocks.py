@@ -3,7 +3,8 @@
 A stencil along z needs neighbouring slices. Slices are grouped into blocks of
 consecutive z, each block also receiving the few slices its neighbours share
 with it, so a task holds a bounded stack (``block + 2 * halo`` slices) however
-deep a volume is. Inside a block the arithmetic is numpy on the stack.
+deep a volume is. Slices are packed before they are sent (``bits``). Inside a
+block the arithmetic is numpy on the stack, for masks on words of 64 pixels.
 
 Slices are rows of volume_id, z (dense from 0), depth, rows, cols and pixels.
 """
@@ -18,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bits
+
 BLOCK = 32
 # Unit-sigma Gaussian, cut at four sigma.
 GAUSS_RADIUS = 4
@@ -32,28 +35,61 @@ def with_block(slices: DataFrame, below: int, above: int, block: int = BLOCK) ->
     return slices.withColumn("block", F.explode(F.sequence(first, last)))
 
 
-def block_apply(slices: DataFrame, pixels: list[str], fn: Callable[..., np.ndarray], halo: int, out: str,
+CORE = ["volume_id", "z", "depth", "rows", "cols"]
+
+
+def core(slices: DataFrame, *extra: str) -> DataFrame:
+    """The columns a block needs, counts as plain integers."""
+    return slices.select("volume_id", *[F.col(c).cast("int").alias(c) for c in CORE[1:]], *extra)
+
+
+def block_apply(slices: DataFrame, pixels: str, fn: Callable[..., np.ndarray], halo: int, out: str,
                 out_type: str, block: int = BLOCK) -> DataFrame:
-    """Run ``fn(*stacks, zs, depth) -> stack`` per block and keep the block's own slices."""
+    """Run ``fn(stack, zs, depth) -> stack`` per block and keep the block's own slices. Pixels are packed before they are sent."""
     id_type = slices.schema["volume_id"].dataType.simpleString()
-    cols = ["volume_id", "z", "depth", "rows", "cols"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z", ignore_index=True)
-        zs, shape = pdf["z"].to_numpy(), (len(pdf), int(pdf["rows"][0]), int(pdf["cols"][0]))
-        stacks = [np.stack(pdf[c].to_list()).reshape(shape) for c in pixels]
-        result = fn(*stacks, zs, int(pdf["depth"][0]))
+        zs = pdf["z"].to_numpy()
+        result = fn(bits.stack(pdf[pixels], int(pdf["rows"][0]), int(pdf["cols"][0])), zs, int(pdf["depth"][0]))
         own = zs // block == pdf["block"][0]
-        res = pdf.loc[own, cols].copy()
+        res = pdf.loc[own, CORE].copy()
         res[out] = list(result.reshape(len(zs), -1)[own])
         return res
 
     schema = f"volume_id {id_type}, z int, depth int, rows int, cols int, {out} array<{out_type}>"
-    wide = with_block(slices.select(*[F.col(c).cast("int") if c != "volume_id" else F.col(c) for c in cols], *pixels),
-                      halo, halo, block)
+    wide = with_block(bits.with_packed_pixels(core(slices, pixels), pixels), halo, halo, block)
     return wide.groupBy("volume_id", "block").applyInPandas(run, schema)
 
 
+def mask_apply(slices: DataFrame, mask: str, fn: Callable[[np.ndarray, int], np.ndarray], halo: int, out: str,
+               block: int = BLOCK, packed: bool = False) -> DataFrame:
+    """Run ``fn(words, cols) -> words`` per block of mask slices and keep the block's own; packed before they are sent.
+
+    A stack's ends count as clear: at a volume's end that is what the operators want, and elsewhere the halo is cut off.
+    """
+    id_type = slices.schema["volume_id"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("z", ignore_index=True)
+        cols = int(pdf["cols"][0])
+        own = (pdf["z"] // block == pdf["block"][0]).to_numpy()
+        result = fn(bits.words_of(pdf[mask], int(pdf["rows"][0]), cols), cols)[own]
+        return mask_rows(pdf.loc[own, CORE].copy(), result, cols, out, packed)
+
+    wide = with_block(bits.with_packed_mask(core(slices, mask), mask), halo, halo, block)
+    return wide.groupBy("volume_id", "block").applyInPandas(run, mask_schema(id_type, out, packed))
+
+
+def mask_schema(id_type: str, out: str, packed: bool) -> str:
+    return f"volume_id {id_type}, z int, depth int, rows int, cols int, {out} {'binary' if packed else 'array<int>'}"
+
+
+def mask_rows(rows: pd.DataFrame, words: np.ndarray, cols: int, out: str, packed: bool) -> pd.DataFrame:
+    rows[out] = bits.slice_bytes(words, cols) if packed else list(bits.booleans(words, cols).reshape(len(words), -1).astype(np.int32))
+    return rows
+
+
 def _shifted(stack: np.ndarray, axis: int, k: int, mode: str) -> np.ndarray:
     """The stack moved by k along an axis, outside filled by reflection or zeros."""
     n = stack.shape[axis]
@@ -88,17 +124,6 @@ def gaussian_stack(stack: np.ndarray, zs: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def box_stack(stack: np.ndarray, zs: np.ndarray, depth: int, radius: int, reduce: np.ufunc) -> np.ndarray:
-    """Minimum or maximum over a cube; outside the volume counts as zero."""
-    out = stack
-    for axis in (0, 1, 2):
-        src = out
-        moved = [_along_z(src, zs, depth, k, "zero") if axis == 0 else _shifted(src, axis, k, "zero")
-                 for k in range(-radius, radius + 1)]
-        out = reduce.reduce(moved)
-    return out
-
-
 def slab_runs(mask: np.ndarray, across: bool = True) -> tuple[np.ndarray, ...]:
     """Row runs of a stack (z, y, first and last x) and the run that names the component each belongs to.
 
@@ -145,31 +170,49 @@ def fill_holes_stack(stack: np.ndarray) -> np.ndarray:
 
 def gaussian(slices: DataFrame, pixels: str, out: str = "smoothed", block: int = BLOCK) -> DataFrame:
     """Unit-sigma smoothing in three dimensions, edges reflected."""
-    return block_apply(slices, [pixels], gaussian_stack, GAUSS_RADIUS, out, "double", block)
+    return block_apply(slices, pixels, gaussian_stack, GAUSS_RADIUS, out, "double", block)
 
 
-def erode(slices: DataFrame, mask: str, iterations: int = 2, out: str = "interior", block: int = BLOCK) -> DataFrame:
-    """Erosion by a 3x3x3 cube, repeated."""
-    return block_apply(slices, [mask], lambda m, zs, d: box_stack(m, zs, d, iterations, np.minimum), iterations, out, "int", block)
+def erode(slices: DataFrame, mask: str, iterations: int = 2, out: str = "interior", block: int = BLOCK, packed: bool = False) -> DataFrame:
+    """Erosion by a 3x3x3 cube, repeated; outside the volume counts as clear."""
+    return mask_apply(slices, mask, lambda m, cols: bits.shrunk(m, iterations), iterations, out, block, packed)
 
 
-def dilate(slices: DataFrame, mask: str, out: str = "dilated", block: int = BLOCK) -> DataFrame:
+def dilate(slices: DataFrame, mask: str, out: str = "dilated", block: int = BLOCK, packed: bool = False) -> DataFrame:
     """Dilation by a 3x3x3 cube."""
-    return block_apply(slices, [mask], lambda m, zs, d: box_stack(m, zs, d, 1, np.maximum), 1, out, "int", block)
+    return mask_apply(slices, mask, bits.grown, 1, out, block, packed)
 
 
-def close_stack(m: np.ndarray, zs: np.ndarray, depth: int) -> np.ndarray:
-    return box_stack(box_stack(m, zs, depth, 1, np.maximum), zs, depth, 1, np.minimum)
+def close_words(m: np.ndarray, cols: int) -> np.ndarray:
+    return bits.shrunk(bits.grown(m, cols))
 
 
-def close(slices: DataFrame, mask: str, out: str = "closed", block: int = BLOCK) -> DataFrame:
+def close(slices: DataFrame, mask: str, out: str = "closed", block: int = BLOCK, packed: bool = False) -> DataFrame:
     """Closing by a 3x3x3 cube; the volume's outermost voxels always end up clear."""
-    return block_apply(slices, [mask], close_stack, 2, out, "int", block)
+    return mask_apply(slices, mask, close_words, 2, out, block, packed)
+
 
+def close_and_fill(slices: DataFrame, runs: DataFrame, out: str = "mask", block: int = BLOCK, packed: bool = False) -> DataFrame:
+    """The mask that ``runs`` draw on ``slices``, closed, then every slice's holes filled.
+
+    Only runs are sent to the blocks; a slice comes without pixels, to say that it is there.
+    """
+    id_type = slices.schema["volume_id"].dataType.simpleString()
 
-def close_and_fill(slices: DataFrame, mask: str, out: str = "mask", block: int = BLOCK) -> DataFrame:
-    """Closing followed by the per-slice hole fill, in one pass over the blocks."""
-    return block_apply(slices, [mask], lambda m, zs, d: fill_holes_stack(close_stack(m, zs, d)), 2, out, "int", block)
+    def run(own: pd.DataFrame, drawn: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("z", ignore_index=True)
+        if not len(own):  # a halo beyond the last block
+            return pd.DataFrame(columns=[*CORE, out])
+        rows, cols, depth = (int(own[c][0]) for c in ("rows", "cols", "depth"))
+        low, high = max(int(own["z"].iloc[0]) - 2, 0), min(int(own["z"].iloc[-1]) + 2, depth - 1)
+        painted = filled_runs(drawn["z"].to_numpy() - low, *(drawn[c].to_numpy() for c in ("y", "x0", "x1")), (high - low + 1, rows, cols))
+        closed = bits.booleans(close_words(bits.words_from(painted != 0), cols), cols)[own["z"].to_numpy() - low]
+        return mask_rows(own[CORE].copy(), bits.words_from(fill_holes_stack(closed) != 0), cols, out, packed)
+
+    frame = core(slices).withColumn("block", F.floor(F.col("z") / block))
+    at = runs.select("volume_id", "z", "y", "x0", "x1", F.explode(F.sequence(
+        F.greatest(F.floor((F.col("z") - 2) / block), F.lit(0)), F.floor((F.col("z") + 2) / block))).alias("block"))
+    return frame.groupBy("volume_id", "block").cogroup(at.groupBy("volume_id", "block")).applyInPandas(run, mask_schema(id_type, out, packed))
 
 
 def fill_holes(mask: Column, rows: Column, cols: Column) -> Column:

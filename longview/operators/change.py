@@ -1,13 +1,15 @@
 """Change between consecutive rounds: alignment, difference, regions.
 
-Inputs are slice tables on one grid, keyed by the pair in ``volume_id``:
-``baseline`` (px), ``stages`` (stage, stage_order, px: the later round under
-each candidate alignment) and ``masks`` (mask). Every step covers all pairs.
+Inputs are slice tables on one grid, keyed by the pair in ``volume_id``: the
+earlier and the later round (px) and masks (mask). Every step covers all pairs.
+Inside, slices travel packed (``bits``); an aligned pair is one table with both
+rounds and the eroded mask in the slice's row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -20,8 +22,10 @@ from longview.functions.narrative import FAILED_NOTE
 from longview.functions.text import half_even
 from longview.session import cut
 
-from .blocks import BLOCK, erode, gaussian
-from .components import component_sizes, label_runs, lung_mask, runs_per_slice
+from . import bits
+from .align import FILL_HU, move_errors, moved, search_moves
+from .blocks import BLOCK, GAUSS_RADIUS, core, erode, gaussian_stack, slab_runs, with_block
+from .components import global_labels, lung_mask
 from .slices import mask_volume_ml, resample_isotropic
 
 # What counts as a region of change.
@@ -32,7 +36,6 @@ FOLLOWUP_TISSUE_HU = -600.0
 MIN_FILL_FRACTION = 0.30
 MAX_ELONGATION = 3.0
 NEW_BELOW_HU = -800.0
-FILL_HU = -1024
 
 
 def difference(baseline: DataFrame, warped: DataFrame) -> DataFrame:
@@ -85,18 +88,37 @@ def best_stage(errors: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("stage_order", "stage", "error_hu"))).alias("alignment_by_stage_hu"))
 
 
+def best_move(errors: DataFrame) -> DataFrame:
+    """``best_stage`` and the move (dz, dy, dx) it stands for."""
+    move = errors.groupBy("volume_id").agg(F.min_by(F.struct("dz", "dy", "dx"), F.struct(
+        F.coalesce("error_hu", F.lit(float("inf"))).alias("e"), F.col("stage_order"))).alias("_m")).select("volume_id", "_m.*")
+    return best_stage(errors).join(move, "volume_id")
+
+
 def value_counts(px: Column, mask: Column) -> Column:
     """Distinct values under a slice's mask with how often each occurs."""
 
     @F.pandas_udf("array<struct<v:double,n:bigint>>")
     def counted(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for values, masks in parts:
-            yield pd.Series([[{"v": float(v), "n": int(n)} for v, n in zip(*np.unique(np.asarray(a)[np.asarray(m) != 0], return_counts=True))]
-                             for a, m in zip(values, masks)], dtype=object)
+            yield pd.Series([_counts(np.asarray(a)[np.asarray(m) != 0]) for a, m in zip(values, masks)], dtype=object)
 
     return counted(px, mask)
 
 
+def _counts(values: np.ndarray) -> list[dict]:
+    return [{"v": float(v), "n": int(n)} for v, n in zip(*np.unique(values, return_counts=True))]
+
+
+def _median(values: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Median of counted values (volume_id, counts) per pair of ``pairs``, 0 where there are none."""
+    each = values.select("volume_id", F.explode("counts").alias("_v")).select("volume_id", "_v.v", "_v.n")
+    counts = each.groupBy("volume_id", "v").agg(F.sum("n").alias("n"))
+    medians = counts.groupBy("volume_id").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("_m"))
+    return pairs.select("volume_id").distinct().join(medians, "volume_id", "left").select(
+        "volume_id", F.coalesce("_m", F.lit(0.0)).alias("shift_hu"))
+
+
 def inflation_shift(delta: DataFrame, masks: DataFrame, mask: str = "interior") -> DataFrame:
     """Median difference under the mask, 0 when it is empty.
 
@@ -104,143 +126,171 @@ def inflation_shift(delta: DataFrame, masks: DataFrame, mask: str = "interior")
     distinct values, so the exact median reads a small table per pair.
     """
     joined = delta.select("volume_id", "z", "delta").join(masks.select("volume_id", "z", mask), ["volume_id", "z"])
-    values = joined.select("volume_id", F.explode(value_counts(F.col("delta"), F.col(mask))).alias("_v")).select("volume_id", "_v.v", "_v.n")
-    counts = values.groupBy("volume_id", "v").agg(F.sum("n").alias("n"))
-    medians = counts.groupBy("volume_id").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("_m"))
-    return masks.select("volume_id").distinct().join(medians, "volume_id", "left").select(
-        "volume_id", F.coalesce("_m", F.lit(0.0)).alias("shift_hu"))
+    return _median(joined.select("volume_id", value_counts(F.col("delta"), F.col(mask)).alias("counts")), masks)
+
+
+def pair_shift(compared: DataFrame) -> DataFrame:
+    """``inflation_shift`` of packed pairs (see ``aligned_pairs``)."""
+
+    @F.pandas_udf("array<struct<v:double,n:bigint>>")
+    def counted(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for series in parts:
+            made = []
+            for a, b, m, h, w in zip(*series):
+                inside = bits.plane(m, h, w)
+                made.append(_counts(bits.plane(b, h, w)[inside].astype(np.int64) - bits.plane(a, h, w)[inside]))
+            yield pd.Series(made, dtype=object)
+
+    counts = counted("baseline", "followup", "interior", "rows", "cols")
+    return _median(compared.select("volume_id", counts.alias("counts")), compared)
 
 
-def moved_plane(dy: Column | int, dx: Column | int) -> Column:
-    """``px`` moved inside its slice, outside filled with air."""
-    rows, cols = F.col("rows"), F.col("cols")
+def aligned_pairs(baseline: DataFrame, later: DataFrame, best: DataFrame, interior: DataFrame) -> DataFrame:
+    """Both rounds and the eroded mask in one row a slice, all packed: baseline, followup, interior.
+
+    The later round is moved by its pair's selected move (dz, dy, dx of ``best``); no other candidate is built, and what it does
+    not cover is air.
+    """
+    sent = later.join(best.select("volume_id", "dz", "dy", "dx"), "volume_id").select(
+        "volume_id", (F.col("z") + F.col("dz")).cast("int").alias("z"), moved(F.col("px"), F.col("rows"), F.col("cols"), F.col("dy"), F.col("dx")).alias("_px"))
+    own = core(baseline, F.col("px").alias("baseline")).join(interior.select("volume_id", "z", "interior"), ["volume_id", "z"])
+    return own.join(sent, ["volume_id", "z"], "left").withColumn(
+        "followup", F.coalesce("_px", air(F.col("rows"), F.col("cols")))).drop("_px")
 
-    def at(i: Column) -> Column:
-        y, x = (i / cols).cast("int") - dy, i % cols - dx
-        inside = (y >= 0) & (y < rows) & (x >= 0) & (x < cols)
-        return F.when(inside, F.get("px", y * cols + x)).otherwise(FILL_HU)
 
-    return F.transform(F.sequence(F.lit(0), rows * cols - 1), at)
+def air(rows: Column, cols: Column) -> Column:
+    """A packed slice of air."""
+    return F.concat(F.lit(b"h"), F.unhex(F.repeat(F.lit(np.dtype("<i2").type(FILL_HU).tobytes().hex()), (rows * cols).cast("int"))))
 
 
-def stage_name(shift: tuple[int, int, int]) -> str:
-    return "shift({},{},{})".format(*shift)
+def unpacked(compared: DataFrame, mask: bool = False) -> DataFrame:
+    """Slices with baseline, followup and delta as pixel arrays; the interior too if asked."""
+    shape = F.col("rows"), F.col("cols")
+    out = compared.select("volume_id", "z", "depth", "rows", "cols", *[bits.pixels(F.col(c), *shape).alias(c) for c in ("baseline", "followup", *["interior"] * mask)])
+    return out.withColumn("delta", F.zip_with("followup", "baseline", lambda b, a: b - a))
 
 
-def chosen_stage(later: DataFrame, best: DataFrame, shifts: list[tuple[int, int, int]]) -> DataFrame:
-    """The later round under the selected stage of its pair; no other candidate is built."""
-    still = F.array(*[F.lit(0)] * 3)
-    move = still
-    for shift in shifts:
-        move = F.when(F.col("selected_stage") == stage_name(shift), F.array(*[F.lit(d) for d in shift])).otherwise(move)
-    dz, dy, dx = (F.get("_move", F.lit(i)) for i in range(3))
-    sent = later.join(best.select("volume_id", "selected_stage"), "volume_id").withColumn("_move", move).select(
-        "volume_id", (F.col("z") + dz).alias("z"), F.when((dy == 0) & (dx == 0), F.col("px")).otherwise(moved_plane(dy, dx)).alias("_px"))
-    grid = later.select("volume_id", "z", "depth", "rows", "cols")
-    air = F.array_repeat(F.lit(FILL_HU), F.col("rows") * F.col("cols"))
-    return grid.join(sent, ["volume_id", "z"], "left").withColumn("px", F.coalesce("_px", air)).drop("_px")
+# Sums of a run and, on the first run of a slab component, how often each baseline value occurs in it.
+_RUN = """z int, y int, x0 int, x1 int, comp bigint, shared boolean, width int, n bigint, sum_s double, max_s double, abs_s double, sum_b double, sum_f double,
+ values array<double>, counts array<bigint>"""
 
 
-def shift_stack(later: DataFrame, shifts: list[tuple[int, int, int]]) -> DataFrame:
-    """Candidate stages: the later round moved by whole voxels, outside filled with air.
+def _hot_runs(slices: DataFrame, min_hu_delta: float, max_voxels: float, block: int) -> DataFrame:
+    """Runs of smoothed change above the threshold inside the mask, with their sums: one pass over the blocks (X9, X10, part of X11).
 
-    Only the z moves send slices elsewhere; in-plane moves happen inside the row.
+    ``slices`` are packed: baseline, followup, interior, and delta or the shift_hu to take off the difference. Pixels end here.
+    Baseline values are counted only for slab components that are not too large already.
     """
-    rows, cols = F.col("rows"), F.col("cols")
-
-    options = [F.struct(F.lit(i + 1).alias("stage_order"), F.lit(stage_name((dz, dy, dx))).alias("stage"), F.lit(dz).alias("dz"),
-                        (moved_plane(dy, dx) if (dy, dx) != (0, 0) else F.col("px")).alias("px")) for i, (dz, dy, dx) in enumerate(shifts)]
-    sent = later.select("volume_id", "z", "depth", "rows", "cols", F.explode(F.array(*options)).alias("_s"))
-    moved_rows = sent.select("volume_id", (F.col("z") + F.col("_s.dz")).alias("z"), "depth", "rows", "cols", "_s.stage", "_s.stage_order", "_s.px")
-    # Slices that nothing moved onto are air.
-    top = [F.struct(F.lit(i + 1).alias("stage_order"), F.lit(stage_name((dz, dy, dx))).alias("stage"), F.lit(dz).alias("dz"))
-           for i, (dz, dy, dx) in enumerate(shifts) if dz != 0]
-    out = moved_rows.filter("z between 0 and depth - 1")
-    if not top:
+    id_type = slices.schema["volume_id"].dataType.simpleString()
+    given = "delta" in slices.columns
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("z", ignore_index=True)
+        zs, rows, cols, at = pdf["z"].to_numpy(), int(pdf["rows"][0]), int(pdf["cols"][0]), int(pdf["block"][0])
+        base, follow = (bits.stack(pdf[c], rows, cols) for c in ("baseline", "followup"))
+        delta = bits.stack(pdf["delta"], rows, cols) if given else follow.astype(np.float64) - base - pdf["shift_hu"][0]
+        smoothed = gaussian_stack(delta, zs, int(pdf["depth"][0]))
+        keep = (zs >= at * block) & (zs <= (at + 1) * block)  # the slice above is shared with the next block
+        hot = (smoothed[keep] > min_hu_delta) & bits.stack(pdf["interior"][keep], rows, cols)
+        zs, smoothed, base, follow = zs[keep], smoothed[keep][hot], base[keep][hot], follow[keep][hot]
+        z, y, x0, x1, first = slab_runs(hot)
+        n = x1 - x0 + 1
+        starts = np.cumsum(n) - n
+        total = lambda v: np.add.reduceat(v.astype(np.float64), starts) if len(starts) else np.empty(0)
+        shared = zs[z] // block != at
+        voxel = (zs[z].astype(np.int64) * rows + y) * cols + x0
+        values, counts = [None] * len(n), [None] * len(n)
+        own = np.repeat(~shared, n)
+        of, value = np.repeat(first, n)[own], base[own].astype(np.float64)
+        order = np.lexsort((value, of))
+        of, value = of[order], value[order]
+        for a, b in zip(*_spans(of)):
+            if b - a <= max_voxels:
+                values[of[a]], counts[of[a]] = (x.tolist() for x in np.unique(value[a:b], return_counts=True))
+        out = pd.DataFrame({"z": zs[z], "y": y, "x0": x0, "x1": x1, "comp": voxel[first], "shared": shared, "width": cols, "n": n, "sum_s": total(smoothed),
+                            "max_s": np.maximum.reduceat(smoothed, starts) if len(starts) else np.empty(0), "abs_s": total(np.abs(smoothed)),
+                            "sum_b": total(base), "sum_f": total(follow), "values": pd.Series(values, dtype=object), "counts": pd.Series(counts, dtype=object)})
+        out.insert(0, "volume_id", pdf["volume_id"][0])
         return out
-    bare = later.select("volume_id", "z", "depth", "rows", "cols", F.explode(F.array(*top)).alias("_s")).filter(
-        "z - _s.dz not between 0 and depth - 1")
-    air = bare.select("volume_id", "z", "depth", "rows", "cols", "_s.stage", "_s.stage_order",
-                      F.array_repeat(F.lit(FILL_HU), rows * cols).alias("px"))
-    return out.unionByName(air)
 
+    wide = with_block(slices, GAUSS_RADIUS, GAUSS_RADIUS + 1, block)
+    return wide.groupBy("volume_id", "block").applyInPandas(run, f"volume_id {id_type}, {_RUN}")
 
-def translation_search(baseline: DataFrame, later: DataFrame, masks: DataFrame, shifts: list[tuple[int, int, int]]) -> tuple[DataFrame, DataFrame]:
-    """Score whole-voxel moves beside leaving the pair alone: (stages, errors)."""
-    none = later.select("volume_id", "z", "depth", "rows", "cols", F.lit("none").alias("stage"), F.lit(0).alias("stage_order"), "px")
-    stages = none.unionByName(shift_stack(later, shifts))
-    return stages, alignment_error(baseline, stages, masks)
 
+def _spans(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts and ends."""
+    if not len(of):
+        return of, of
+    edges = np.flatnonzero(of[1:] != of[:-1]) + 1
+    return np.r_[0, edges], np.r_[edges, len(of)]
 
-def _run_stats(joined: DataFrame) -> DataFrame:
-    """Per-run sums, taken inside the slice row before anything is exploded."""
-    cols = F.col("cols")
 
-    def part(px: str, r: Column) -> Column:
-        return F.slice(F.col(px), r["y"] * cols + r["x0"] + 1, r["x1"] - r["x0"] + 1)
+def percentile_of_counts(parts: Column, share: float) -> Column:
+    """A percentile, interpolated, over an array of (values, counts) tables that are merged first."""
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, v: s + v.cast("double"))
+    @F.pandas_udf("double")
+    def taken(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for lists in series:
+            made = []
+            for own in lists:
+                value, n = (np.concatenate([np.asarray(p[f]) for p in own]) for f in ("values", "counts"))
+                order = np.argsort(value, kind="stable")
+                value, upto = value[order], np.cumsum(n[order])
+                at = share * (upto[-1] - 1)
+                low, high = (value[np.searchsorted(upto, k, side="right")] for k in (np.floor(at), np.ceil(at)))
+                made.append(low + (high - low) * (at - np.floor(at)))
+            yield pd.Series(made, dtype="float64")
 
-    def stats(r: Column) -> Column:
-        s = part("smoothed", r)
-        n = r["x1"] - r["x0"] + 1
-        return F.struct(
-            r["component"].alias("component"), r["y"].alias("y"), r["x0"].alias("x0"), r["x1"].alias("x1"), n.alias("n"),
-            total(s).alias("sum_s"), F.array_max(s).cast("double").alias("max_s"),
-            total(F.transform(s, lambda v: F.abs(v))).alias("abs_s"),
-            total(part("baseline", r)).alias("sum_b"), total(part("followup", r)).alias("sum_f"))
+    return taken(parts)
 
-    return joined.select("volume_id", "z", F.col("cols").alias("width"), F.explode(F.transform("runs", stats)).alias("_r")).select(
-        "volume_id", "z", "width", "_r.*")
 
-
-def region_features(runs: DataFrame, values: DataFrame, spacing_mm: float,
-                    min_diameter_mm: float = V.MIN_DIAMETER_MM, max_diameter_mm: float = V.MAX_DIAMETER_MM,
+def region_features(runs: DataFrame, spacing_mm: float, min_diameter_mm: float = V.MIN_DIAMETER_MM, max_diameter_mm: float = V.MAX_DIAMETER_MM,
                     baseline_air_hu: float = BASELINE_AIR_HU, followup_tissue_hu: float = FOLLOWUP_TISSUE_HU) -> DataFrame:
-    """Features of the components that pass the region filters.
+    """Features of the components that pass the region filters (A26, P8), from runs with their sums; no pixel is read again.
 
-    Cheap sums come first; the 90th percentile is taken only over components
-    that passed size and shape, whose size the volume bound limits.
+    The 90th percentile comes from counted values, merged only over components that passed size and shape.
     """
     mm3 = spacing_mm ** 3
-    boxes = component_sizes(runs)
-    volume = F.col("voxels") * mm3
-    box = (F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
-    sides = [(F.col(f"{a}1") - F.col(f"{a}0")) * spacing_mm for a in "zyx"]
-    shaped = boxes.withColumns({
-        "volume_mm3": volume, "fill_fraction": F.col("voxels") / box.cast("double"),
-        "elongation": F.greatest(*sides) / F.greatest(F.least(*sides), F.lit(1e-6))}).filter(
-        F.col("volume_mm3").between(V.sphere_volume(min_diameter_mm), V.sphere_volume(max_diameter_mm))
-        & (F.col("fill_fraction") >= MIN_FILL_FRACTION) & (F.col("elongation") <= MAX_ELONGATION))
-    kept = runs.join(shaped.select("volume_id", "component"), ["volume_id", "component"], "left_semi")
-    by_slice = cut(values.select("volume_id", "z", "cols", "smoothed", "baseline", "followup").join(
-        runs_per_slice(kept, "component"), ["volume_id", "z"]))
-    n = F.col("n")
-    sums = _run_stats(by_slice)
-    per_slice = sums.groupBy("volume_id", "component", "z").agg(
+    n, keys = F.col("n"), ["volume_id", "component"]
+    per_slice = runs.groupBy(*keys, "z").agg(
         F.sum("n").alias("n"), F.sum("sum_s").alias("sum_s"), F.max("max_s").alias("max_s"), F.sum("abs_s").alias("abs_s"),
         F.sum("sum_b").alias("sum_b"), F.sum("sum_f").alias("sum_f"), F.max("width").alias("width"),
-        F.sum(n * F.col("y")).alias("sy"), F.sum(n * (F.col("x0") + F.col("x1")) / 2.0).alias("sx"))
-    whole = per_slice.groupBy("volume_id", "component").agg(
-        F.sum("n").alias("n"), F.sum("sum_s").alias("sum_s"), F.max("max_s").alias("peak_delta_hu"),
+        F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("x0").alias("x0"), F.max("x1").alias("x1"),
+        F.sum(n * F.col("y")).alias("sy"), F.sum(n * (F.col("x0") + F.col("x1")) / 2.0).alias("sx"),
+        F.collect_list(F.when(F.size("values") > 0, F.struct("values", "counts"))).alias("parts"))
+    whole = per_slice.groupBy(*keys).agg(
+        F.sum("n").cast("bigint").alias("voxels"), F.sum("sum_s").alias("sum_s"), F.max("max_s").alias("peak_delta_hu"),
         F.sum("sum_b").alias("sum_b"), F.sum("sum_f").alias("sum_f"), F.max("width").alias("width"),
         F.sum("sy").alias("sy"), F.sum("sx").alias("sx"), F.sum(n * F.col("z")).alias("sz"),
+        F.min("z").alias("z0"), F.min("y0").alias("y0"), F.min("x0").alias("x0"),
+        (F.max("z") + 1).alias("z1"), (F.max("y1") + 1).alias("y1"), (F.max("x1") + 1).alias("x1"),
         # First slice of the largest change, as an argmax takes it.
-        F.min_by("z", F.struct((-F.col("abs_s")).alias("a"), F.col("z"))).alias("slice"))
-    baseline_values = by_slice.select("volume_id", F.explode("runs").alias("_r"), "cols", "baseline").select(
-        "volume_id", "_r.component", F.explode(F.slice(
-            "baseline", F.col("_r.y") * F.col("cols") + F.col("_r.x0") + 1, F.col("_r.x1") - F.col("_r.x0") + 1)).alias("v"))
-    p90 = baseline_values.groupBy("volume_id", "component").agg(F.percentile("v", F.lit(0.9)).alias("p90_baseline_hu"))
-    keys = ["volume_id", "component"]
-    out = shaped.join(whole, keys).join(p90, keys).withColumns({
-        "mean_delta_hu": F.col("sum_s") / n, "baseline_hu": F.col("sum_b") / n, "followup_hu": F.col("sum_f") / n,
-        "centroid_z_mm": F.col("sz") / n * spacing_mm, "centroid_y_mm": F.col("sy") / n * spacing_mm,
-        "centroid_x_mm": F.col("sx") / n * spacing_mm, "diameter_mm": V.equivalent_diameter(F.col("volume_mm3")),
+        F.min_by("z", F.struct((-F.col("abs_s")).alias("a"), F.col("z"))).alias("slice"), F.flatten(F.collect_list("parts")).alias("parts"))
+    voxels = F.col("voxels")
+    box = (F.col("z1") - F.col("z0")) * (F.col("y1") - F.col("y0")) * (F.col("x1") - F.col("x0"))
+    sides = [(F.col(f"{a}1") - F.col(f"{a}0")) * spacing_mm for a in "zyx"]
+    shaped = whole.withColumns({
+        "volume_mm3": voxels * mm3, "fill_fraction": voxels / box.cast("double"),
+        "elongation": F.greatest(*sides) / F.greatest(F.least(*sides), F.lit(1e-6))}).filter(
+        F.col("volume_mm3").between(V.sphere_volume(min_diameter_mm), V.sphere_volume(max_diameter_mm))
+        & (F.col("fill_fraction") >= MIN_FILL_FRACTION) & (F.col("elongation") <= MAX_ELONGATION))
+    out = shaped.withColumns({
+        "p90_baseline_hu": percentile_of_counts(F.col("parts"), 0.9),
+        "mean_delta_hu": F.col("sum_s") / voxels, "baseline_hu": F.col("sum_b") / voxels, "followup_hu": F.col("sum_f") / voxels,
+        "centroid_z_mm": F.col("sz") / voxels * spacing_mm, "centroid_y_mm": F.col("sy") / voxels * spacing_mm,
+        "centroid_x_mm": F.col("sx") / voxels * spacing_mm, "diameter_mm": V.equivalent_diameter(F.col("volume_mm3")),
         "side": V.side(F.col("x0"), F.col("x1"), F.col("width"))}).filter(
         (F.col("p90_baseline_hu") < baseline_air_hu) & (F.col("followup_hu") > followup_tissue_hu))
     return out.withColumn("kind", F.when(F.col("baseline_hu") < NEW_BELOW_HU, "new").otherwise("growth")).drop(
-        "n", "sum_s", "sum_b", "sum_f", "sy", "sx", "sz", "width")
+        "parts", "sum_s", "sum_b", "sum_f", "sy", "sx", "sz", "width")
+
+
+def regions_of(slices: DataFrame, spacing_mm: float, min_hu_delta: float = MIN_HU_DELTA, block: int = BLOCK,
+               max_diameter_mm: float = V.MAX_DIAMETER_MM, **limits: float) -> DataFrame:
+    """Ranked regions of packed slices (see ``_hot_runs``)."""
+    table = cut(_hot_runs(slices, min_hu_delta, V.sphere_volume(max_diameter_mm) / spacing_mm**3, block))
+    own = table.filter(~F.col("shared")).join(global_labels(table), ["volume_id", "comp"], "left").withColumn("component", F.coalesce("label", "comp"))
+    return rank_regions(region_features(own, spacing_mm, max_diameter_mm=max_diameter_mm, **limits))
 
 
 def find_regions(values: DataFrame, masks: DataFrame, spacing_mm: float, min_hu_delta: float = MIN_HU_DELTA,
@@ -249,14 +299,9 @@ def find_regions(values: DataFrame, masks: DataFrame, spacing_mm: float, min_hu_
 
     ``values`` are slices with delta, baseline and followup; ``masks`` carry interior.
     """
-    smooth = cut(gaussian(values, "delta", "smoothed", block))  # read by the labelling and by the features
-    bound = smooth.join(masks.select("volume_id", "z", "interior"), ["volume_id", "z"])
-    hot = bound.select("volume_id", "z", "depth", "rows", "cols", F.zip_with(
-        "smoothed", "interior", lambda s, m: F.when((s > min_hu_delta) & (m != 0), 1).otherwise(0)).alias("mask"))  # X10
-    runs = label_runs(hot, block)
-    both = values.select("volume_id", "z", "cols", "baseline", "followup").join(
-        smooth.select("volume_id", "z", "smoothed"), ["volume_id", "z"])
-    return rank_regions(region_features(runs, both, spacing_mm, **limits))
+    packed = bits.with_packed_pixels(core(values, "delta", "baseline", "followup"), "delta", "baseline", "followup")
+    inside = bits.with_packed_mask(core(masks, "interior"), "interior").select("volume_id", "z", "interior")
+    return regions_of(packed.join(inside, ["volume_id", "z"]), spacing_mm, min_hu_delta, block, **limits)
 
 
 def rank_regions(regions: DataFrame) -> DataFrame:
@@ -278,34 +323,45 @@ def _masks_of_both(baseline: DataFrame, later: DataFrame, threshold: int, block:
     core = ["z", "depth", "rows", "cols", "px"]
     tagged = [df.select(F.concat(F.lit(tag), F.col("volume_id").cast("string")).alias("volume_id"), *core)
               for tag, df in (("0", baseline), ("1", later))]
-    masks = cut(lung_mask(tagged[0].unionByName(tagged[1]), threshold, block))
+    masks = cut(lung_mask(tagged[0].unionByName(tagged[1]), threshold, block, packed=True))
     own = [masks.filter(F.col("volume_id").startswith(tag)).withColumn("volume_id", F.substr("volume_id", F.lit(2)).cast(id_type)) for tag in "01"]
     return own[0], own[1]
 
 
+class Comparison(NamedTuple):
+    """What ``compare`` finds: a row a pair, a row a region, the aligned pair's packed slices, and the shift of each pair."""
+
+    pairs: DataFrame
+    regions: DataFrame
+    slices: DataFrame
+    shift: DataFrame
+
+
 def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = None, target_mm: float = REGISTRATION_MM,
             shifts: list[tuple[int, int, int]] | None = None, threshold: int = V.LUNG_THRESHOLD_HU,
-            min_hu_delta: float = MIN_HU_DELTA, block: int = BLOCK, **limits: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Compare the rounds of every pair: (pairs, regions, delta slices).
+            min_hu_delta: float = MIN_HU_DELTA, block: int = BLOCK, later_spacing: DataFrame | None = None, reach: int = 0,
+            **limits: float) -> Comparison:
+    """Compare the rounds of every pair.
 
-    Alignment candidates are whole-voxel moves; leaving the pair alone competes
-    too. When nothing beats it, the pair has a note and no regions.
+    Alignment candidates are whole-voxel moves: those of ``shifts``, or those a coarse-to-fine search finds up to ``reach``
+    voxels away. Leaving the pair alone competes too; when nothing beats it, the pair has a note and no regions. With ``spacing``
+    (volume_id, spacing_z, spacing_y, spacing_x) both rounds are put on a cubic grid first; the later round may have its own.
     """
     if spacing is not None:
         # Both are read for the masks, the errors and the difference.
         baseline = cut(resample_isotropic(baseline, spacing, target_mm))
-        later = cut(resample_isotropic(later, spacing, target_mm))
+        later = cut(resample_isotropic(later, spacing if later_spacing is None else later_spacing, target_mm))
     masks, later_masks = _masks_of_both(baseline, later, threshold, block)
-    later = onto_grid(later, baseline)
-    _, errors = translation_search(baseline, later, masks, shifts or [])
-    best = cut(best_stage(errors))
-    delta = cut(difference(baseline, chosen_stage(later, best, shifts or [])))
-    interior = cut(erode(masks, "mask", 2, "interior", block))
-    shift = cut(inflation_shift(delta, interior))
+    early = cut(bits.with_packed_pixels(core(baseline, "px"), "px"))
+    late = cut(bits.with_packed_pixels(core(onto_grid(later, baseline), "px"), "px"))
+    errors = search_moves(early, late, masks, reach) if reach else move_errors(early, late, masks, shifts or [])
+    best = cut(best_move(errors))
+    interior = erode(masks, "mask", 2, "interior", block, packed=True)
+    slices = cut(aligned_pairs(early, late, best, interior))
+    shift = cut(pair_shift(slices))
     aligned = best.filter("selected_stage <> 'none'")
-    shifted = delta.join(aligned.select("volume_id"), "volume_id", "left_semi").join(shift, "volume_id").withColumn(
-        "delta", F.transform("delta", lambda v: v - F.col("shift_hu")))
-    regions = cut(find_regions(shifted, interior, target_mm, min_hu_delta, block, **limits))  # counted below and returned
+    hunted = slices.join(aligned.select("volume_id"), "volume_id", "left_semi").join(shift, "volume_id")
+    regions = cut(regions_of(hunted, target_mm, min_hu_delta, block, **limits))  # counted below and returned
     voxel = F.lit(target_mm ** 3)
     volumes = mask_volume_ml(masks, voxel, shape=True).select("volume_id", "shape", F.col("volume_ml").alias("from_lung_ml")).join(
         mask_volume_ml(later_masks, voxel).select("volume_id", F.col("volume_ml").alias("to_lung_ml")), "volume_id")
@@ -319,4 +375,4 @@ def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = N
         F.coalesce("n_regions", F.lit(0)).alias("n_regions"), F.lit(float(target_mm)).alias("spacing_mm"),
         F.transform("alignment_by_stage_hu", lambda e: F.struct(e["stage"].alias("stage"), half_even(e["error_hu"], 1).alias("error_hu"))).alias("alignment_by_stage_hu"),
         "shape", half_even(F.col("from_lung_ml"), 1).alias("from_lung_ml"), half_even(F.col("to_lung_ml"), 1).alias("to_lung_ml"))
-    return pairs, regions, delta
+    return Comparison(pairs, regions, slices, shift)

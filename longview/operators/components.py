@@ -3,24 +3,24 @@
 Slabs of consecutive slices are labelled in parallel; a slab also holds the
 next slab's first slice, so components meeting there can be matched by an
 equi-join on that slice's runs. Only slab components that meet another slab
-enter the global merge, a short label iteration over a table far smaller than
-the voxels. The label of a component is its first voxel in scan order.
+enter the global merge (``graph``), over a table far smaller than the voxels.
+The label of a component is its first voxel in scan order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from longview.functions.voxel import LUNG_THRESHOLD_HU
 from longview.session import cut
 
-from .blocks import BLOCK, close_and_fill, filled_runs, slab_runs, with_block
+from . import bits
+from .blocks import BLOCK, close_and_fill, core, slab_runs, with_block
+from .graph import components
 
 SECOND_LUNG_SHARE = 0.15  # fixed value
 
@@ -31,54 +31,41 @@ def _slab_table(masks: DataFrame, block: int) -> DataFrame:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("z", ignore_index=True)
         rows, cols = int(pdf["rows"][0]), int(pdf["cols"][0])
-        z, y, x0, x1, first = slab_runs(np.stack(pdf["mask"].to_list()).reshape(len(pdf), rows, cols) != 0)
+        z, y, x0, x1, first = slab_runs(bits.stack(pdf["mask"], rows, cols))
         zs = pdf["z"].to_numpy()
         voxel = (zs[z].astype(np.int64) * rows + y) * cols + x0
         return pd.DataFrame({"volume_id": pdf["volume_id"][0], "z": zs[z], "y": y, "x0": x0, "x1": x1,
                              "comp": voxel[first], "shared": zs[z] // block != pdf["block"][0]})
 
-    slim = masks.select("volume_id", F.col("z").cast("int").alias("z"), F.col("depth").cast("int").alias("depth"),
-                        F.col("rows").cast("int").alias("rows"), F.col("cols").cast("int").alias("cols"), "mask")
-    return with_block(slim, 0, 1, block).groupBy("volume_id", "block").applyInPandas(
+    packed = bits.with_packed_mask(core(masks, "mask"), "mask")
+    return with_block(packed, 0, 1, block).groupBy("volume_id", "block").applyInPandas(
         run, f"volume_id {id_type}, z int, y int, x0 int, x1 int, comp bigint, shared boolean")
 
 
-def merge_labels(edges: DataFrame) -> DataFrame:
-    """Smallest node reachable from every node of (volume_id, a, b) edges.
+def global_labels(table: DataFrame) -> DataFrame:
+    """volume_id, comp and label of the slab components that meet another slab's.
 
-    Labels only fall and are node numbers, so the rounds end; a round that lowers none is the last.
+    ``table`` has runs with the component of their slab; a run of the slice above a slab is ``shared`` there and meets itself.
     """
-    both = cut(edges.unionByName(edges.select("volume_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.select("volume_id", F.col("a").alias("comp")).distinct().withColumn("label", F.col("comp"))
-    if both.isEmpty():
-        return labels
-    while True:
-        near = both.join(labels.select("volume_id", F.col("comp").alias("b"), "label"), ["volume_id", "b"]).groupBy(
-            "volume_id", F.col("a").alias("comp")).agg(F.min("label").alias("_near"))
-        lower = labels.join(near, ["volume_id", "comp"], "left").select(
-            "volume_id", "comp", F.col("label").alias("_old"), F.least("label", "_near").alias("label"))
-        # Follow the label's own label, which doubles the distance covered per round.
-        hop = lower.select("volume_id", F.col("comp").alias("label"), F.col("label").alias("_hop"))
-        step = cut(lower.join(hop, ["volume_id", "label"], "left").select(
-            "volume_id", "comp", "_old", F.least("label", "_hop").alias("label")))
-        labels = step.select("volume_id", "comp", "label")
-        if step.filter("label < _old").isEmpty():
-            return labels
+    met = table.filter("shared").select("volume_id", "z", "y", "x0", F.col("comp").alias("b"))
+    edges = table.filter(~F.col("shared")).select("volume_id", "z", "y", "x0", F.col("comp").alias("a")).join(
+        met, ["volume_id", "z", "y", "x0"]).select("volume_id", "a", "b")
+    return components(edges, ["volume_id"]).select("volume_id", F.col("node").alias("comp"), F.col("component").alias("label"))
+
+
+def labelled(table: DataFrame) -> DataFrame:
+    """The runs of all slabs, each once, with the component of the whole volume instead of the slab's."""
+    own = table.filter(~F.col("shared")).drop("shared")
+    return own.join(global_labels(table), ["volume_id", "comp"], "left").withColumn(
+        "component", F.coalesce("label", "comp")).drop("comp", "label")
 
 
 def label_runs(masks: DataFrame, block: int = BLOCK) -> DataFrame:
     """Runs of set voxels with their component: volume_id, z, y, x0, x1, component.
 
-    ``masks`` are slices with a 0/1 pixel array ``mask``; touching faces connect.
+    ``masks`` are slices with a 0/1 pixel array ``mask``, or a packed one; touching faces connect.
     """
-    table = cut(_slab_table(masks, block))
-    own = table.filter(~F.col("shared")).drop("shared")
-    met = table.filter("shared").select("volume_id", "z", "y", "x0", F.col("comp").alias("b"))
-    edges = own.select("volume_id", "z", "y", "x0", F.col("comp").alias("a")).join(
-        met, ["volume_id", "z", "y", "x0"]).filter("a <> b").select("volume_id", "a", "b").distinct()
-    labels = merge_labels(edges)
-    return own.join(labels, ["volume_id", "comp"], "left").select(
-        "volume_id", "z", "y", "x0", "x1", F.coalesce("label", "comp").alias("component"))
+    return labelled(cut(_slab_table(masks, block)))
 
 
 def component_sizes(runs: DataFrame) -> DataFrame:
@@ -89,33 +76,6 @@ def component_sizes(runs: DataFrame) -> DataFrame:
         (F.max("z") + 1).alias("z1"), (F.max("y") + 1).alias("y1"), (F.max("x1") + 1).alias("x1"))
 
 
-def runs_per_slice(runs: DataFrame, *extra: str) -> DataFrame:
-    """Runs gathered by slice; a slice bounds them."""
-    return runs.groupBy("volume_id", "z").agg(F.collect_list(F.struct("y", "x0", "x1", *extra)).alias("runs"))
-
-
-def paint(runs: Column, rows: Column, cols: Column) -> Column:
-    """Runs of one slice as a 0/1 pixel array; null runs give an empty one."""
-
-    @F.pandas_udf("array<int>")
-    def painted(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for y, x0, x1, h, w in parts:
-            made = []
-            for ys, starts, ends, height, width in zip(y, x0, x1, h, w):
-                none = ys is None or not len(ys)
-                made.append(np.zeros(height * width, np.int32) if none else filled_runs(np.zeros(len(ys), np.int64), ys, starts, ends, (1, height, width)).ravel())
-            yield pd.Series(made)
-
-    return painted(runs["y"], runs["x0"], runs["x1"], rows, cols)
-
-
-def paint_slices(slices: DataFrame, runs: DataFrame, out: str = "mask") -> DataFrame:
-    """A mask slice for every given slice, set where its runs are."""
-    frame = slices.select("volume_id", "z", "depth", "rows", "cols")
-    joined = frame.join(runs_per_slice(runs), ["volume_id", "z"], "left")
-    return joined.withColumn(out, paint(F.col("runs"), F.col("rows"), F.col("cols"))).drop("runs")
-
-
 def lung_components(runs: DataFrame, shapes: DataFrame) -> DataFrame:
     """The at most two air components per volume taken as lungs.
 
@@ -132,11 +92,13 @@ def lung_components(runs: DataFrame, shapes: DataFrame) -> DataFrame:
         "volume_id", "component", "voxels")
 
 
-def lung_mask(slices: DataFrame, threshold: int = LUNG_THRESHOLD_HU, block: int = BLOCK) -> DataFrame:
-    """Lung mask slices from HU slices."""
-    frame = slices.select("volume_id", "z", "depth", "rows", "cols",
-                          F.transform("px", lambda v: (v < threshold).cast("int")).alias("mask"))
-    runs = label_runs(frame, block)
+def lung_mask(slices: DataFrame, threshold: int = LUNG_THRESHOLD_HU, block: int = BLOCK, packed: bool = False) -> DataFrame:
+    """Lung mask slices from HU slices (X4), as 0/1 arrays or packed.
+
+    Pixels stay where they are: one bit each is sent to be labelled, and runs to be closed and filled.
+    """
+    air = slices.select("volume_id", "z", "depth", "rows", "cols", bits.packed_below(F.col("px"), F.col("rows"), F.col("cols"), threshold).alias("mask"))
+    runs = label_runs(air, block)
     shapes = slices.groupBy("volume_id").agg(F.max("rows").alias("rows"), F.max("cols").alias("cols"))
     kept = runs.join(lung_components(runs, shapes), ["volume_id", "component"], "left_semi")
-    return close_and_fill(paint_slices(slices, kept), "mask", "mask", block)
+    return close_and_fill(slices, kept, "mask", block, packed)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import bits
 from .slices import profile, quantise_volumes, resample_nearest, resample_profile, sum_px, top_slices, zoom_linear
 
 # The change scale and profile floors.
@@ -42,6 +47,35 @@ def change_overlay(delta: DataFrame, masks: DataFrame | None = None, mask: str =
     return quantise_volumes(up, "px", *hu_range), prof, top_slices(prof)
 
 
+def pair_change(pairs: DataFrame, shift: DataFrame | None = None) -> DataFrame:
+    """Densification of aligned pairs inside the mask their regions are found in: slices with ``px``.
+
+    ``pairs`` are packed slices with baseline, followup and interior. The breath-depth ``shift`` of each pair is taken off if given;
+    the reference picture leaves it in.
+    """
+
+    @F.pandas_udf("array<double>")
+    def risen(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for series in parts:
+            made = []
+            for a, b, m, h, w, off in zip(*series):
+                up = np.maximum(bits.plane(b, h, w).astype(np.float64) - bits.plane(a, h, w) - off, 0.0)
+                made.append(np.where(bits.plane(m, h, w), up, 0.0).ravel())
+            yield pd.Series(made, dtype=object)
+
+    off = F.lit(0.0)
+    if shift is not None:
+        pairs, off = pairs.join(shift.select("volume_id", F.col("shift_hu").alias("_off")), "volume_id"), F.col("_off")
+    return pairs.select("volume_id", "z", "depth", "rows", "cols", risen("baseline", "followup", "interior", "rows", "cols", off).alias("px"))
+
+
+def pair_overlay(pairs: DataFrame, shift: DataFrame | None = None, hu_range: tuple[float, float] = CHANGE_RANGE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``change_overlay`` of aligned pairs."""
+    up = pair_change(pairs, shift)
+    prof = profile(up, "px", CHANGE_FLOOR)
+    return quantise_volumes(up, "px", *hu_range), prof, top_slices(prof)
+
+
 def overlay_on_grid(levels: DataFrame, prof: DataFrame, shapes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """An overlay on another grid: nearest bytes, linear profile.
 
@@ -88,3 +122,19 @@ def overlay_targets(overlays: DataFrame, entries: DataFrame) -> DataFrame:
     """The viewer entry each overlay is fitted to: same patient and round."""
     keys = ["patient_id", "round"]
     return overlays.join(entries.select(*keys, "out_depth", "out_rows", "out_cols"), keys, "left")
+
+
+def fit_overlays(levels: DataFrame, prof: DataFrame, top: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Overlays on the grids of their viewer entries (J15, X2): (byte slices, profile, top slices).
+
+    ``targets`` has volume_id, out_depth, out_rows, out_cols. An overlay without an entry, or on the entry's grid already, stays.
+    """
+    own = levels.groupBy("volume_id").agg(*[F.max(c).alias(c) for c in ("depth", "rows", "cols")])
+    out = ["out_depth", "out_rows", "out_cols"]
+    other = ~matches_shape([F.col("depth"), F.col("rows"), F.col("cols")], [F.col(c) for c in out])
+    moving = own.join(targets.select("volume_id", *out), "volume_id").filter(F.col("out_depth").isNotNull() & other).select("volume_id", *out)
+    stay = lambda df: df.join(moving.select("volume_id"), "volume_id", "left_anti")
+    slices, shares, best = overlay_on_grid(levels.select("volume_id", "z", "depth", "rows", "cols", "level"), prof, moving)
+    kept = stay(levels).select("volume_id", "z", "depth", "rows", "cols", "level")
+    return (kept.unionByName(slices.withColumnRenamed("px", "level")), stay(prof).select("volume_id", "z", "total", "share").unionByName(shares),
+            stay(top).unionByName(best))

@@ -1,22 +1,63 @@
 """Ordered scans over groups of any size.
 
 A window over a group runs in one task, which a hot group overwhelms. Here the
-rows are laid out by range over (keys, order), so a group may span many
-partitions. Each partition is scanned by itself and gets what the partitions
-before it carry in for its first group: at most one carried row per partition.
+rows are laid out by range over (keys, order) and sorted, so a group may span
+many partitions. Each partition is then scanned where it lies, batch by batch,
+with its state carried along; what a group brings in from earlier partitions is
+worked out from one summary row per partition. Nothing is shuffled again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import pickle
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from longview.session import cut
 
 PART = "_part"
+SUMMARY = "part int, state binary"
+
+
+def _starts(keys: list[pa.Array], before: tuple | None, n: int) -> np.ndarray:
+    """Which rows start a group; ``before`` is the key of the row before the first."""
+    out = np.zeros(n, bool)
+    for key in keys:
+        if n > 1:
+            a, b = key.slice(0, n - 1), key.slice(1)
+            differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            out[1:] |= differ | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+    out[0] = before is None or before != _key(keys, 0)
+    return out
+
+
+def _key(keys: list[pa.Array], i: int) -> tuple:
+    return tuple(k[i].as_py() for k in keys)
+
+
+def _running(values: np.ndarray, first: np.ndarray, state):
+    """Sums along the rows that start anew where ``first`` is set; ``state`` goes into the first group if it goes on."""
+    edges = np.flatnonzero(first)
+    if values.dtype.kind == "f":  # one group at a time: a difference of long sums would lose digits
+        out = np.empty(len(values))
+        for a, b in zip(np.r_[0, edges], np.r_[edges, len(values)]):
+            if a < b:
+                out[a:b] = np.cumsum(np.r_[0.0 if first[a] else state, values[a:b]])[1:]
+        return out
+    total = np.cumsum(values)
+    base = np.zeros(len(values), values.dtype)
+    if len(edges):
+        base[edges] = total[edges] - values[edges]
+        at = np.maximum.accumulate(np.where(first, np.arange(len(values)), -1))
+        total = np.where(at >= 0, total - base[np.maximum(at, 0)], total + state)
+        return total
+    return total + state
 
 
 class OrderedScan:
@@ -25,53 +66,111 @@ class OrderedScan:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys = list(keys)
         self.order = list(order)
-        laid = df.repartitionByRange(*self.keys, *self.order)
+        laid = df.repartitionByRange(*self.keys, *self.order).sortWithinPartitions(*self.keys, *self.order)
         # The partition number is part of the result, so it must not change on a retry.
         self.df = cut(laid.withColumn(PART, F.spark_partition_id()))
 
     def running(self, **sums: Column) -> OrderedScan:
-        """Add inclusive running sums; exclusive ones are the sum less the row's own value."""
-        local = W.partitionBy(PART, *self.keys).orderBy(*self.order).rowsBetween(W.unboundedPreceding, W.currentRow)
-        out = self.df.select("*", *[F.sum(c).over(local).alias(n) for n, c in sums.items()])
-        per_part = self.df.groupBy(PART, *self.keys).agg(*[F.sum(c).alias(f"_c_{n}") for n, c in sums.items()])
-        before = W.partitionBy(*self.keys).orderBy(PART).rowsBetween(W.unboundedPreceding, -1)
-        carry = per_part.select(PART, *self.keys, F.min(PART).over(W.partitionBy(*self.keys)).alias("_first"),
-                                *[F.sum(f"_c_{n}").over(before).alias(f"_c_{n}") for n in sums])
-        joined = self._carry_in(out, carry)
-        fixed = {n: (F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_c_{n}"), F.lit(0))) for n in sums}
-        return self._with(joined.withColumns(fixed).drop(*[f"_c_{n}" for n in sums]))
+        """Add inclusive running sums, nulls counting as zero; exclusive ones are the sum less the row's own value."""
+        own = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
+        types = self.df.select(*[F.sum(c).alias(n) for n, c in own.items()]).schema
+        own = {f.name: own[f.name].cast(f.dataType) for f in types}
+
+        def last(values, first, state):
+            # The sums of the last group, and whether the partition has begun no other.
+            ends = [_running(v.to_numpy(), first, s) for v, s in zip(values, state or [0] * len(values))]
+            return [e[-1].item() for e in ends]
+
+        def carry(parts):
+            state, out = None, {}
+            for part, head, tail, single, ends in parts:
+                goes_on = state is not None and state[0] == head
+                if goes_on:
+                    out[part] = state
+                state = (tail, [a + b for a, b in zip(ends, state[1])] if goes_on and single else ends)
+            return out
+
+        def fill(values, first, state):
+            sums = [_running(v.to_numpy(), first, s) for v, s in zip(values, state or [0] * len(values))]
+            return [pa.array(s) for s in sums], [s[-1].item() for s in sums]
+
+        return self._scan(own, [T.StructField(f.name, f.dataType) for f in types], last, carry, fill)
 
     def row_number(self, name: str) -> OrderedScan:
         return self.running(**{name: F.lit(1).cast("bigint")})
 
     def lag(self, **values: Column) -> OrderedScan:
         """Add the previous row's values within the group; null on a group's first row."""
-        local = W.partitionBy(PART, *self.keys).orderBy(*self.order)
-        out = self.df.select("*", F.row_number().over(local).alias("_n"),
-                             *[F.lag(c).over(local).alias(n) for n, c in values.items()])
-        # The last row of each (partition, group), found without a sort.
-        last = F.max_by(F.struct(*[c.alias(f"_c_{n}") for n, c in values.items()]),
-                        F.struct(*self.order))
-        per_part = self.df.groupBy(PART, *self.keys).agg(last.alias("_l"))
-        w = W.partitionBy(*self.keys).orderBy(PART)
-        carry = per_part.select(PART, *self.keys, F.min(PART).over(W.partitionBy(*self.keys)).alias("_first"),
-                                F.lag("_l").over(w).alias("_l")).select(PART, *self.keys, "_first", "_l.*")
-        joined = self._carry_in(out, carry)
-        fixed = {n: F.when(F.col("_n") == 1, F.col(f"_c_{n}")).otherwise(F.col(n)) for n in values}
-        return self._with(joined.withColumns(fixed).drop("_n", *[f"_c_{n}" for n in values]))
+        fields = [T.StructField(f.name, f.dataType) for f in self.df.select(*[c.alias(n) for n, c in values.items()]).schema]
+
+        def last(values, first, state):
+            return [v[len(first) - 1].as_py() for v in values]
+
+        def carry(parts):
+            state, out = None, {}
+            for part, head, tail, _, ends in parts:
+                if state is not None and state[0] == head:
+                    out[part] = state
+                state = (tail, ends)
+            return out
+
+        def fill(values, first, state):
+            n, out = len(first), []
+            at = pa.array(np.arange(-1, n - 1), mask=first | (np.arange(n) == 0))
+            for i, v in enumerate(values):
+                column = v.take(at)
+                if not first[0]:
+                    column = pa.concat_arrays([pa.array([state[i]], v.type), column.slice(1)])
+                out.append(column)
+            return out, last(values, first, state)
+
+        return self._scan(dict(values), fields, last, carry, fill)
 
     def result(self) -> DataFrame:
         return self.df.drop(PART)
 
-    def _carry_in(self, out: DataFrame, carry: DataFrame) -> DataFrame:
-        # Only a partition's first group can continue an earlier one, so this
-        # side has at most one row per partition whatever the data.
-        spill = carry.filter(F.col(PART) > F.col("_first")).drop("_first")
-        renamed = spill.select(*[F.col(c).alias(f"_j_{c}") if c in [PART, *self.keys] else F.col(c) for c in spill.columns])
-        cond = F.lit(True)
-        for c in [PART, *self.keys]:
-            cond = cond & out[c].eqNullSafe(F.col(f"_j_{c}"))
-        return out.join(F.broadcast(renamed), cond, "left").drop(*[f"_j_{c}" for c in [PART, *self.keys]])
+    def _scan(self, values: dict[str, Column], fields: list[T.StructField], last: Callable, carry: Callable, fill: Callable) -> OrderedScan:
+        """Add a column for each of ``values``: one pass for the summaries, one for the rows.
+
+        The summaries hold a partition's first and last key and the state at its end, so the driver sees one row per partition.
+        """
+        n_keys, names = len(self.keys), list(values)
+
+        def grouped(batches: Iterator[pa.RecordBatch], state: dict):
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cols = batch.columns
+                part, keys, own = cols[0][0].as_py(), cols[1 : 1 + n_keys], cols[1 + n_keys : 1 + n_keys + len(names)]
+                first = _starts(keys, state.get(part, (None,))[0], batch.num_rows)
+                yield batch, part, keys, own, first
+
+        def summarise(batches):
+            state, heads, single = {}, {}, {}
+            for batch, part, keys, own, first in grouped(batches, state):
+                if part not in heads:
+                    heads[part], single[part] = _key(keys, 0), True
+                    first[0] = False  # alone, the partition starts from nothing
+                single[part] &= not first.any()
+                state[part] = (_key(keys, batch.num_rows - 1), last(own, first, state[part][1] if part in state else None))
+            for part, (tail, ends) in state.items():
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps((heads[part], tail, single[part], ends))])], names=["part", "state"])
+
+        slim = self.df.select(PART, *self.keys, *[c.alias(f"_v_{n}") for n, c in values.items()])
+        parts = sorted((r["part"], *pickle.loads(r["state"])) for r in slim.mapInArrow(summarise, SUMMARY).collect())
+        carried = carry(parts)
+        rest = [c for c in self.df.columns if c not in names]
+        wide = self.df.select(PART, *[F.col(k).alias(f"_k_{k}") for k in self.keys], *[c.alias(f"_v_{n}") for n, c in values.items()], *rest)
+        schema = T.StructType([*self.df.select(*rest).schema.fields, *fields])
+
+        def run(batches):
+            state = dict(carried)
+            for batch, part, _, own, first in grouped(batches, state):
+                made, ends = fill(own, first, state[part][1] if part in state else None)
+                state[part] = (_key(batch.columns[1 : 1 + n_keys], batch.num_rows - 1), ends)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1 + n_keys + len(names) :], *made], names=schema.names)
+
+        return self._with(wide.mapInArrow(run, schema))
 
     def _with(self, df: DataFrame) -> OrderedScan:
         new = object.__new__(type(self))

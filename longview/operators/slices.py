@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from longview.functions import voxel as V
 
+from . import bits
 from .scan import OrderedScan, exact_median
 
 # Fixed values.
@@ -72,7 +73,8 @@ def volume_headers(slices: DataFrame) -> DataFrame:
 def mask_volume_ml(masks: DataFrame, voxel_mm3: Column, shape: bool = False) -> DataFrame:
     """Mask voxels and their volume in millilitres (A27); the volume's shape too if asked."""
     size = [F.array(*[F.max(c) for c in ("depth", "rows", "cols")]).alias("shape")] if shape else []
-    return masks.groupBy("volume_id").agg(F.sum(sum_px(F.col("mask"))).cast("bigint").alias("voxels"), *size).withColumn(
+    own = bits.count_set(F.col("mask")) if bits.is_packed(masks, "mask") else sum_px(F.col("mask"))
+    return masks.withColumn("_set", own).groupBy("volume_id").agg(F.sum("_set").cast("bigint").alias("voxels"), *size).withColumn(
         "volume_ml", F.col("voxels") * voxel_mm3 / 1000.0)
 
 

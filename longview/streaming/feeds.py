@@ -3,93 +3,146 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
+import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from longview.operators.jobs import FINGERPRINT, JOB_TTL_SECONDS, TERMINAL
 
 CHANGE_SCHEMA = "job_id string, ts timestamp, seq bigint, status string, stage string, message string, progress double"
 CHANGE_STATE = "status string, stage string, message string, progress double, ended boolean"
 EXPIRY_SCHEMA = "job_id string, finished_at timestamp, event string"
+#: Keyed state with timers needs this store.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Folders of the processed series' table, by hash of their id.
+BUCKETS = 256
+
+
+def start_with_state(spark: SparkSession, start: Callable[[], StreamingQuery]) -> StreamingQuery:
+    """Start a query with the store that keyed state needs; the session keeps its own setting for all others."""
+    key, store = STORE
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, store)
+    try:
+        return start()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+class _Changes(StatefulProcessor):
+    """Keeps one fingerprint a job; a timer forgets jobs that have been silent for the time to live."""
+
+    def __init__(self, ttl_seconds: int):
+        self.ttl_ms = ttl_seconds * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", CHANGE_STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).sort_values(["ts", "seq"], ignore_index=True)
+        last = self.last.get() if self.last.exists() else None
+        if last is None or not last[4]:
+            marks = new[FINGERPRINT].astype(object).where(new[FINGERPRINT].notna(), None)
+            seen = pd.concat([pd.DataFrame([last[:4] if last else (object(),) * 4], columns=FINGERPRINT, dtype=object), marks], ignore_index=True)
+            before, now = seen.iloc[:-1].to_numpy(object), seen.iloc[1:].to_numpy(object)
+            changed = np.array([[a is None if b is None else a is not None and a == b for a, b in zip(x, y)] for x, y in zip(before.T, now.T)], bool).all(axis=0)
+            ends = new["status"].isin(TERMINAL).to_numpy()
+            over = np.cumsum(ends) - ends > 0
+            final = int(np.argmax(ends)) if ends.any() else len(new) - 1
+            self.last.update((*marks.iloc[final], bool(ends.any())))
+            yield new[~changed & ~over]
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(new["ts"].max().timestamp() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.last.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_changes(events: DataFrame, watermark: str = "10 minutes", ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
     """Events whose fingerprint changed, per job and across micro-batches (ST1).
 
-    State is one fingerprint per job. Rows are compared in (ts, seq) order
-    within a micro-batch; a job silent beyond the time to live leaves the state.
-    Bound a micro-batch with the source's maxFilesPerTrigger.
+    State is one fingerprint per job. A job's rows are put in (ts, seq) order within a micro-batch, which the source's
+    maxFilesPerTrigger bounds, and compared as columns; a job silent beyond the time to live leaves the state. Start the query
+    through ``start_with_state``.
     """
+    typed = events.select("job_id", "ts", "seq", *FINGERPRINT).withWatermark("ts", watermark)
+    return typed.groupBy("job_id").transformWithStateInPandas(_Changes(ttl_seconds), CHANGE_SCHEMA, "Append", "EventTime")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get if state.exists else None
-        rows = pd.concat(list(parts)).sort_values(["ts", "seq"])
-        ended, seen = (bool(last[4]), tuple(last[:4])) if last else (False, None)
-        keep = []
-        for row in rows.itertuples(index=False):
-            mark = tuple(None if pd.isna(v) else v for v in (getattr(row, c) for c in FINGERPRINT))
-            keep.append(not ended and mark != seen)
-            if not ended:
-                seen, ended = mark, row.status in TERMINAL
-        state.update((*seen, ended))
-        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + ttl_seconds * 1000)
-        yield rows[keep]
 
-    typed = events.select("job_id", "ts", "seq", *FINGERPRINT).withWatermark("ts", watermark)
-    return typed.groupBy("job_id").applyInPandasWithState(step, CHANGE_SCHEMA, CHANGE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+class _Expiry(StatefulProcessor):
+    """Keeps when a job finished, until its time to live has passed."""
 
+    def __init__(self, ttl_seconds: int):
+        self.ttl_ms = ttl_seconds * 1000
 
-def stream_expiry(events: DataFrame, watermark: str = "10 minutes", ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
-    """One row when a job finishes and one when its time to live has passed (ST2)."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.finished = handle.getValueState("finished", "finished_at timestamp")
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            (at,) = state.get
-            state.remove()
-            yield pd.DataFrame({"job_id": [key[0]], "finished_at": [pd.Timestamp(at)], "event": ["forgotten"]})
-            return
-        ends = [p.loc[p["status"].isin(TERMINAL), "ts"].min() for p in parts]
-        at = pd.Series(ends, dtype="datetime64[ns]").min()
-        if state.exists or pd.isna(at):
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        at = pd.Series([p.loc[p["status"].isin(TERMINAL), "ts"].min() for p in rows], dtype="datetime64[ns]").min()
+        if self.finished.exists() or pd.isna(at):
             return
-        state.update((at.to_pydatetime(),))
-        # Event-time timeouts fire only past the watermark, which trails the newest event.
-        state.setTimeoutTimestamp(max(int(at.timestamp() * 1000) + ttl_seconds * 1000, state.getCurrentWatermarkMs() + 1))
+        self.finished.update((at.to_pydatetime(),))
+        # Timers fire only past the watermark, which trails the newest event.
+        self.handle.registerTimer(max(int(at.timestamp() * 1000) + self.ttl_ms, timerValues.getCurrentWatermarkInMs() + 1))
         yield pd.DataFrame({"job_id": [key[0]], "finished_at": [at], "event": ["finished"]})
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        (at,) = self.finished.get()
+        self.finished.clear()
+        yield pd.DataFrame({"job_id": [key[0]], "finished_at": [pd.Timestamp(at)], "event": ["forgotten"]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_expiry(events: DataFrame, watermark: str = "10 minutes", ttl_seconds: int = JOB_TTL_SECONDS) -> DataFrame:
+    """One row when a job finishes and one when its time to live has passed (ST2); start it through ``start_with_state``."""
     typed = events.select("job_id", "ts", "status").withWatermark("ts", watermark)
-    return typed.groupBy("job_id").applyInPandasWithState(step, EXPIRY_SCHEMA, "finished_at timestamp", "append", GroupStateTimeout.EventTimeTimeout)
+    return typed.groupBy("job_id").transformWithStateInPandas(_Expiry(ttl_seconds), EXPIRY_SCHEMA, "Append", "EventTime")
+
+
+def read_done(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of processed series, None where nothing was written yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether an output table was written at a path; a missing folder is no error."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(where) and any(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(where))
+def bucket_of(series_uid: str = "series_uid") -> F.Column:
+    return F.pmod(F.xxhash64(series_uid), F.lit(BUCKETS)).cast("int")
 
 
 def process_new_series(arrivals: DataFrame, done_path: str, work: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
     """Run ``work`` once per new series, skipping those already written (ST3).
 
-    A batch that is replayed after a failure drops what an earlier try wrote,
-    by anti-join on the output table.
+    The output lies in folders by hash of the id (column ``bucket``), and a batch reads only the folders of its own ids, however
+    long the table has grown. A batch that is replayed after a failure drops what an earlier try wrote, by anti-join.
     """
 
     def handle(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["series_uid"])
-        if has_rows(spark, done_path):
-            done = spark.read.parquet(done_path).select("series_uid")
-            fresh = fresh.join(done, "series_uid", "left_anti")
-        work(fresh).write.mode("append").parquet(done_path)
+        fresh = batch.dropDuplicates(["series_uid"]).withColumn("bucket", bucket_of())
+        done = read_done(batch.sparkSession, done_path)
+        if done is not None:
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+            fresh = fresh.join(done.where(F.col("bucket").isin(touched)).select("series_uid", "bucket"), ["series_uid", "bucket"], "left_anti")
+        made = work(fresh.drop("bucket")).withColumn("bucket", bucket_of())
+        made.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(done_path)
 
     return (arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

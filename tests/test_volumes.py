@@ -187,10 +187,10 @@ def test_translation_is_found_and_failure_reports_nothing(spark):
     moved = np.full(hu.shape, -1024)
     moved[:-1] = noisy[1:]
     base, later = table(spark, {"a": noisy}, "px", "int"), table(spark, {"a": moved}, "px", "int")
-    pairs, found, _ = G.compare(base, later, shifts=[(1, 0, 0), (0, 1, 0)], block=6)
+    pairs, found, *_ = G.compare(base, later, shifts=[(1, 0, 0), (0, 1, 0)], block=6)
     row = pairs.first()
     assert row["selected_stage"] == "shift(1,0,0)" and not row["registration_failed"] and row["alignment_after_hu"] < row["alignment_before_hu"]
-    pairs, found, _ = G.compare(base, base, shifts=[(1, 0, 0)], block=6)
+    pairs, found, *_ = G.compare(base, base, shifts=[(1, 0, 0)], block=6)
     row = pairs.first()
     assert row["registration_failed"] and row["note"] and row["n_regions"] == 0 and found.count() == 0
 
