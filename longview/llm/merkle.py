@@ -91,7 +91,8 @@ def _swap(blocks: DataFrame) -> DataFrame:
 
 
 def upper(blocks: DataFrame) -> DataFrame:
-    """key, block, subroot, root and ``steps`` from the block's root upwards, of every block (key, block, leaves, node).
+    """key, block, blocks (of the source), subroot, root and ``steps`` from the block's root upwards, of every block (key, block, alone,
+    whole: its root if it is its source's only block, and if it is not).
 
     Rounds grow with the logarithm of the blocks of the largest source, then of the number of sources; all sources take a round
     together, and each round's table (one row a block) is written, so a lost executor costs one round.
@@ -100,7 +101,8 @@ def upper(blocks: DataFrame) -> DataFrame:
     sources = cut(OrderedScan(sized, [], ["key"]).running(_to=F.col("blocks"), _rank=F.lit(1).cast("long")).result().select(
         "key", "blocks", (F.col("_to") - F.col("blocks")).alias("start"), (F.col("_rank") - 1).alias("rank")))
     n, most = sources.agg(F.count(F.lit(1)), F.max("blocks")).first()
-    rows = cut(blocks.select("key", "block", "node", F.array().cast(f"array<{STEP}>").alias("steps")).join(sources, "key"))
+    node = F.when(F.col("blocks") == 1, F.col("alone")).otherwise(F.col("whole"))
+    rows = cut(blocks.join(sources, "key").select("key", "block", "blocks", "start", "rank", node.alias("node"), F.array().cast(f"array<{STEP}>").alias("steps")))
     width = 1
     while width < (most or 0):
         one, open_ = F.lit(width).cast("long"), F.col("blocks") > width
@@ -121,7 +123,7 @@ def upper(blocks: DataFrame) -> DataFrame:
             *state, "group", (F.col("part") % FANOUT).alias("digit"), (F.col("start") + F.col("block") - F.col("first")).alias("lane"), "size", "lanes")
         rows = cut(_swap(dealt))
         width *= FANOUT
-    return rows.select("key", "block", "subroot", F.col("node").alias("root"), "steps")
+    return rows.select("key", "block", "blocks", "subroot", F.col("node").alias("root"), "steps")
 
 
 def manifest(docs: DataFrame, tampered: Column | None = None, height: int = HEIGHT) -> DataFrame:
@@ -133,22 +135,18 @@ def manifest(docs: DataFrame, tampered: Column | None = None, height: int = HEIG
     of nothing. Extra columns are not part of a leaf and are left out. However many rows a source has, a task holds one block.
     """
     rows = cut(placed(leaves(docs, tampered), height))
-    total = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    one = F.col("n") <= FANOUT**height
-    dealt = rows.select("key", "block", "place", "leaf").join(total.select("key", one.alias("one")), "key")
 
     def root_of(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = pdf.sort_values("place")["leaf"].tolist()
-        top = tree(nodes, None if pdf["one"].iloc[0] else height)[-1][0]
-        return pd.DataFrame({"key": pdf["key"].iloc[:1], "block": pdf["block"].iloc[:1], "node": [top]})
+        return pd.DataFrame({"key": pdf["key"].iloc[:1], "block": pdf["block"].iloc[:1], "alone": [tree(nodes, None)[-1][0]], "whole": [tree(nodes, height)[-1][0]]})
 
-    tops = cut(dealt.groupBy("key", "block").applyInPandas(root_of, "key string, block long, node string"))
-    above = upper(tops).join(total.select("key", one.alias("one")), "key")
+    # Blocks are dealt by themselves: a join by source before would leave a whole source in one task.
+    tops = cut(rows.select("key", "block", "place", "leaf").groupBy("key", "block").applyInPandas(root_of, "key string, block long, alone string, whole string"))
 
     def prove(own: pd.DataFrame, top: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("place", ignore_index=True)
         t = top.iloc[0]
-        levels = tree(own["leaf"].tolist(), None if t["one"] else height)
+        levels = tree(own["leaf"].tolist(), None if t["blocks"] == 1 else height)
         high = [(s["before"], s["after"]) for s in t["steps"]]
         ends: dict[str, str] = {}
         out = []
@@ -167,7 +165,7 @@ def manifest(docs: DataFrame, tampered: Column | None = None, height: int = HEIG
         return made.astype({"doc_id": "Int64"})
 
     ids = rows.select("key", "block", "place", "doc_id", "leaf", "changed")
-    return ids.groupBy("key", "block").cogroup(above.groupBy("key", "block")).applyInPandas(prove, PROOFS)
+    return ids.groupBy("key", "block").cogroup(upper(tops).groupBy("key", "block")).applyInPandas(prove, PROOFS)
 
 
 def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
