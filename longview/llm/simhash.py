@@ -21,8 +21,9 @@ from longview.session import cut
 CHUNK = 2048
 #: Keys of blocks above CHUNK are sent to every task up to this many, joined beyond.
 MAX_BROADCAST_KEYS = 100_000
-#: Near copies: Jaccard similarity of sets of five-word shingles; differing bits of 256 in each round of ``jaccard_groups``.
-LEAST, TIGHT, WIDE_RADIUS, LOOSE = 0.8, 16, 40, 96
+#: Near copies: Jaccard similarity of sets of five-word shingles. Of 256 bits, at most TIGHT differ where that needs no count, and at
+#: most LOOSE where it is worth one: at similarity 0.8, 39 differ on average, with a deviation of 6.
+LEAST, TIGHT, LOOSE = 0.8, 16, 64
 #: Prefix shingles of more texts than this come last in the order of shingles.
 HEAVY = 16
 WIDE = ["v0", "v1", "v2", "v3"]
@@ -247,53 +248,92 @@ def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _meeting(radius: int, least: float, every: bool) -> Callable:
-    """Walks a partition sorted by (key, slot) and yields pairs of nodes that no edge holds together yet.
+class _Ties:
+    """Which nodes a task has tied together so far; an edge inside a tie is told once only."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, node: int) -> int:
+        up = self.up
+        root = node
+        while (above := up.get(root, root)) != root:
+            root = above
+        while (above := up.get(node, node)) != root:
+            up[node], node = root, above
+        return root
+
+    def new(self, edges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        out = []
+        for a, b in edges:
+            x, y = self.top(a), self.top(b)
+            if x != y:
+                self.up[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return out
+
 
-    Pairs have sizes that allow the similarity ``least`` and at most ``radius`` differing bits. With ``every`` all of them; else
-    a forest that would tie together what is close.
+def _meeting(tight: int, radius: int, least: float) -> Callable:
+    """Walks a partition sorted by (key, slot) and yields edges (near) and pairs to be counted (not near) between nodes.
+
+    Nodes whose sizes allow the similarity are near at ``tight`` differing bits or fewer; a task gives a forest of these, over all
+    its slots together, so its edges are fewer than its nodes. What is near in a slot is a group there; a node is paired with
+    the closest member, at most ``radius`` bits away, of each other group, not with all of them.
     """
 
-    def pairs(rows: np.ndarray) -> np.ndarray:
-        node, group, n, bits = rows[:, 2], rows[:, 3], rows[:, 4], np.ascontiguousarray(rows[:, 5:]).view(np.uint64)
+    def pairs(rows: np.ndarray, ties: _Ties) -> tuple[list, list]:
+        node, n, bits = rows[:, 2], rows[:, 3], np.ascontiguousarray(rows[:, 4:]).view(np.uint64)
 
-        def near(i, j):
-            ok = (group[i] != group[j]) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
-            return ok & (np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= radius)
+        def apart(i, j):
+            d = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int64)
+            return np.where(np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9, d, 1 << 10)
 
         cut_at = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
         starts, ends = np.r_[0, cut_at], np.r_[cut_at, len(rows)]
         two = starts[ends - starts == 2]
-        two = two[near(two, two + 1)]
-        out = [np.stack([node[two], node[two + 1]], axis=1)]
+        far = apart(two, two + 1)
+        close, open_ = two[far <= tight], two[(far > tight) & (far <= radius)]
+        edges, loose = ties.new(list(zip(node[close].tolist(), node[close + 1].tolist()))), [np.stack([node[open_], node[open_ + 1]], axis=1)]
         for a, b in zip(starts.tolist(), ends.tolist()):
             if b - a < 3:
                 continue
-            left = np.arange(a, b)[np.argsort(node[a:b])]
-            if (group[left] == group[left[0]]).all():
-                continue
-            frontier = []
-            while len(left) > 1 or frontier and len(left):
-                if every or not frontier:
-                    i, left = left[0], left[1:]
-                else:
+            order = np.arange(a, b)[np.argsort(node[a:b], kind="stable")]
+            left, group, groups = np.arange(b - a), np.zeros(b - a, np.int64), 0
+            while len(left):
+                frontier, left = [left[0]], left[1:]
+                group[frontier[0]] = groups
+                while frontier and len(left):
                     i = frontier.pop()
-                close = near(np.full(len(left), i), left)
-                out.append(np.stack([np.full(close.sum(), node[i]), node[left[close]]], axis=1))
-                if not every:
-                    gone = close | (group[left] == group[i])
-                    frontier += left[gone].tolist()
-                    left = left[~gone]
-        found = np.concatenate(out)
-        return np.unique(np.sort(found, axis=1), axis=0)
-
-    def send(rows):
-        found = pairs(rows)
-        if len(found):
-            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                    near = apart(order[i], order[left]) <= tight
+                    hit = left[near]
+                    group[hit] = groups
+                    edges += ties.new([(int(node[order[i]]), int(node[order[j]])) for j in hit])
+                    frontier += hit.tolist()
+                    left = left[~near]
+                groups += 1
+            if groups == 1:
+                continue
+            for i in range(b - a - 1):
+                rest = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
+                if not len(rest):
+                    continue
+                d = apart(order[i], order[rest])
+                hit = np.flatnonzero(d <= radius)
+                if len(hit):
+                    hit = hit[np.lexsort((rest[hit], d[hit], group[rest[hit]]))]
+                    first = np.r_[True, group[rest[hit[1:]]] != group[rest[hit[:-1]]]]
+                    closest = order[rest[hit[first]]]
+                    loose.append(np.stack([np.full(len(closest), node[order[i]]), node[closest]], axis=1))
+        return edges, np.unique(np.sort(np.concatenate(loose), axis=1), axis=0).tolist()
+
+    def send(rows, ties):
+        edges, loose = pairs(rows, ties)
+        if edges or loose:
+            both = np.array([*edges, *loose], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.arange(len(both)) < len(edges))], names=["a", "b", "near"])
 
     def run(batches):
-        held, size = [], 0
+        held, size, ties = [], 0, _Ties()
         for batch in batches:
             held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns)], axis=1))
             size += len(held[-1])
@@ -303,10 +343,10 @@ def _meeting(radius: int, least: float, every: bool) -> Callable:
             before = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
             done = before[-1] + 1 if len(before) else 0
             if done:
-                yield from send(rows[:done])
+                yield from send(rows[:done], ties)
             held, size = [rows[done:]], len(rows) - done
         if size:
-            yield from send(np.concatenate(held))
+            yield from send(np.concatenate(held), ties)
 
     return run
 
@@ -317,10 +357,9 @@ def jaccard_groups(docs: DataFrame, mark: str = "mark", least: float = LEAST) ->
 
     Equal sets become one node. Nodes meet where they share a prefix shingle (see ``prefixes``), so none is missed there; shingles
     that more than HEAVY texts share in their prefixes are put behind all others in a second pass, which changes no result, and
-    blocks that stay hot are cut into chunks that meet two by two. Pairs then need sizes that allow the similarity and at most
-    the round's number of differing bits of 256, and are counted exactly. The first rounds test a forest of close pairs, so that
-    a large group of near copies is tied together by few edges; the last one tests every pair across groups within LOOSE bits,
-    which a pair of similarity 0.8 exceeds only by a rare chance (39 bits on average, deviation 6; estimated, not measured).
+    blocks that stay hot are cut into chunks that meet two by two. There, fingerprints of 256 bits decide: at most TIGHT differing
+    bits tie two nodes together, for which a pair under the similarity would have to be four deviations off; up to LOOSE bits, four
+    deviations the other way, shingles are counted exactly. Nodes met once: the table of meetings is shuffled a single time.
     """
     texts = docs.select(mark, "text")
     prints = cut(set_prints(texts, [mark]).distinct())
@@ -335,26 +374,27 @@ def jaccard_groups(docs: DataFrame, mark: str = "mark", least: float = LEAST) ->
     heavy = [r[0] for r in shared.where(F.col("count") > HEAVY).orderBy(F.desc("count"), "key").limit(MAX_BROADCAST_KEYS).collect()]
     if heavy:
         keyed, shared = keys(np.sort(np.array(heavy, np.int64).view(np.uint64)))
-    parts = F.ceil(F.col("count") / CHUNK)
+    parts = F.ceil(F.col("count") / (4 * CHUNK))
     own = F.pmod(F.xxhash64("node"), parts)
     slots = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
-    met = cut(keyed.join(shared, "key").select("key", F.explode(slots).alias("slot"), "node").distinct())
-
-    group = nodes.select("node", F.col("node").alias("group"))
-    edges = None
-    for radius, every in ((TIGHT, False), (WIDE_RADIUS, False), (LOOSE, True)):
-        known = met.join(nodes.select("node", "n", *WIDE), "node").join(group, "node").select("key", "slot", "node", "group", "n", *WIDE)
-        dealt = known.repartition("key", "slot").sortWithinPartitions("key", "slot")
-        found = cut(dealt.mapInArrow(_meeting(radius, least, every), "a long, b long").distinct())
-        ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        marks = ends.join(nodes, "node").select("node", mark)
-        sets = cut(shingle_sets(texts.join(marks, mark), ["node"]).dropDuplicates(["node"]))
-        sides = [sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b")]
-        both = F.size(F.array_intersect("own_a", "own_b"))
-        passed = found.join(sides[0], "a").join(sides[1], "b").where(both >= least * (F.size("own_a") + F.size("own_b") - both) - 1e-9).select("a", "b")
-        edges = cut(passed if edges is None else edges.unionByName(passed))
-        group = cut(nodes.select("node").join(components(edges), "node", "left").select("node", F.coalesce("component", "node").alias("group")))
-    return prints.join(group, "node").select(mark, "group")
+    met = keyed.join(shared, "key").select("key", F.explode(slots).alias("slot"), "node").distinct()
+    dealt = met.join(nodes.select("node", "n", *WIDE), "node").select("key", "slot", "node", "n", *WIDE).repartition("key", "slot").sortWithinPartitions("key", "slot")
+    found = cut(dealt.mapInArrow(_meeting(TIGHT, LOOSE, least), "a long, b long, near boolean").distinct())
+    # Tied together by what is near already: only pairs across these groups are counted.
+    first = cut(components(found.where("near").select("a", "b")))
+    open_ = found.where(~F.col("near")).select("a", "b")
+    for c in ("a", "b"):
+        open_ = open_.join(first.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}")), c, "left").withColumn(f"of_{c}", F.coalesce(f"of_{c}", c))
+    open_ = cut(open_.where("of_a <> of_b").select("a", "b"))
+    ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    marks = ends.join(nodes, "node").select("node", mark)
+    sets = cut(shingle_sets(texts.join(marks, mark), ["node"]).dropDuplicates(["node"]))
+    sides = [sets.select(F.col("node").alias(c), F.col("own").alias(f"own_{c}")) for c in ("a", "b")]
+    both = F.size(F.array_intersect("own_a", "own_b"))
+    passed = open_.join(sides[0], "a").join(sides[1], "b").where(both >= least * (F.size("own_a") + F.size("own_b") - both) - 1e-9).select("a", "b")
+    group = components(found.where("near").select("a", "b").unionByName(passed))
+    whole = nodes.select("node").join(group, "node", "left").select("node", F.coalesce("component", "node").alias("group"))
+    return prints.join(whole, "node").select(mark, "group")
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
