@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from functools import reduce
 
@@ -22,29 +21,45 @@ SHINGLE, MIN_SIMILARITY = 5, 0.8
 RADIUS = 18
 #: Text of the benchmark that one pass sends to every task; a larger benchmark takes several passes.
 SLICE_BYTES = 8 << 20
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Bytes of words as they are compared (A-Z lower-cased), all others as blanks.
+LETTERS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 FOUND = "doc_id long, item_id long, start_word long, n_words long, distance int, similarity double"
 #: Most positions of one document that are looked at in one step.
 STEP = 1 << 16
+#: A task forgets the words it has hashed when they are more than this.
+MAX_WORDS = 200_000
 #: Most pairs of windows and items that one Hamming block may compare in one step.
 PAIRS = 1 << 20
 
 
-def _shingles(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and weight of every run of ``size`` words; the weight is the run's number of word bytes.
+class _Hashes(dict):
+    """Hashes of words, each computed once."""
 
-    Each word is hashed once; a run's hash is mixed from those of its words in order.
-    """
-    n = len(words) - size + 1
-    if n < 1 or not words:
-        return np.empty(0, np.uint64), np.empty(0, np.float64)
-    own = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    def __missing__(self, word: bytes) -> int:
+        made = self[word] = xxhash.xxh64_intdigest(word)
+        return made
+
+
+def _words(text: bytes) -> list[bytes]:
+    return text.translate(LETTERS).split()
+
+
+def _mixed(own: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every run of ``size`` words, mixed from those of its words in order."""
+    n = len(own) - size + 1
     hashes = mix(own[:n], 1)
     with np.errstate(over="ignore"):
         for k in range(1, size):
             hashes = mix(hashes + own[k : k + n], 1)
-    return hashes, (total[size:] - total[:-size]).astype(np.float64)
+    return hashes
+
+
+def _shingles(words: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and weight of every run of ``size`` words; the weight is the run's number of word bytes."""
+    if len(words) < max(size, 1):
+        return np.empty(0, np.uint64), np.empty(0, np.float64)
+    total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))])
+    return _mixed(np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), size), (total[size:] - total[:-size]).astype(np.float64)
 
 
 def _fingerprints(hashes: np.ndarray, weights: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -66,59 +81,84 @@ def _similarity(a: Counter, b: Counter, weight: dict) -> float:
 
 
 class Items:
-    """One slice of the benchmark: fingerprints by item length with an index for each Hamming block, and all its shingles."""
+    """One slice of the benchmark: fingerprints by item length with an index over their Hamming blocks, and all its shingles."""
 
     def __init__(self, rows: list[tuple[int | None, bytes]], radius: int):
         self.radius, self.blocks = radius, radius + 1
         self.edges = [64 * i // self.blocks for i in range(self.blocks + 1)]
         by_length: dict[int, list] = {}
         for item_id, text in rows:
-            words = WORD.findall(text.lower())
+            words = _words(text)
             if words:
                 by_length.setdefault(len(words), []).append((item_id, words))
         self.known: dict[int, np.ndarray] = {}  # by shingle size
+        self.maybe: dict[int, np.ndarray] = {}  # by shingle size: whether any known shingle's hash starts with these 20 bits
         self.lengths = []  # (words, shingle size, shingles, ids, fingerprints, block indexes, shingle counts, weights)
         for length, items in sorted(by_length.items()):
             size = min(SHINGLE, length)
             pairs = [_shingles(words, size) for _, words in items]
             fps = np.concatenate([_fingerprints(h, w, np.zeros(1, np.int64), len(h)) for h, w in pairs])
-            index = []
-            for k in range(self.blocks):
-                values = self.block(fps, k)
-                order = np.argsort(values, kind="stable")
-                index.append((values[order], order))
+            keys = self.keys(fps).ravel()
+            order = np.argsort(keys, kind="stable")
+            index = (keys[order], order % len(fps))
             self.lengths.append((length, size, length - size + 1, [i for i, _ in items], fps, index,
                                  [Counter(h.tolist()) for h, _ in pairs], [dict(zip(h.tolist(), w.tolist())) for h, w in pairs]))
             self.known[size] = np.union1d(self.known.get(size, np.empty(0, np.uint64)), np.concatenate([h for h, _ in pairs]))
+        for size, known in self.known.items():
+            self.maybe[size] = np.zeros(1 << 20, bool)
+            self.maybe[size][known >> np.uint64(44)] = True
+
+    def keys(self, fps: np.ndarray) -> np.ndarray:
+        """Every block of every fingerprint with the block's number, block by block."""
+        out = np.empty((self.blocks, len(fps)), np.uint64)
+        for k in range(self.blocks):
+            width = self.edges[k + 1] - self.edges[k]
+            out[k] = (fps >> np.uint64(self.edges[k]) & np.uint64((1 << width) - 1)) * np.uint64(self.blocks) + np.uint64(k)
+        return out
 
-    def block(self, fps: np.ndarray, k: int) -> np.ndarray:
-        width = self.edges[k + 1] - self.edges[k]
-        return fps >> np.uint64(self.edges[k]) & np.uint64((1 << width) - 1)
-
-    def near(self, fps: np.ndarray, own: np.ndarray, index: list) -> list[tuple[int, int, int]]:
+    def near(self, fps: np.ndarray, own: np.ndarray, index: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
         """(distance, window, item) of every window and item within the radius: they agree on one of radius + 1 blocks at least."""
-        pairs = []
-        for k, (values, order) in enumerate(index):
-            mine = self.block(fps, k)
-            low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
-            n = high - low
-            window = np.repeat(np.arange(len(fps)), n)
-            item = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
-            close = np.bitwise_count(fps[window] ^ own[item]) <= self.radius
-            pairs.append(np.stack([window[close], item[close]], axis=1))
-        every = np.unique(np.concatenate(pairs), axis=0)
-        distance = np.bitwise_count(fps[every[:, 0]] ^ own[every[:, 1]])
-        return list(zip(distance.tolist(), every[:, 0].tolist(), every[:, 1].tolist()))
-
-    def search(self, text: bytes, least: float) -> list[tuple]:
-        """(item, start, words, distance, similarity) for each item found in the text, at its closest window that passes."""
-        words, out, seen = WORD.findall(text.lower()), [], {}
+        known, items = index
+        mine = self.keys(fps).ravel()
+        low, high = np.searchsorted(known, mine, "left"), np.searchsorted(known, mine, "right")
+        n = high - low
+        met = np.repeat(np.arange(len(mine)) % len(fps), n) * len(own) + items[np.arange(n.sum()) + np.repeat(low - np.cumsum(n) + n, n)]
+        met = np.unique(met)
+        window, item = met // len(own), met % len(own)
+        distance = np.bitwise_count(fps[window] ^ own[item])
+        close = distance <= self.radius
+        return list(zip(distance[close].tolist(), window[close].tolist(), item[close].tolist()))
+
+    def shared(self, texts: list[bytes], hashes: _Hashes) -> dict[int, dict[int, tuple]]:
+        """By text and shingle size, where a text has a shingle of the benchmark: its hashes and weights, and sums of all weights and
+        of those in such shingles. All texts are worked on as one row of words."""
+        words = [_words(t) for t in texts]
+        size_of = np.array([len(w) for w in words])
+        ends = np.cumsum(size_of)
+        flat = [w for own in words for w in own]
+        own = np.fromiter(map(hashes.__getitem__, flat), np.uint64, len(flat))
+        total = np.concatenate([[0], np.cumsum(np.fromiter(map(len, flat), np.int64, len(flat)))])
+        found: dict[int, dict[int, tuple]] = {}
         for size, known in self.known.items():
-            hashes, weights = _shingles(words, size)
-            spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = known[spot] == hashes
-            if hit.any():
-                seen[size] = (hashes, weights, np.concatenate([[0], np.cumsum(weights)]), np.concatenate([[0], np.cumsum(weights * hit)]))
+            if len(flat) < size:
+                continue
+            made = _mixed(own, size)
+            spot = np.flatnonzero(self.maybe[size][made >> np.uint64(44)])
+            spot = spot[known[np.minimum(np.searchsorted(known, made[spot]), len(known) - 1)] == made[spot]]
+            text = np.searchsorted(ends, spot, side="right")
+            inside = spot + size <= ends[text]
+            spot, text = spot[inside], text[inside]
+            for i in np.unique(text).tolist():
+                a, b = int(ends[i] - size_of[i]), int(ends[i]) - size + 1
+                weights = (total[a + size : b + size] - total[a:b]).astype(np.float64)
+                hit = np.zeros(b - a)
+                hit[spot[text == i] - a] = 1
+                found.setdefault(i, {})[size] = (made[a:b], weights, np.concatenate([[0], np.cumsum(weights)]), np.concatenate([[0], np.cumsum(weights * hit)]))
+        return found
+
+    def search(self, seen: dict[int, tuple], least: float) -> list[tuple]:
+        """(item, start, words, distance, similarity) for each item found in a text (see ``shared``), at its closest window that passes."""
+        out = []
         for _, size, n, ids, own, index, counts, item_weights in self.lengths:
             if size not in seen:
                 continue
@@ -168,11 +208,13 @@ def matches(docs: DataFrame, items: DataFrame, radius: int = RADIUS, least: floa
 
         def run(batches, index=index):
             held = Items.__new__(Items)
-            held.__dict__ = index.value
+            held.__dict__, hashes = index.value, _Hashes()
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rows += [(doc_id, *m) for m in held.search(text, least)]
+                ids, rows = batch.column(0), []
+                if len(hashes) > MAX_WORDS:
+                    hashes.clear()
+                for i, seen in sorted(held.shared(batch.column(1).to_pylist(), hashes).items()):
+                    rows += [(ids[i].as_py(), *m) for m in held.search(seen, least)]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (
                         pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.float64()))], names=[f.split()[0] for f in FOUND.split(", ")])
