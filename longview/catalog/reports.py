@@ -14,6 +14,7 @@ from longview.operators.change import report_region
 from longview.operators.cohort import patient_overview
 from longview.operators.slices import top_slices
 from longview.plans import results as R
+from longview.plans.overlays import overlay_path
 from longview.plans.cohort import build_cohort, patient_bundle
 from longview.session import cut
 from longview.sources.sinks import json_document
@@ -115,7 +116,7 @@ def _change_block(spark, sf) -> DataFrame:
     pairs, regions = compared.pairs, cut(report_region(compared.regions))  # a short table; the record repeats no rounding
     named = cut(pairs).withColumns({
         "patient_id": F.floor(F.col("volume_id") / 3).cast("string"), "from_round": F.concat(F.lit("T"), (F.col("volume_id") % 3).cast("string")),
-        "to_round": F.concat(F.lit("T"), (F.col("volume_id") % 3 + 1).cast("string"))})
+        "to_round": F.concat(F.lit("T"), (F.col("volume_id") % 3 + 1).cast("string"))}).withColumn("overlay", overlay_path(F.col("from_round"), F.col("to_round")))
 
     return R.change_block(named, regions)
 
@@ -129,7 +130,15 @@ def _results(spark, sf, splits: DataFrame | None = None) -> DataFrame:
 
 
 def _results_view(spark, sf) -> DataFrame:
-    return json_document(_results(spark, sf), "patient_id")
+    """Every record as its JSON document tells it: written, read back, and laid out in columns."""
+    records = _results(spark, sf)
+    d = json_document(records, "patient_id").select(F.from_json("document", records.schema).alias("d")).select("d.*")
+    told = F.transform("change.pairs", lambda p: F.concat(p["from_round"], F.lit("-"), p["to_round"], F.lit(" "), p["selected_stage"], F.lit(" "), F.coalesce(F.size(p["regions"]), F.lit(0)).cast("string")))
+    return d.select(
+        "patient_id", "split", F.array_join("rounds", ",").alias("rounds"), F.array_join("tasks", ",").alias("tasks"), "risk.unavailable", "risk.reason", "risk.model", F.col("risk.round").alias("risk_round"),
+        *[f"risk.year_{h}" for h in range(1, 7)], F.size(F.coalesce("risk.curve", F.array())).alias("n_years"), "risk.calibrated", "risk.cohort_percentile",
+        F.array_join("attention.top_slices", ",").alias("top_slices"), "change.note", F.array_join(told, ";").alias("pairs"), F.col("provenance.model").alias("made_by"), "provenance.code_rev", "provenance.generated_at",
+        "provenance.research_only", "provenance.disclaimer", F.array_join("provenance.tasks", ",").alias("made_for"), "summary")
 
 
 def _results_pairs(spark, sf) -> DataFrame:
@@ -163,7 +172,7 @@ named AS (SELECT CAST(volume_id // 3 AS VARCHAR) AS patient_id, 'T' || volume_id
 told AS (SELECT volume_id, rank, slice, concat_ws(',', z0, y0, x0, z1, y1, x1) AS bbox, {', '.join(f"{py(c, 1)} AS {c}" for c in ("volume_mm3", "mean_delta_hu", "peak_delta_hu", "baseline_hu", "followup_hu", "elongation"))},
   {py('diameter_mm', 1)} AS delta_mm, {py('fill_fraction', 2)} AS fill_fraction, kind, side, {py('cz', 1)} AS centroid_z_mm, {py('cy', 1)} AS centroid_y_mm, {py('cx', 1)} AS centroid_x_mm FROM kept)"""
 RESULTS_PAIRS_SQL = f"""{RECORD_SQL} SELECT patient_id, from_round, to_round, n_regions, registration_failed, false AS deformable, selected_stage, alignment_before_hu, alignment_after_hu,
-  inflation_shift_hu, 1.5::DOUBLE AS spacing_mm, from_lung_ml, to_lung_ml, note, (SELECT max(depth) FROM early e WHERE e.volume_id = n.volume_id) || ',16,16' AS shape, n_regions AS n_listed,
+  inflation_shift_hu, 1.5::DOUBLE AS spacing_mm, from_lung_ml, to_lung_ml, note, 'overlays/change_' || from_round || '_' || to_round AS overlay, (SELECT max(depth) FROM early e WHERE e.volume_id = n.volume_id) || ',16,16' AS shape, n_regions AS n_listed,
   coalesce(kind || ' ' || side || ' ' || slice, '') AS top FROM named n LEFT JOIN told t ON t.volume_id = n.volume_id AND rank = 1 WHERE patient_id IN (SELECT patient_id FROM known)"""
 RESULTS_REGIONS_SQL = f"""{RECORD_SQL} SELECT patient_id, from_round, to_round, told.* EXCLUDE (volume_id) FROM named JOIN told USING (volume_id) WHERE patient_id IN (SELECT patient_id FROM known)"""
 RESULTS_STAGES_SQL = f"""{RECORD_SQL} SELECT patient_id, from_round, stage, {py('error_hu', 1)} AS error_hu FROM named JOIN errors USING (volume_id) WHERE patient_id IN (SELECT patient_id FROM known)"""
@@ -171,6 +180,32 @@ RESULTS_ATTENTION_SQL = f"""WITH RECURSIVE {ATTENTION_SQL}, {TOP_SQL.format(p='p
 SELECT patient_id, coalesce(any_value(top_slices), '') AS top_slices, CASE WHEN count(DISTINCT round_key) < 2 THEN '{N.ONE_ROUND_NOTE}' END AS note FROM series LEFT JOIN last USING (patient_id) WHERE is_primary GROUP BY 1"""
 
 
+_YEARS = ", ".join(f"{py(f'k.year_{h}', 6)} AS year_{h}" for h in range(1, 7))
+RESULTS_SQL = f"""{RECORD_SQL}, {B.SCORES_SQL}, latest AS (SELECT patient_id, max(round_key) AS round FROM series WHERE is_primary GROUP BY 1),
+tied AS (SELECT year_1, sum(count(*)) OVER (ORDER BY year_1) - count(*) AS b FROM scores GROUP BY 1),
+risk AS (SELECT patient_id, k.year_1 IS NULL AS unavailable, round, {_YEARS}, CAST(round_even(b / (SELECT count(*) FROM scores) * 100, 0) AS INT) AS cohort_percentile
+  FROM latest LEFT JOIN scores k USING (patient_id) LEFT JOIN tied t ON t.year_1 = k.year_1),
+prof AS (SELECT volume_id, z, sum(greatest(hu + 500, 0))::DOUBLE AS total FROM vox GROUP BY ALL), {TOP_SQL.format(p='prof').replace('best AS', 'shown AS')},
+seen AS (SELECT CAST(volume_id // 3 AS VARCHAR) AS patient_id, arg_max(top_slices, volume_id) AS top_slices FROM shown GROUP BY 1),
+rounds AS (SELECT patient_id, string_agg(round_key, ',' ORDER BY round_key) AS rounds, count(*) AS n FROM (SELECT DISTINCT patient_id, round_key FROM series WHERE is_primary) GROUP BY 1),
+spoken AS (SELECT patient_id, bool_or(NOT registration_failed) AS weak, string_agg(from_round || '-' || to_round || ' ' || selected_stage || ' ' || n_regions, ';' ORDER BY from_round) AS pairs,
+  string_agg(CASE WHEN registration_failed THEN upper(substr({_L}, 1, 1)) || lower(substr({_L}, 2)) || ' could not be aligned with ' || {_E} || ', so no change regions are reported for that comparison.'
+    WHEN n_regions = 0 THEN {_OPEN} || 'no region met the change thresholds.'
+    ELSE {_OPEN} || n_regions || ' candidate region' || CASE WHEN n_regions <> 1 THEN 's' ELSE '' END || ' met the thresholds. The largest, about ' || format('{{:.0f}}', delta_mm) || ' mm across in the ' || side || ' lung, '
+      || CASE WHEN kind = 'new' THEN 'appeared where none was visible before' ELSE 'enlarged' END || ' (density ' || format('{{:.0f}}', baseline_hu) || ' to ' || format('{{:.0f}}', followup_hu) || ' HU, slice ' || slice || ').' END, ' ' ORDER BY from_round) AS change
+  FROM named n LEFT JOIN told t ON t.volume_id = n.volume_id AND rank = 1 GROUP BY 1)
+SELECT patient_id, {B.duck_split('patient_id')} AS split, rounds, 'risk,change,saliency' AS tasks, unavailable, CASE WHEN unavailable THEN '{N.NO_SCORE}' END AS reason, CASE WHEN unavailable THEN 'none' ELSE 'stand-in' END AS model,
+  round AS risk_round, year_1, year_2, year_3, year_4, year_5, year_6, CASE WHEN unavailable THEN 0 ELSE 6 END AS n_years, CASE WHEN NOT unavailable THEN false END AS calibrated, CASE WHEN NOT unavailable THEN cohort_percentile END AS cohort_percentile,
+  coalesce(top_slices, '') AS top_slices, CASE WHEN n < 2 THEN '{N.ONE_ROUND_NOTE}' END AS note, pairs, CASE WHEN unavailable THEN 'none' ELSE 'stand-in' END AS made_by, '{REV}' AS code_rev, '{AT}' AS generated_at,
+  true AS research_only, '{N.DISCLAIMER}' AS disclaimer, 'risk,change,saliency' AS made_for,
+  concat_ws(' ', CASE WHEN unavailable THEN '{N.NO_MODEL}' ELSE 'Estimated 1-year lung-cancer risk is ' || {_pct('year_1')} || ', ' || CASE WHEN cohort_percentile >= 50 THEN 'above' ELSE 'below' END
+    || ' the median for this screening cohort (' || cohort_percentile || 'th percentile){N.NOT_CALIBRATED.replace("'", "''")}.' END,
+  CASE WHEN NOT unavailable THEN 'Cumulative risk rises to ' || {_pct('year_6')} || ' by year 6.' END,
+  CASE WHEN top_slices <> '' THEN 'The model weighted slices ' || array_to_string(string_split(top_slices, ',')[1:3], ', ') || ' most heavily; these show where it attended, which is not by itself evidence of disease.' END,
+  change, CASE WHEN weak THEN '{N.DEFORMABLE_CAVEAT}' END, '{N.DISCLAIMER}') AS summary
+FROM rounds JOIN risk USING (patient_id) LEFT JOIN seen USING (patient_id) LEFT JOIN spoken USING (patient_id)"""
+
+
 def _declared(spark, sf) -> DataFrame:
     """A splits table that the hash would not give: by the id's last digit; some rows name no known patient."""
     k = F.col("c_custkey")
@@ -293,7 +328,7 @@ QUERIES = {
     "summary_text": (_summary, SUMMARY_SQL),
     "risk_block": (_risk_view, RISK_SQL),
     "results_heads": (_results_heads, HEADS_SQL),
-    "results_objects": (_results_view, None),
+    "results_objects": (_results_view, RESULTS_SQL),
     "results_pairs": (_results_pairs, RESULTS_PAIRS_SQL),
     "results_stage_errors": (_results_stages, RESULTS_STAGES_SQL),
     "results_regions": (_results_regions, RESULTS_REGIONS_SQL),

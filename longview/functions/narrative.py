@@ -42,6 +42,7 @@ def capitalise(c: Column) -> Column:
     return F.concat(F.upper(F.substring(c, 1, 1)), F.lower(F.substr(c, F.lit(2))))
 
 
+# Fixed wording: the parts of the sentences that the functions below put together.
 def risk_sentence(available: Column, year_1: Column, percentile: Column, calibrated: Column,
                   ci_lo: Column | None = None, ci_hi: Column | None = None) -> Column:
     none = F.lit(None).cast("double")

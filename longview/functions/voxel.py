@@ -7,10 +7,9 @@ array and never multiply rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -141,28 +140,13 @@ def _axis(n_in: int, n_out: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return low, np.minimum(low + 1, n_in - 1), at - low
 
 
-def resize_plane(px: Column, rows: Column, cols: Column, out_rows: Column, out_cols: Column) -> Column:
-    """Bilinear resize of one slice, ends mapped to ends.
-
-    An index vector per axis replaces an expression tree per output pixel, which Spark would interpret.
-    """
-
-    @F.pandas_udf("array<double>")
-    def resized(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for planes, h, w, oh, ow in parts:
-            made = []
-            for plane, shape in zip(planes, zip(h, w, oh, ow)):
-                if plane is None:
-                    made.append(None)
-                    continue
-                y0, y1, wy = _axis(shape[0], shape[2])
-                x0, x1, wx = _axis(shape[1], shape[3])
-                p = np.asarray(plane, np.float64).reshape(shape[0], shape[1])
-                along = p[:, x0] * (1 - wx) + p[:, x1] * wx
-                made.append((along[y0] * (1 - wy)[:, None] + along[y1] * wy[:, None]).ravel())
-            yield pd.Series(made, dtype=object)
-
-    return resized(px, rows, cols, out_rows, out_cols)
+def resized_plane(plane: np.ndarray, out_rows: int, out_cols: int) -> np.ndarray:
+    """Bilinear resize of one slice, ends mapped to ends."""
+    y0, y1, wy = _axis(plane.shape[0], out_rows)
+    x0, x1, wx = _axis(plane.shape[1], out_cols)
+    p = plane.astype(np.float64)
+    along = p[:, x0] * (1 - wx) + p[:, x1] * wx
+    return along[y0] * (1 - wy)[:, None] + along[y1] * wy[:, None]
 
 
 def nearest_plane(px: Column, rows: Column, cols: Column, out_rows: Column, out_cols: Column) -> Column:

@@ -46,14 +46,31 @@ def difference(baseline: DataFrame, warped: DataFrame) -> DataFrame:
 
 
 def onto_grid(later: DataFrame, baseline: DataFrame) -> DataFrame:
-    """The later round on the baseline's voxel grid; what it does not cover is air."""
+    """The later round on the baseline's voxel grid; what it does not cover is air. Packed if it came packed."""
+
+    @F.pandas_udf("binary")
+    def fitted(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for series in parts:
+            made = []
+            for data, h, w, rows, cols in zip(*series):
+                if data is not None and (h, w) == (rows, cols):
+                    made.append(data)
+                    continue
+                out = np.full((rows, cols), FILL_HU)
+                if data is not None:
+                    a = bits.plane(data, int(h), int(w))[:rows, :cols]
+                    out = out.astype(a.dtype) if a.dtype.kind == "f" else out
+                    out[:a.shape[0], :a.shape[1]] = a
+                made.append(bits.pixel_bytes(out))
+            yield pd.Series(made, dtype=object)
+
     grid = baseline.select("volume_id", "z", "depth", "rows", "cols")
-    own = later.select("volume_id", "z", F.col("rows").alias("_r"), F.col("cols").alias("_c"), F.col("px").alias("_px"))
-    rows, cols, r, c = F.col("rows"), F.col("cols"), F.col("_r"), F.col("_c")
-    fitted = F.transform(F.sequence(F.lit(0), rows * cols - 1), lambda i: F.when(
-        ((i / cols).cast("int") < r) & (i % cols < c), F.get("_px", (i / cols).cast("int") * c + i % cols)).otherwise(FILL_HU))
-    px = F.when((r == rows) & (c == cols), F.col("_px")).when(r.isNotNull(), fitted).otherwise(F.array_repeat(F.lit(FILL_HU), rows * cols))
-    return grid.join(own, ["volume_id", "z"], "left").withColumn("px", px).drop("_r", "_c", "_px")
+    own = bits.with_packed_pixels(later.select("volume_id", "z", F.col("rows").alias("_r"), F.col("cols").alias("_c"), F.col("px").alias("_px")), "_px")
+    out = grid.join(own, ["volume_id", "z"], "left").withColumn("px", fitted("_px", "_r", "_c", "rows", "cols")).drop("_r", "_c", "_px")
+    if bits.is_packed(later, "px"):
+        return out
+    kind = later.schema["px"].dataType.elementType.simpleString()
+    return out.withColumn("px", bits.pixels(F.col("px"), F.col("rows"), F.col("cols"), "double" if kind in ("double", "float") else "int"))
 
 
 def masked(px: Column, mask: Column) -> Column:
@@ -353,7 +370,7 @@ def compare(baseline: DataFrame, later: DataFrame, spacing: DataFrame | None = N
         later = cut(resample_isotropic(later, spacing if later_spacing is None else later_spacing, target_mm))
     masks, later_masks = _masks_of_both(baseline, later, threshold, block)
     early = cut(bits.with_packed_pixels(core(baseline, "px"), "px"))
-    late = cut(bits.with_packed_pixels(core(onto_grid(later, baseline), "px"), "px"))
+    late = cut(core(onto_grid(bits.with_packed_pixels(core(later, "px"), "px"), early), "px"))
     errors = search_moves(early, late, masks, reach) if reach else move_errors(early, late, masks, shifts or [])
     best = cut(best_move(errors))
     interior = erode(masks, "mask", 2, "interior", block, packed=True)

@@ -158,9 +158,8 @@ def download_progress(series: DataFrame) -> DataFrame:
     """
     rows = series.select("patient_id", "round_key", "series_uid", "series_size_mb")
     scan = OrderedScan(rows, ["patient_id"], ["round_key", "series_uid"])
-    totals = scan.df.groupBy("patient_id").agg(F.sum("series_size_mb").alias("total_mb"))
-    ran = scan.running(done_mb=F.col("series_size_mb")).result()
-    return ran.join(totals, "patient_id").withColumn("progress", F.col("done_mb") / F.greatest("total_mb", F.lit(1.0)))
+    ran = scan.running(done_mb=F.col("series_size_mb")).total(total_mb=F.col("series_size_mb")).result()
+    return ran.withColumn("progress", F.col("done_mb") / F.greatest("total_mb", F.lit(1.0)))
 
 
 def patient_overview(series: DataFrame, cached: DataFrame | None = None, seed: str = DEFAULT_SEED, splits: DataFrame | None = None) -> DataFrame:

@@ -99,6 +99,87 @@ class OrderedScan:
     def row_number(self, name: str) -> OrderedScan:
         return self.running(**{name: F.lit(1).cast("bigint")})
 
+    def total(self, **sums: Column) -> OrderedScan:
+        """Add the group's whole sums, nulls counting as zero, to every row.
+
+        A group that ends in the batch it began in is summed there. Of longer ones a first pass notes the sums; a batch has one
+        group at most that goes on, so the driver gets no more notes than there are batches, and two for each partition.
+        """
+        own = {n: F.coalesce(c, F.lit(0)) for n, c in sums.items()}
+        types = self.df.select(*[F.sum(c).alias(n) for n, c in own.items()]).schema
+        own = {f.name: own[f.name].cast(f.dataType) for f in types}
+        n_keys, n_sums = len(self.keys), len(own)
+
+        def segments(batch, before):
+            keys = batch.columns[1 : 1 + n_keys]
+            first = _starts(keys, before, batch.num_rows)
+            edges = np.flatnonzero(first)
+            starts = edges if first[0] else np.r_[0, edges]
+            return keys, first, starts
+
+        def notes(batches):
+            key, held, rows, out = None, [0] * n_sums, 0, []
+            part = 0
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                part = batch.columns[0][0].as_py()
+                keys, first, starts = segments(batch, key)
+                parts = [np.add.reduceat(v.to_numpy(), starts) for v in batch.columns[1 + n_keys :]]
+                if first[0] and key is not None:
+                    out.append((key, held, rows))
+                    held, rows = [0] * n_sums, 0
+                held, rows = [h + p[0].item() for h, p in zip(held, parts)], rows + 1
+                if len(starts) > 1:
+                    out.append((_key(keys, 0), held, rows))
+                    held, rows = [p[-1].item() for p in parts], 1
+                key = _key(keys, batch.num_rows - 1)
+            if key is not None:
+                out.append((key, held, rows))
+                # Groups in one batch need no note, but the first and the last may go on in another partition.
+                kept = [o for i, o in enumerate(out) if o[2] > 1 or i in (0, len(out) - 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([pickle.dumps(kept)])], names=["part", "state"])
+
+        slim = self.df.select(PART, *self.keys, *[c.alias(f"_v_{n}") for n, c in own.items()])
+        noted: dict[tuple, list] = {}
+        for r in sorted(slim.mapInArrow(notes, SUMMARY).collect()):
+            for key, held, _ in pickle.loads(r["state"]):
+                noted[key] = [a + b for a, b in zip(noted.get(key, [0] * n_sums), held)]
+        sent = self.df.sparkSession.sparkContext.broadcast(noted)
+        rest = [c for c in self.df.columns if c not in own]
+        wide = self.df.select(PART, *[F.col(k).alias(f"_k_{k}") for k in self.keys], *[c.alias(f"_v_{n}") for n, c in own.items()], *rest)
+        schema = T.StructType([*self.df.select(*rest).schema.fields, *[T.StructField(f.name, f.dataType) for f in types]])
+
+        def filled(batch):
+            keys, _, starts = segments(batch, None)
+            size, made = np.diff(np.r_[starts, batch.num_rows]), []
+            for j, v in enumerate(batch.columns[1 + n_keys : 1 + n_keys + n_sums]):
+                whole = np.add.reduceat(v.to_numpy(), starts)
+                for at in (0, len(starts) - 1):
+                    known = sent.value.get(_key(keys, int(starts[at])))
+                    if known is not None:
+                        whole[at] = known[j]
+                made.append(pa.array(np.repeat(whole, size)))
+            return pa.RecordBatch.from_arrays([*batch.columns[1 + n_keys + n_sums :], *made], names=schema.names)
+
+        def run(batches):
+            held = None
+            for batch in batches:
+                batch = batch if held is None else pa.concat_batches([held, batch])
+                held = None
+                if not batch.num_rows:
+                    continue
+                keys, _, starts = segments(batch, None)
+                # Batches may be cut elsewhere than in the first pass: a short group waits for its rest.
+                if _key(keys, int(starts[-1])) not in sent.value:
+                    held, batch = batch.slice(int(starts[-1])), batch.slice(0, int(starts[-1]))
+                if batch.num_rows:
+                    yield filled(batch)
+            if held is not None and held.num_rows:
+                yield filled(held)
+
+        return self._with(wide.mapInArrow(run, schema))
+
     def lag(self, **values: Column) -> OrderedScan:
         """Add the previous row's values within the group; null on a group's first row."""
         fields = [T.StructField(f.name, f.dataType) for f in self.df.select(*[c.alias(n) for n, c in values.items()]).schema]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from longview.functions import voxel as V
 
 from . import bits
+from .blocks import BLOCK
 from .scan import OrderedScan, exact_median
 
 # Fixed values.
@@ -166,22 +169,39 @@ def _targets(out_depth: Column) -> Column:
     return F.filter(F.transform(F.sequence(lo, hi), weigh), lambda s: s["w"] > 0)
 
 
-def zoom_linear(slices: DataFrame, px: str = "px") -> DataFrame:
+def zoom_linear(slices: DataFrame, px: str = "px", block: int = BLOCK) -> DataFrame:
     """Trilinear zoom onto out_depth x out_rows x out_cols (columns of ``slices``).
 
-    In-plane first, inside the row; then each slice goes to the output slices it
-    feeds. An output slice gathers at most two inputs.
+    Output slices are made in blocks, each of which gets the source slices it lies between, packed; a source slice goes to the
+    one or two blocks it feeds. Planes are resized there, so neither resized planes nor halves of a slice are sent.
     """
-    flat = V.resize_plane(F.col(px), F.col("rows"), F.col("cols"), F.col("out_rows"), F.col("out_cols"))
-    fed = slices.withColumn("_px", flat).select(
-        "volume_id", "z", "out_depth", "out_rows", "out_cols", "_px", F.explode(_targets(F.col("out_depth"))).alias("_t"))
-    pair = F.sort_array(F.collect_list(F.struct("z", F.col("_t.w").alias("w"), F.col("_px").alias("px"))))
-    got = fed.groupBy("volume_id", F.col("_t.i").alias("i"), "out_depth", "out_rows", "out_cols").agg(pair.alias("_p"))
-    a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1))
-    mixed = F.when(F.size("_p") == 1, a["px"]).otherwise(
-        F.zip_with(a["px"], b["px"], lambda p, q: p * a["w"] + q * b["w"]))
-    return got.select("volume_id", F.col("i").alias("z"), F.col("out_depth").alias("depth"),
-                      F.col("out_rows").alias("rows"), F.col("out_cols").alias("cols"), mixed.alias(px))
+    id_type = slices.schema["volume_id"].dataType.simpleString()
+    out = ["out_depth", "out_rows", "out_cols"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        depth, n_out, rows, cols = (int(first[c]) for c in ("depth", *out))
+        planes = {z: V.resized_plane(bits.plane(p, int(h), int(w)), rows, cols).ravel() for z, p, h, w in zip(pdf["z"], pdf[px], pdf["rows"], pdf["cols"])}
+        own = np.arange(int(first["block"]) * block, min((int(first["block"]) + 1) * block, n_out))
+        at = own * (depth - 1) / max(n_out - 1, 1) if n_out > 1 else np.zeros(len(own))
+        made, kept = [], []
+        for i, c in zip(own, at):
+            low, w = int(np.floor(c)), c - np.floor(c)
+            near = [(planes[z], v) for z, v in ((low, 1 - w), (low + 1, w)) if v > 0 and z in planes]
+            if near:
+                kept.append(i)
+                made.append(near[0][0] if len(near) == 1 else near[0][0] * near[0][1] + near[1][0] * near[1][1])
+        res = pd.DataFrame({"volume_id": first["volume_id"], "z": kept, "depth": n_out, "rows": rows, "cols": cols})
+        res[px] = pd.Series(made, dtype=object)
+        return res
+
+    z, n, o = F.col("z"), F.col("depth"), F.col("out_depth")
+    ratio = (o - 1) / F.greatest(n - 1, F.lit(1))
+    low = F.when(n > 1, F.greatest(F.floor((z - 1) * ratio), F.lit(0))).otherwise(F.lit(0))
+    high = F.when(n > 1, F.least(F.ceil((z + 1) * ratio), o - 1)).otherwise(o - 1)
+    plain = slices.select("volume_id", *[F.col(c).cast("int").alias(c) for c in ("z", "depth", "rows", "cols", *out)], px)
+    sent = bits.with_packed_pixels(plain, px).withColumn("block", F.explode(F.sequence(F.floor(low / block), F.floor(high / block))))
+    return sent.groupBy("volume_id", "block").applyInPandas(run, f"volume_id {id_type}, z int, depth int, rows int, cols int, {px} array<double>")
 
 
 def resample_isotropic(slices: DataFrame, spacing: DataFrame, target_mm: float = 1.0) -> DataFrame:

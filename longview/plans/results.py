@@ -17,7 +17,7 @@ PANEL_REGIONS = 8  # fixed value: regions the results panel draws for a pair
 REGION_FIELDS = ("rank", "slice", "bbox", "centroid_mm", "volume_mm3", "delta_mm", "mean_delta_hu", "peak_delta_hu", "baseline_hu", "followup_hu",
                  "fill_fraction", "elongation", "kind", "side")
 PAIR_FIELDS = ("from_round", "to_round", "n_regions", "registration_failed", "deformable", "selected_stage", "alignment_before_hu", "alignment_after_hu",
-               "alignment_by_stage_hu", "inflation_shift_hu", "spacing_mm", "shape", "from_lung_ml", "to_lung_ml", "note")
+               "alignment_by_stage_hu", "inflation_shift_hu", "spacing_mm", "shape", "from_lung_ml", "to_lung_ml", "note", "overlay")
 
 
 def risk_block(series: DataFrame, scores: DataFrame, calibrator: K.Calibrator, reference: DataFrame | None, model: str) -> DataFrame:
@@ -54,7 +54,7 @@ def invalid_curves(scores: DataFrame) -> DataFrame:
 def change_block(pairs: DataFrame, regions: DataFrame) -> DataFrame:
     """Compared pairs of each patient with all their regions, by rank (R-C).
 
-    ``pairs`` has patient_id, volume_id and the pair fields. The size and
+    ``pairs`` has patient_id, volume_id and the pair fields; ``overlay`` is where the pair's change overlay lies (``overlay_path``). The size and
     spacing of regions bound a pair's list: each takes its smallest volume, and
     a pair is one volume.
     """
