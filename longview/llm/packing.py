@@ -105,8 +105,8 @@ def sized(docs: DataFrame) -> DataFrame:
 def clustered(docs: DataFrame) -> DataFrame:
     """As ``sized``, but texts whose fingerprints over five-word shingles are linked at CLUSTER_BITS of 64 or fewer share their cluster.
 
-    One fingerprint a text, as the near-duplicate operator has it: copies and slightly changed texts are always found, pairs of
-    similarity 0.9 mostly, pairs of 0.8 seldom.
+    One fingerprint a text, as the near-duplicate operator has it: equal texts are always one cluster, lightly changed ones mostly
+    (94 % of pairs of similarity 0.98 in a simulation, 68 % at 0.95, 37 % at 0.90).
     """
     mark = F.xxhash64(F.coalesce("text", F.lit("")))
     prints = cut(shingle_fingerprint(docs.select(mark.alias("cluster"), "text"), ["cluster"], size=5).distinct())
