@@ -30,6 +30,8 @@ TEMPLATES = [
     ("reserved", "Copyright. All rights reserved. No part may be reproduced without written permission"),
 ]
 CONTAINMENT = 0.8
+#: A block is a line, or two or three neighbouring ones: the longest notice, wrapped at 70 columns, goes over three.
+BLOCK_LINES = 3
 
 
 def _plain(text):
@@ -49,12 +51,13 @@ def token_order(docs: DataFrame, vocabulary: list[str], text: str = "text") -> l
 
 
 def find_templates(docs: DataFrame, keep: list[str], text: str = "text", templates: list[tuple[str, str]] | None = None, least: float = CONTAINMENT) -> DataFrame:
-    """``keep``, block (line number from 0), template (its place in the list), label and containment: every line of a text that
-    holds ``least`` or more of a template's distinct tokens.
+    """``keep``, block (line number from 0), lines, template (its place in the list), label and containment: every block of a text
+    that holds ``least`` or more of a template's distinct tokens. Blocks are one to BLOCK_LINES neighbouring lines; of a template's
+    blocks in one text those with the fewest lines are reported, so a wrapped notice is found, and one on a line by its line.
 
     Tokens are ordered by frequency over all texts, rarest first. A template of n tokens needs a = ceil(least * n) of them, so one
-    of its n - a + 1 rarest must be in the block: lines without such a token stop there (prefix), as do lines with fewer template
-    tokens than the smallest a (length). A shared prefix token at place i of the template and j of the block's tokens leaves room
+    of its n - a + 1 rarest must be in the block: texts and blocks without such a token stop there (prefix), as do those with fewer
+    template tokens than the smallest a (length). A shared prefix token at place i of the template and j of the block's tokens leaves room
     for 1 + min of what follows either; less than a ends the pair (position). The rest is counted exactly. No pair is lost.
     """
     templates = TEMPLATES if templates is None else templates
@@ -67,20 +70,30 @@ def find_templates(docs: DataFrame, keep: list[str], text: str = "text", templat
     prefixes = F.array(*[F.lit(t) for t in sorted({x[0] for x in index})])
     in_order = F.array(*[F.lit(t) for t in sorted(vocabulary, key=rank.get)])
 
-    lines = docs.select(*keep, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("block", "__line"))
-    # array_intersect keeps the order of its first array: the block's tokens come out rarest first.
-    blocks = lines.withColumn("__own", F.array_intersect(in_order, _words(_plain(F.col("__line")))))
-    blocks = blocks.where((F.size("__own") >= min(need)) & F.arrays_overlap("__own", prefixes)).drop("__line")
+    plain = _plain(F.coalesce(F.col(text), F.lit("")))
+    may = lambda own: (F.size(own) >= min(need)) & F.arrays_overlap(own, prefixes)
+    # array_intersect keeps the order of its first array: tokens come out rarest first. Whole texts first, blocks only of what is left.
+    held = docs.select(*keep, plain.alias("__text")).withColumn("__own", F.array_intersect(in_order, _words(F.col("__text")))).where(may("__own"))
+    by_line = held.select(*keep, F.transform(F.split("__text", "\n", -1), lambda line: F.array_intersect(in_order, _words(line))).alias("__lines"))
+    n = F.size("__lines")
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(BLOCK_LINES), n - i)), lambda w: F.struct(
+        i.alias("block"), w.alias("lines"), F.array_intersect(in_order, F.flatten(F.slice("__lines", i + 1, w))).alias("own")))))
+    blocks = by_line.select(*keep, F.explode(F.filter(spans, lambda s: may(s["own"]))).alias("__b")).select(
+        *keep, F.col("__b.block").alias("block"), F.col("__b.lines").alias("lines"), F.col("__b.own").alias("__own"))
     spark = docs.sparkSession
     sides = spark.createDataFrame(index, "__token string, template int, __i int, __n int, __need int")
-    each = blocks.select(*keep, "block", "__own", F.posexplode("__own").alias("__j", "__token"))
+    each = blocks.select(*keep, "block", "lines", "__own", F.posexplode("__own").alias("__j", "__token"))
     room = 1 + F.least(F.col("__n") - F.col("__i") - 1, F.size("__own") - F.col("__j") - 1)
     # The first shared prefix token decides: what stands before it in either order is not shared.
-    pairs = each.join(sides, "__token").groupBy(*keep, "block", "template", "__n", "__need").agg(
+    pairs = each.join(sides, "__token").groupBy(*keep, "block", "lines", "template", "__n", "__need").agg(
         F.first("__own").alias("__own"), F.min(F.struct("__j", room.alias("room"))).alias("__first")).where(F.col("__first.room") >= F.col("__need"))
     full = spark.createDataFrame([(k, templates[k][0], s) for k, s in enumerate(ordered)], "template int, label string, __tokens array<string>")
     shared = F.size(F.array_intersect("__own", "__tokens"))
-    return pairs.join(full, "template").where(shared >= F.col("__need")).select(*keep, "block", "template", "label", (shared / F.col("__n")).alias("containment"))
+    found = pairs.join(full, "template").where(shared >= F.col("__need")).select(*keep, "block", "lines", "template", "label", (shared / F.col("__n")).alias("containment"))
+    fewest = found.groupBy(*keep, "template").agg(F.min("lines").alias("lines"))
+    keys = [*keep, "template", "lines"]
+    same = _all([found[c].eqNullSafe(fewest[c]) for c in keys])
+    return found.join(fewest, same, "left_semi")
 
 
 def phrase_places(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:

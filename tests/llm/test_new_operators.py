@@ -4,13 +4,15 @@ import hashlib
 import json
 import math
 import random
+import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import pytest
 
-from longview.llm import aligned, merkle, urls
+from longview.llm import aligned, licenses, merkle, urls
 from longview.llm.common import table
 
 RNG = random.Random(11)
@@ -279,3 +281,29 @@ def test_empty_tables(spark, empty_dir):
     for module in (merkle, aligned, urls):
         for fn, _ in module.QUERIES.values():
             assert fn(spark, empty_dir).collect() == []
+
+
+def test_wrapped_notices_are_found_like_by_brute_force(spark):
+    rng, rows = random.Random(4), []
+    for i, (_, notice) in enumerate(licenses.TEMPLATES):
+        for width in (30, 50, 70, 400):
+            before = " ".join(rng.choice(["the", "of", "plain", "under", "words"]) for _ in range(rng.randrange(12)))
+            body = f"{before} {notice} and more"
+            wrapped = body if width == 400 else "\n".join(textwrap.wrap(body, width))
+            rows.append((100 * i + width, f"Title\n{wrapped}\n" + "tail\n" * rng.randrange(3)))
+    rows += [(5000, None), (5001, ""), (5002, rows[1][1] + "\n" + rows[3][1]), (5003, "x\n" * 3000 + rows[2][1]), (rows[0][0], rows[0][1])]
+    got = licenses.find_templates(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 block", "2 lines", "'a' label"), ["doc_id"]).collect()
+    token = lambda t: set(re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()))
+    want = set()
+    for doc, body in rows:
+        lines = (body or "").split("\n")
+        for k, (_, notice) in enumerate(licenses.TEMPLATES):
+            need = token(notice)
+            for w in (1, 2, 3):
+                hits = {(doc, b, w, k) for b in range(len(lines) - w + 1) if len(need & token(" ".join(lines[b:b + w]))) >= 0.8 * len(need) - 1e-9}
+                if hits:
+                    want |= hits
+                    break
+    assert {(r.doc_id, r.block, r.lines, r.template) for r in got} == want
+    named = {(doc, licenses.TEMPLATES[k][0]) for doc, _, _, k in want}
+    assert all((100 * i + 70, label) in named for i, (label, _) in enumerate(licenses.TEMPLATES))
