@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from longview.llm.common import table
 from longview.session import cut
 
-MAX_RATIO, MIN_PAGES = 0.1, 5
+MAX_RATIO = 0.1
+#: Pages without the line that every host is taken to have besides its own, and the page the line is on anyway is left out on both
+#: sides: a line must be on more than a tenth of a large host's pages, on three of three to eight, and never on one page only.
+PRIOR_PAGES = 10
 #: The table of repeated lines is sent to every task up to this many line hashes, joined beyond.
 MAX_BROADCAST_LINES = 1_000_000
 
@@ -22,8 +25,10 @@ def _host(host: str):
     return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(__host, lines): for each host the hashes of the lines on more than ``max_ratio`` of its pages, and on ``min_pages`` at least.
+def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, prior: int = PRIOR_PAGES) -> DataFrame:
+    """(__host, lines): for each host the hashes of the lines on more than ``max_ratio`` of its pages, (n - 1) / (pages - 1 + ``prior``).
+
+    The ratio is smoothed, so what a line needs changes with the host's pages one by one and at no size all at once.
 
     Lines are compared without blanks at their ends, by XXH64 within a host; blank lines never count. A page counts a line once.
     Counts are combined before the shuffle, so one line on every page of one huge host is a few rows. A host has at most its mean
@@ -32,17 +37,17 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", max_r
     pages = docs.select(_host(host).alias("__host"), F.array_distinct(F.transform(
         F.filter(_lines(text), lambda x: F.trim(x) != ""), lambda x: F.xxhash64(F.trim(x)))).alias("own"))
     total = pages.groupBy("__host").agg(F.count(F.lit(1)).alias("pages"))
-    on = pages.select("__host", F.explode("own").alias("line")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    often = on.join(total, "__host").where(F.col("n") > F.lit(max_ratio) * F.col("pages"))
+    on = pages.select("__host", F.explode("own").alias("line")).groupBy("__host", "line").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = on.join(total, "__host").where(F.col("n") - 1 > F.lit(max_ratio) * (F.col("pages") - 1 + prior))
     return often.groupBy("__host").agg(F.collect_list("line").alias("__often"))
 
 
-def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, prior: int = PRIOR_PAGES) -> DataFrame:
     """``docs`` and ``__lines``, the array of lines that stay, in order, for every row.
 
     A null or empty text has one empty line. Extra columns pass through; names starting with two underscores are taken.
     """
-    often = cut(boilerplate(docs, host, text, max_ratio, min_pages))
+    often = cut(boilerplate(docs, host, text, max_ratio, prior))
     n = often.agg(F.sum(F.size("__often") + 8)).first()[0] or 0
     both = docs.withColumn("__host", _host(host)).join(F.broadcast(often) if n <= MAX_BROADCAST_LINES else often, "__host", "left")
     stays = F.filter(_lines(text), lambda x: (F.trim(x) == "") | ~F.array_contains("__often", F.xxhash64(F.trim(x))))
@@ -77,7 +82,7 @@ WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, row_number() OVER
 l AS (SELECT DISTINCT r, source, trim(line) AS line FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d) WHERE trim(line) <> ''),
 t AS (SELECT source, count(*) AS pages FROM d GROUP BY 1),
 o AS (SELECT l.source, l.line FROM l JOIN t ON l.source IS NOT DISTINCT FROM t.source GROUP BY 1, 2, pages
-      HAVING count(*) >= {MIN_PAGES} AND count(*) > {MAX_RATIO} * pages),
+      HAVING count(*) - 1 > {MAX_RATIO}::DOUBLE * (pages - 1 + {PRIOR_PAGES})),
 p AS (SELECT source, list(line) AS lines FROM o GROUP BY 1),
 k AS (SELECT doc_id, d.source, string_split(text, chr(10)) AS every,
              list_filter(string_split(text, chr(10)), lambda x: trim(x) = '' OR NOT list_contains(coalesce(p.lines, []), trim(x))) AS stays

@@ -307,3 +307,14 @@ def test_wrapped_notices_are_found_like_by_brute_force(spark):
     assert {(r.doc_id, r.block, r.lines, r.template) for r in got} == want
     named = {(doc, licenses.TEMPLATES[k][0]) for doc, _, _, k in want}
     assert all((100 * i + 70, label) in named for i, (label, _) in enumerate(licenses.TEMPLATES))
+
+
+def test_lines_of_small_hosts_count_without_a_floor(spark):
+    from longview.llm import lines
+
+    rows = [(h, f"menu\nown {h} {i}\nfoot") for h in range(1, 13) for i in range(h)]
+    rows += [(40, "menu\nx%d" % i if i < k else "y%d" % i) for k, i in [(3, i) for i in range(8)]] + [(41, "menu\nx%d" % i if i < 3 else "y%d" % i) for i in range(12)]
+    d = spark.createDataFrame([(i, str(h), t) for i, (h, t) in enumerate(rows)], "doc_id long, source string, text string")
+    got = {(r.source, r.doc_id): "menu" in r["__lines"] for r in lines.drop_lines(d).collect()}
+    stays = {h: any(v for (s, _), v in got.items() if s == h) for h in {s for s, _ in got}}
+    assert {int(h) for h, v in stays.items() if v} == {1, 2, 41}  # on all of three pages or more it goes, on 3 of 8 as well, on 3 of 12 it stays
