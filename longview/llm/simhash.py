@@ -359,7 +359,9 @@ def jaccard_groups(docs: DataFrame, mark: str = "mark", least: float = LEAST) ->
     that more than HEAVY texts share in their prefixes are put behind all others in a second pass, which changes no result, and
     blocks that stay hot are cut into chunks that meet two by two. There, fingerprints of 256 bits decide: at most TIGHT differing
     bits tie two nodes together, for which a pair under the similarity would have to be four deviations off; up to LOOSE bits, four
-    deviations the other way, shingles are counted exactly. Nodes met once: the table of meetings is shuffled a single time.
+    deviations the other way, shingles are counted exactly. The table of meetings is shuffled a single time. Texts of a large group
+    of which no two are within TIGHT bits are each a group of their own; their pairs are told in every block they share, which is
+    many rows, so that none is left out.
     """
     texts = docs.select(mark, "text")
     prints = cut(set_prints(texts, [mark]).distinct())
